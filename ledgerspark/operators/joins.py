@@ -82,3 +82,22 @@ def calendar_left_join(spine: DataFrame, daily: DataFrame, spine_date: str = "th
     empty = spine.select(spine_date).join(
         daily.select(F.col(daily_date).alias(spine_date)).distinct(), spine_date, "left_anti")
     return hit_rows.unionByName(empty, allowMissingColumns=True)
+
+
+def salted_left_join(big: DataFrame, per_key: DataFrame, big_key, key: str, salt_buckets: int = 16) -> DataFrame:
+    """Left join of a large table to a one-row-per-key table, robust to a hot key.
+
+    The large side gets a deterministic salt (hash of the whole row) in
+    ``[0, salt_buckets)``; the per-key side is repeated once per salt value, so a
+    key holding a third of all rows is spread over ``salt_buckets`` tasks. Results
+    are identical to the plain left join.
+    """
+    if salt_buckets <= 1:
+        return big.join(per_key, big_key == per_key[key], "left").drop(per_key[key])
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salt_buckets))
+    b = big.withColumn("_salt", salt)
+    p = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
+    p = p.withColumnRenamed(key, "_jk")
+    j = b.join(p, (big_key == F.col("_jk")) & (b["_salt"] == p["_salt"]), "left")
+    out = j.drop(p["_salt"]).drop(b["_salt"])
+    return out.withColumnRenamed("_jk", key)

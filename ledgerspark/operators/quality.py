@@ -93,7 +93,7 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def bad_dates(df: DataFrame, text_col: str, fmt: str = "dd/MM/yyyy") -> DataFrame:
     """Q11: text present but not a valid date in ``fmt``; plus NULL texts."""
-    parsed = F.try_to_date(F.col(f"`{text_col}`"), F.lit(fmt))
+    parsed = F.try_to_date(F.col(f"`{text_col}`"), fmt)
     return df.agg(F.count_if(F.col(f"`{text_col}`").isNotNull() & parsed.isNull()).alias("num_bad"),
                   F.count_if(F.col(f"`{text_col}`").isNull()).alias("num_missing"))
 
