@@ -52,3 +52,24 @@ def exact_quantiles(df: DataFrame, col: str, probs: list[float], names: list[str
         hi = F.max(F.when(F.col("_r") - 1 == F.ceil(ps), F.col("_x")))
         aggs.append((lo + (hi - lo) * (ps - F.floor(ps))).alias(nm))
     return picked.agg(*aggs)
+
+
+def cumulative_sums(df: DataFrame, order: list[Column | str], cols: list[str], suffix: str = "_cum",
+                    partitions: int | None = None) -> DataFrame:
+    """Running totals of ``cols`` over the whole frame in ``order`` (inclusive of the row).
+
+    Same answer as ``sum(c) OVER (ORDER BY ... ROWS UNBOUNDED PRECEDING)`` but the
+    frame is range-partitioned: each task sums its own rows and adds the totals of
+    all earlier tasks (a table with one row per task).
+    """
+    n = partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    srt = df.repartitionByRange(int(n), *order).sortWithinPartitions(*order)
+    tagged = srt.withColumn("_pid", F.shiftright(F.monotonically_increasing_id(), 33))
+    totals = tagged.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(w), F.lit(0)).alias(f"_o_{c}") for c in cols])
+    wl = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = tagged.select("*", *[F.sum(c).over(wl).alias(f"_l_{c}") for c in cols])
+    j = local.join(F.broadcast(offs), "_pid")
+    out = j.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(c + suffix) for c in cols])
+    return out

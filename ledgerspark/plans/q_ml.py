@@ -1 +1,154 @@
-"""placeholder"""
+"""Split, evaluation and model queries (G6, G7: M1-M23).
+
+Evaluation queries score trades with a deterministic rule (the discount as the
+score, ``discount >= 0.08`` as the prediction) so that DuckDB can check every
+metric exactly; the model queries train MLlib pipelines and are checked on rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ledgerspark.operators import evaluate as ev
+from ledgerspark.operators import split
+from ledgerspark.plans import trade_fixture as tf
+from ledgerspark.plans.catalog import register
+from ledgerspark.plans.oracle import with_fixtures
+
+KEYS = ["l_orderkey", "l_linenumber"]
+
+
+def _r(c, n=6):
+    return F.round(F.col(c) if isinstance(c, str) else c, n)
+
+
+# --------------------------------------------------------------------------- splits
+
+@register("stratified_split_counts", "M1 U2", with_fixtures("""
+WITH c AS (SELECT flag, count(*) AS n FROM trades GROUP BY flag)
+SELECT flag, 'test' AS part, CAST(ceil(0.2 * n) AS BIGINT) AS n FROM c
+UNION ALL
+SELECT flag, 'train' AS part, CAST(n - ceil(0.2 * n) AS BIGINT) AS n FROM c""", "trades"))
+def q_stratified_split_counts(spark, sf):
+    s = split.stratified_split(tf.trades(spark, sf), "flag", 0.2, seed=42)
+    return s.groupBy("flag", "part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("nested_split_counts", "M2 M1", with_fixtures("""
+WITH c AS (SELECT flag, count(*) AS n, ceil(0.2 * count(*)) AS t FROM trades GROUP BY flag)
+SELECT flag, 'test' AS part, CAST(t AS BIGINT) AS n FROM c
+UNION ALL SELECT flag, 'valid' AS part, CAST(ceil(0.2 * (n - t)) AS BIGINT) AS n FROM c
+UNION ALL SELECT flag, 'train' AS part, CAST(n - t - ceil(0.2 * (n - t)) AS BIGINT) AS n FROM c""", "trades"))
+def q_nested_split_counts(spark, sf):
+    s = split.nested_split(tf.trades(spark, sf), "flag", 0.2, 0.2, seed=42)
+    return s.groupBy("flag", "part").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ALL = ["d", "l_orderkey", "l_linenumber", "client", "leg_type", "product_name", "product_group", "currency",
+        "office", "risk", "source_system", "trade_date", "notional", "fx_rate", "gbp", "flag"]
+
+
+@register("positional_split", "M3", with_fixtures(f"""
+WITH r AS (SELECT flag, row_number() OVER (ORDER BY {", ".join(c + " NULLS FIRST" for c in _ALL)}) AS pos,
+                  count(*) OVER () AS n FROM trades)
+SELECT CASE WHEN pos <= floor(0.8 * n) THEN 'train' ELSE 'test' END AS part,
+       CAST(count(*) AS BIGINT) AS n, CAST(sum(flag) AS BIGINT) AS flagged
+FROM r GROUP BY 1""", "trades"))
+def q_positional_split(spark, sf):
+    s = split.positional_split(tf.trades(spark, sf), _ALL, 0.8)
+    return s.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("flag").cast("bigint").alias("flagged"))
+
+
+@register("stratified_fold_counts", "M17", with_fixtures("""
+WITH c AS (SELECT flag, count(*) AS n FROM trades GROUP BY flag),
+f AS (SELECT CAST(unnest(generate_series(0, 14)) AS INTEGER) AS fold)
+SELECT c.flag, f.fold, CAST(n // 15 + CASE WHEN f.fold < n % 15 THEN 1 ELSE 0 END AS BIGINT) AS n
+FROM c, f""", "trades"))
+def q_stratified_fold_counts(spark, sf):
+    s = split.stratified_folds(tf.trades(spark, sf), "flag", k=15, seed=42)
+    return s.groupBy("flag", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --------------------------------------------------------------------------- evaluation (rule score)
+
+_SCORED_SQL = """scored AS (SELECT flag AS label, round(1 - fx_rate, 2) AS score,
+                       CASE WHEN round(1 - fx_rate, 2) >= 0.08 THEN 1 ELSE 0 END AS prediction FROM trades)"""
+
+
+def _scored(spark, sf):
+    t = tf.trades(spark, sf)
+    score = F.round(1 - F.col("fx_rate"), 2)
+    return t.select(F.col("flag").alias("label"), score.alias("score"),
+                    F.when(score >= 0.08, 1).otherwise(0).alias("prediction"))
+
+
+@register("confusion_matrix", "M9", with_fixtures("WITH " + _SCORED_SQL + """
+SELECT label, prediction, CAST(count(*) AS BIGINT) AS n FROM scored GROUP BY label, prediction""", "trades"))
+def q_confusion_matrix(spark, sf):
+    return ev.confusion_matrix(_scored(spark, sf))
+
+
+@register("confusion_share", "M10", with_fixtures("WITH " + _SCORED_SQL + """,
+cm AS (SELECT label, prediction, count(*) AS n FROM scored GROUP BY label, prediction)
+SELECT label, prediction, CAST(n AS BIGINT) AS n, round(n / sum(n) OVER (PARTITION BY label), 6) AS share,
+       round(n / sum(n) OVER (PARTITION BY label) * 100, 6) AS percent FROM cm""", "trades"))
+def q_confusion_share(spark, sf):
+    c = ev.confusion_share(_scored(spark, sf))
+    return c.withColumn("share", _r("share")).withColumn("percent", _r("percent"))
+
+
+@register("confusion_margins", "M11", with_fixtures("WITH " + _SCORED_SQL + """
+SELECT label, prediction, CAST(count(*) AS BIGINT) AS n, CAST(grouping(label) AS INTEGER) AS is_label_margin,
+       CAST(grouping(prediction) AS INTEGER) AS is_prediction_margin
+FROM scored GROUP BY CUBE (label, prediction)""", "trades"))
+def q_confusion_margins(spark, sf):
+    return ev.confusion_margins(_scored(spark, sf))
+
+
+@register("eval_metrics", "M12 M13 M14", with_fixtures("WITH " + _SCORED_SQL + """
+SELECT round(count(*) FILTER (WHERE label = prediction) / count(*), 6) AS accuracy,
+       round(coalesce(count(*) FILTER (WHERE label = 1 AND prediction = 1)
+                      / nullif(count(*) FILTER (WHERE label = 1), 0), 0), 6) AS recall,
+       round(coalesce(count(*) FILTER (WHERE label = 1 AND prediction = 1)
+                      / nullif(count(*) FILTER (WHERE prediction = 1), 0), 0), 6) AS precision
+FROM scored""", "trades"))
+def q_eval_metrics(spark, sf):
+    m = ev.binary_metrics(_scored(spark, sf))
+    return m.select(*[_r(c).alias(c) for c in m.columns])
+
+
+@register("classification_report", "M15", with_fixtures("WITH " + _SCORED_SQL + """,
+cm AS (SELECT label, prediction, count(*) AS n FROM scored GROUP BY label, prediction),
+cls AS (SELECT l AS label,
+               coalesce((SELECT sum(n) FROM cm WHERE cm.label = l), 0) AS support,
+               coalesce((SELECT sum(n) FROM cm WHERE cm.prediction = l), 0) AS predicted,
+               coalesce((SELECT sum(n) FROM cm WHERE cm.label = l AND cm.prediction = l), 0) AS tp
+        FROM (SELECT label AS l FROM cm UNION SELECT prediction FROM cm)),
+per AS (SELECT CAST(label AS VARCHAR) AS "row",
+               coalesce(tp / nullif(predicted, 0), 0) AS precision, coalesce(tp / nullif(support, 0), 0) AS recall,
+               support, tp FROM cls),
+per2 AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM per),
+allrows AS (
+  SELECT "row", precision, recall, f1, CAST(support AS DOUBLE) AS support FROM per2
+  UNION ALL SELECT 'accuracy', NULL, NULL, sum(tp) / sum(support), sum(support) FROM per2
+  UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM per2
+  UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+                   sum(f1 * support) / sum(support), sum(support) FROM per2)
+SELECT "row", round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       CAST(support AS DOUBLE) AS support FROM allrows""", "trades"))
+def q_classification_report(spark, sf):
+    r = ev.classification_report(_scored(spark, sf))
+    return r.select("row", _r("precision").alias("precision"), _r("recall").alias("recall"), _r("f1").alias("f1"),
+                    F.col("support").cast("double").alias("support"))
+
+
+@register("pr_curve", "M16", with_fixtures("WITH " + _SCORED_SQL + """,
+a AS (SELECT score AS threshold, count(*) FILTER (WHERE label = 1) AS tp_at, count(*) AS n_at
+      FROM scored GROUP BY score),
+c AS (SELECT threshold, sum(tp_at) OVER w AS tp, sum(n_at) OVER w AS n FROM a
+      WINDOW w AS (ORDER BY threshold DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT threshold, CAST(tp AS BIGINT) AS tp, CAST(n - tp AS BIGINT) AS fp, round(tp / n, 6) AS precision,
+       round(tp / (SELECT count(*) FILTER (WHERE label = 1) FROM scored), 6) AS recall FROM c""", "trades"))
+def q_pr_curve(spark, sf):
+    p = ev.pr_curve(_scored(spark, sf))
+    return p.select("threshold", "tp", "fp", _r("precision").alias("precision"), _r("recall").alias("recall"))
