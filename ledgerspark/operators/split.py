@@ -15,16 +15,30 @@ from pyspark.sql import functions as F
 from ledgerspark.operators.ranking import global_row_number
 
 
+HASH_BUCKETS = 1024
+
+
 def _class_rank(df: DataFrame, label: str, key_cols: list[str], seed: int, out: str = "_crank") -> DataFrame:
-    h = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in key_cols])
-    x = df.withColumn("_h", h)
-    ranked = global_row_number(x, [F.col(f"`{label}`"), F.col("_h"), *[F.col(f"`{c}`") for c in key_cols]], "_g")
-    counts = df.groupBy(F.col(f"`{label}`").alias("_lbl")).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy(F.col("_lbl").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("_lbl", "_n", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    # one row per class: bounded by the number of classes
-    j = ranked.join(F.broadcast(offs), F.col(f"`{label}`").eqNullSafe(F.col("_lbl")))
-    return j.withColumn(out, F.col("_g") - F.col("_off")).drop("_h", "_g", "_off", "_lbl")
+    """Rank inside each class by a seeded hash of ``key_cols`` (ties: the key columns).
+
+    Deterministic and skew-free: the hash also picks one of ``HASH_BUCKETS``
+    buckets, rows are numbered inside (class, bucket) and shifted by the sizes of
+    the class's earlier buckets (a table of classes x buckets rows). Adds the class
+    size as ``_n``.
+    """
+    keys = [F.col(f"`{c}`") for c in key_cols]
+    h = F.xxhash64(F.lit(seed), *keys)
+    lbl = F.col(f"`{label}`")
+    x = df.withColumn("_h", h).withColumn("_hb", F.pmod(F.shiftright("_h", 40), F.lit(HASH_BUCKETS)))
+    # order inside a class: bucket first, then the full hash, then the keys
+    counts = x.groupBy(lbl.alias("_lbl"), "_hb").agg(F.count(F.lit(1)).alias("_bn"))
+    wc = Window.partitionBy("_lbl").orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
+    wn = Window.partitionBy("_lbl")
+    offs = counts.select("_lbl", "_hb", F.coalesce(F.sum("_bn").over(wc), F.lit(0)).alias("_off"),
+                         F.sum("_bn").over(wn).alias("_n"))
+    j = x.join(offs, lbl.eqNullSafe(F.col("_lbl")) & (x["_hb"] == offs["_hb"])).drop(offs["_hb"])
+    wr = Window.partitionBy("_lbl", "_hb").orderBy("_h", *keys)
+    return j.withColumn(out, F.col("_off") + F.row_number().over(wr)).drop("_h", "_hb", "_off", "_lbl")
 
 
 def stratified_split(df: DataFrame, label: str, test_frac: float = 0.2, seed: int = 42,

@@ -7,6 +7,7 @@ metric exactly; the model queries train MLlib pipelines and are checked on rows.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ledgerspark.operators import evaluate as ev
@@ -152,3 +153,106 @@ SELECT threshold, CAST(tp AS BIGINT) AS tp, CAST(n - tp AS BIGINT) AS fp, round(
 def q_pr_curve(spark, sf):
     p = ev.pr_curve(_scored(spark, sf))
     return p.select("threshold", "tp", "fp", _r("precision").alias("precision"), _r("recall").alias("recall"))
+
+
+# --------------------------------------------------------------------------- models (rows-only checks)
+
+def _spark_stop_words() -> list[str]:
+    """Spark's own default English stop-word list, read from the MLlib jar (no JVM needed)."""
+    import glob
+    import os
+    import zipfile
+
+    import pyspark
+    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
+    with zipfile.ZipFile(jar) as z:
+        return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
+
+
+def _term_sql() -> str:
+    stops = ", ".join("'" + w.replace("'", "''") + "'" for w in _spark_stop_words())
+    return f"""
+WITH tok AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\W')) AS term FROM documents),
+per_doc AS (SELECT doc_id, term, count(*) AS n FROM tok WHERE term <> '' AND term NOT IN ({stops})
+            GROUP BY doc_id, term)
+SELECT term, CAST(sum(n) AS BIGINT) AS tf, CAST(count(*) AS BIGINT) AS df FROM per_doc GROUP BY term"""
+
+
+@register("bag_of_words_vocab", "M20", _term_sql())
+def q_bag_of_words_vocab(spark, sf):
+    from ledgerspark.operators.ml import term_counts
+    from ledgerspark.sources.readers import table
+    return term_counts(table(spark, sf, "documents"))
+
+
+def _model_inputs(spark, sf):
+    from ledgerspark.operators.ml import FeatureSpec
+    clean = tf.clean(spark, sf).clean
+    spec = FeatureSpec(categorical=("source_system", "office", "risk", "product_type", "currency_reduced"),
+                       label="flag")
+    # MLlib scans its input once per tree level and per fitted stage: keep the
+    # prepared rows (spills to disk when large) instead of re-running the plan
+    clean = clean.persist(StorageLevel.MEMORY_AND_DISK)
+    parts = split.nested_split(clean, "flag", 0.2, 0.2, seed=42).persist(StorageLevel.MEMORY_AND_DISK)
+    return clean, parts, spec
+
+
+@register("train_predict", "G6 G7 M4 M5 M6 M7 M8 M19 M23 S11")
+def q_train_predict(spark, sf):
+    from ledgerspark.operators import ml
+    clean, parts, spec = _model_inputs(spark, sf)
+    model = ml.fit_suspicion_model(clean, parts.where(F.col("part") == "train"), spec,
+                                   ml.ForestParams(num_trees=200, max_depth=10))
+    test = parts.where(F.col("part") == "test")
+    pred = ml.predict(model, test, "flag")
+    return pred.select(*KEYS, "label", "prediction", F.round("p1", 6).alias("p1"))
+
+
+@register("holdout_report", "G7 M9 M13 M14 M15")
+def q_holdout_report(spark, sf):
+    from ledgerspark.operators import ml
+    clean, parts, spec = _model_inputs(spark, sf)
+    model = ml.fit_suspicion_model(clean, parts.where(F.col("part") == "train"), spec,
+                                   ml.ForestParams(num_trees=50, max_depth=10))
+    pred = ml.predict(model, parts.where(F.col("part") == "valid"), "flag")
+    return ev.classification_report(pred)
+
+
+@register("weighted_alternatives", "M21 M22")
+def q_weighted_alternatives(spark, sf):
+    from functools import reduce
+
+    from ledgerspark.operators import ml
+    clean, parts, spec = _model_inputs(spark, sf)
+    train = ml.class_weights(parts.where(F.col("part") == "train"), "flag")
+    valid = parts.where(F.col("part") == "valid")
+    outs = []
+    for kind in ("logistic", "svm", "tree"):
+        model = ml.fit_suspicion_model(clean, train, spec,
+                                       classifier=ml.alternative_classifier(kind, weight="weight"))
+        m = ev.binary_metrics(ml.predict(model, valid, "flag"))
+        outs.append(m.select(F.lit(kind).alias("model"), "*"))
+    return reduce(lambda a, b: a.unionByName(b), outs)
+
+
+@register("cross_validation", "M17")
+def q_cross_validation(spark, sf):
+    from ledgerspark.operators import ml
+    clean, parts, spec = _model_inputs(spark, sf)
+    train = parts.where(F.col("part") != "test").drop("part")
+    scores = ml.cross_validate(train, spec, ml.ForestParams(num_trees=20, max_depth=6), k=15, seed=42,
+                               key_cols=KEYS + ["date", "client_name", "gbp_log_amount"])
+    return scores
+
+
+@register("text_model", "M20 M7")
+def q_text_model(spark, sf):
+    from ledgerspark.operators import ml
+    from ledgerspark.sources.readers import table
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    parts = split.stratified_split(docs.select("doc_id", "text", "toxic"), "toxic", 0.2, seed=42,
+                                   key_cols=["doc_id"]).persist(StorageLevel.MEMORY_AND_DISK)
+    model = ml.text_classifier("toxic", ml.ForestParams(num_trees=50, max_depth=10)).fit(
+        parts.where(F.col("part") == "train"))
+    pred = ml.predict(model, parts.where(F.col("part") == "test"), "toxic")
+    return pred.select("doc_id", "label", "prediction", F.round("p1", 6).alias("p1"))
