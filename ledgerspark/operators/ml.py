@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
@@ -109,7 +110,14 @@ def fit_suspicion_model(all_rows: DataFrame, train: DataFrame, spec: FeatureSpec
     prep = PipelineModel(stages)
     lbl = train.withColumn("_label", F.col(f"`{spec.label}`").cast("double"))
     clf = classifier if classifier is not None else forest(params, "_label", feats)
-    model = clf.fit(prep.transform(lbl))
+    # iterative learners scan the matrix many times: materialise it once (spills to disk)
+    matrix = prep.transform(lbl).select("_label", feats, *([clf.getWeightCol()] if clf.hasParam("weightCol")
+                                                           and clf.isSet("weightCol") else []))
+    matrix = matrix.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = clf.fit(matrix)
+    finally:
+        matrix.unpersist()
     return PipelineModel(stages + [model])
 
 
