@@ -160,9 +160,9 @@ def alternative_classifier(kind: str, label: str = "_label", weight: str | None
     if weight:
         kw["weightCol"] = weight
     if kind == "logistic":
-        return LogisticRegression(maxIter=100, **kw)
+        return LogisticRegression(maxIter=50, **kw)
     if kind == "svm":
-        return LinearSVC(maxIter=100, **kw)
+        return LinearSVC(maxIter=30, **kw)
     if kind == "tree":
         return DecisionTreeClassifier(impurity="entropy", maxDepth=8, seed=seed, **kw)
     raise ValueError(kind)
