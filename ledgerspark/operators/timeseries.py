@@ -49,7 +49,8 @@ def daily_mean(rates: DataFrame, key: str = "currency", date: str = "exchange_da
 
 def date_bounds(df: DataFrame, date: str) -> tuple[Column, Column]:
     """Global first and last date as scalar subqueries (run once, no join)."""
-    return df.select(F.min(date)).scalar(), df.select(F.max(date)).scalar()
+    b = df.select(F.struct(F.min(date).alias("lo"), F.max(date).alias("hi"))).scalar()
+    return b.getField("lo"), b.getField("hi")
 
 
 def calendar_spine(df: DataFrame, date: str, out: str = "the_date") -> DataFrame:
@@ -87,11 +88,12 @@ def _bounded_last(obs: DataFrame, targets: DataFrame, key: str, date: str, value
     B = _bucket_days(max_days, bucket_days)
     tcols = [c for c in targets.columns]
     o = obs.select(F.col(key).alias("_k"), _day(date).alias("_d"), F.col(value).cast("double").alias("_v"))
-    o = o.withColumn("_b", F.floor(F.col("_d") / B))
-    # copy observations that the next bucket's first days can still reach
-    copies = (o.where(F.col("_d") >= (F.col("_b") + 1) * B - max_days)
-                .withColumn("_b", F.col("_b") + 1))
-    o_all = o.unionByName(copies).withColumn("_is_t", F.lit(False))
+    b = F.floor(F.col("_d") / B)
+    # an observation the next bucket's first days can still reach is emitted into
+    # both buckets (one pass over the observations, no second aggregate)
+    near_end = F.col("_d") >= (b + 1) * B - max_days
+    o_all = (o.withColumn("_b", F.explode(F.when(near_end, F.array(b, b + 1)).otherwise(F.array(b))))
+              .withColumn("_is_t", F.lit(False)))
     t = targets.select(F.col(key).alias("_k"), _day(date).alias("_d"), F.lit(None).cast("double").alias("_v"),
                        *[F.col(c).alias(f"_t_{c}") for c in tcols])
     t = t.withColumn("_b", F.floor(F.col("_d") / B)).withColumn("_is_t", F.lit(True))
