@@ -172,21 +172,36 @@ def cross_validate(df: DataFrame, spec: FeatureSpec, params: ForestParams, k: in
                    key_cols: list[str] | None = None) -> DataFrame:
     """Stratified k-fold scores ``fold, accuracy, macro_f1`` (one model per fold).
 
-    The fold loop runs on the driver over k plans; each fit and score is distributed.
+    Category encoders depend on the whole table only, so they are fitted once and
+    the encoded rows are kept; per fold only the scaler (train part) and the
+    forest are fitted. The fold loop runs on the driver over k plans; each fit and
+    score is distributed.
     """
     from functools import reduce
-    folded = stratified_folds(df, spec.label, k, seed, key_cols).cache()
+    folded = stratified_folds(df, spec.label, k, seed, key_cols)
+    stages, feats = feature_stages(folded, folded, spec)
+    indexer, encoder, _, bools, assembler = stages
+    encoded = PipelineModel([indexer, encoder, bools]).transform(folded).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
-    for f in range(k):
-        train = folded.where(F.col("fold") != f)
-        test = folded.where(F.col("fold") == f)
-        model = fit_suspicion_model(folded, train, spec, params)
-        pred = predict(model, test, spec.label)
-        rep = ev.classification_report(pred)
-        rows.append(rep.agg(F.max(F.when(F.col("row") == "accuracy", F.col("f1"))).alias("accuracy"),
-                            F.max(F.when(F.col("row") == "macro avg", F.col("f1"))).alias("macro_f1"))
-                       .select(F.lit(f).alias("fold"), "accuracy", "macro_f1"))
-    return reduce(DataFrame.unionByName, rows)
+    try:
+        for f in range(k):
+            train = encoded.where(F.col("fold") != f)
+            test = encoded.where(F.col("fold") == f)
+            scaler = population_scaler(train, list(spec.continuous))
+            prep = PipelineModel([scaler, assembler])
+            matrix = prep.transform(train.withColumn("_label", F.col(f"`{spec.label}`").cast("double")))
+            model = forest(params, "_label", feats).fit(matrix.select("_label", feats))
+            pred = predict(PipelineModel([scaler, assembler, model]), test, spec.label)
+            rep = ev.classification_report(pred)
+            rows.append(rep.agg(F.max(F.when(F.col("row") == "accuracy", F.col("f1"))).alias("accuracy"),
+                                F.max(F.when(F.col("row") == "macro avg", F.col("f1"))).alias("macro_f1"))
+                           .select(F.lit(f).alias("fold"), "accuracy", "macro_f1"))
+        # materialise the k one-row results before the encoded rows are released
+        out = reduce(DataFrame.unionByName, rows)
+        result = df.sparkSession.createDataFrame(out.collect(), out.schema)
+    finally:
+        encoded.unpersist()
+    return result
 
 
 def cv_summary(scores: DataFrame) -> DataFrame:

@@ -235,16 +235,6 @@ def q_weighted_alternatives(spark, sf):
     return reduce(lambda a, b: a.unionByName(b), outs)
 
 
-@register("cross_validation", "M17")
-def q_cross_validation(spark, sf):
-    from ledgerspark.operators import ml
-    clean, parts, spec = _model_inputs(spark, sf)
-    train = parts.where(F.col("part") != "test").drop("part")
-    scores = ml.cross_validate(train, spec, ml.ForestParams(num_trees=20, max_depth=6), k=15, seed=42,
-                               key_cols=KEYS + ["date", "client_name", "gbp_log_amount"])
-    return scores
-
-
 @register("text_model", "M20 M7")
 def q_text_model(spark, sf):
     from ledgerspark.operators import ml
