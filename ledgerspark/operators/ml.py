@@ -25,6 +25,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerspark.functions.stopwords import ENGLISH
 from ledgerspark.operators import evaluate as ev
 from ledgerspark.operators.split import stratified_folds
 
@@ -49,7 +50,7 @@ class ForestParams:
     impurity: str = "entropy"
     min_instances_per_node: int = 1
     feature_subset: str = "sqrt"
-    max_depth: int = 12  # the reference grows trees without a depth limit; MLlib caps depth at 30
+    max_depth: int = 30  # the reference grows trees without a depth limit; 30 is MLlib's own limit
     seed: int = 42
     extra: dict = field(default_factory=dict)
 
@@ -160,11 +161,11 @@ def alternative_classifier(kind: str, label: str = "_label", weight: str | None
     if weight:
         kw["weightCol"] = weight
     if kind == "logistic":
-        return LogisticRegression(maxIter=50, **kw)
+        return LogisticRegression(maxIter=100, **kw)
     if kind == "svm":
-        return LinearSVC(maxIter=30, **kw)
+        return LinearSVC(maxIter=100, **kw)
     if kind == "tree":
-        return DecisionTreeClassifier(impurity="entropy", maxDepth=8, seed=seed, **kw)
+        return DecisionTreeClassifier(impurity="entropy", maxDepth=30, seed=seed, **kw)
     raise ValueError(kind)
 
 
@@ -241,10 +242,14 @@ def parameter_search(df: DataFrame, train: DataFrame, spec: FeatureSpec, grid: l
 # --------------------------------------------------------------------------- text
 
 
+#: Unicode letters, digits and the underscore make words (Java's \\W knows ASCII only)
+NON_WORD = r"[^\p{L}\p{N}_]+"
+
+
 def bag_of_words(text_col: str = "text", vocab_size: int = 10_000, min_df: float = 1.0) -> list:
     """M20 feature stages: lower-case word tokens, English stop words removed, term counts."""
-    return [RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern="\\W", toLowercase=True),
-            StopWordsRemover(inputCol="_tokens", outputCol="_words"),
+    return [RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=NON_WORD, minTokenLength=2, toLowercase=True),
+            StopWordsRemover(inputCol="_tokens", outputCol="_words", stopWords=list(ENGLISH)),
             CountVectorizer(inputCol="_words", outputCol="features", vocabSize=vocab_size, minDF=min_df)]
 
 
@@ -263,11 +268,11 @@ def term_counts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     Counted per (document, term) first, then per term: both steps combine map-side,
     so a very common term costs one partial row per task, not one row per use.
     """
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern="\\W", toLowercase=True)
+    tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=NON_WORD, minTokenLength=2, toLowercase=True)
     x = tok.transform(docs.select(F.col(id_col).alias("_doc"), F.col(text_col)))
     col = "_tokens"
     if remove_stop_words:
-        x = StopWordsRemover(inputCol="_tokens", outputCol="_words").transform(x)
+        x = StopWordsRemover(inputCol="_tokens", outputCol="_words", stopWords=list(ENGLISH)).transform(x)
         col = "_words"
     per_doc = x.select("_doc", F.explode(col).alias("term")).groupBy("_doc", "term").agg(
         F.count(F.lit(1)).alias("_n"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
+from ledgerspark.functions.stopwords import ENGLISH
 from ledgerspark.operators import evaluate as ev
 from ledgerspark.operators import split
 from ledgerspark.plans import trade_fixture as tf
@@ -157,23 +158,11 @@ def q_pr_curve(spark, sf):
 
 # --------------------------------------------------------------------------- models (rows-only checks)
 
-def _spark_stop_words() -> list[str]:
-    """Spark's own default English stop-word list, read from the MLlib jar (no JVM needed)."""
-    import glob
-    import os
-    import zipfile
-
-    import pyspark
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
-    with zipfile.ZipFile(jar) as z:
-        return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
-
-
 def _term_sql() -> str:
-    stops = ", ".join("'" + w.replace("'", "''") + "'" for w in _spark_stop_words())
+    stops = ", ".join("'" + w + "'" for w in ENGLISH)
     return f"""
-WITH tok AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\W')) AS term FROM documents),
-per_doc AS (SELECT doc_id, term, count(*) AS n FROM tok WHERE term <> '' AND term NOT IN ({stops})
+WITH tok AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS term FROM documents),
+per_doc AS (SELECT doc_id, term, count(*) AS n FROM tok WHERE length(term) >= 2 AND term NOT IN ({stops})
             GROUP BY doc_id, term)
 SELECT term, CAST(sum(n) AS BIGINT) AS tf, CAST(count(*) AS BIGINT) AS df FROM per_doc GROUP BY term"""
 
@@ -202,7 +191,7 @@ def q_train_predict(spark, sf):
     from ledgerspark.operators import ml
     clean, parts, spec = _model_inputs(spark, sf)
     model = ml.fit_suspicion_model(clean, parts.where(F.col("part") == "train"), spec,
-                                   ml.ForestParams(num_trees=200, max_depth=10))
+                                   ml.ForestParams())
     test = parts.where(F.col("part") == "test")
     pred = ml.predict(model, test, "flag")
     return pred.select(*KEYS, "label", "prediction", F.round("p1", 6).alias("p1"))
@@ -213,8 +202,8 @@ def q_holdout_report(spark, sf):
     from ledgerspark.operators import ml
     clean, parts, spec = _model_inputs(spark, sf)
     model = ml.fit_suspicion_model(clean, parts.where(F.col("part") == "train"), spec,
-                                   ml.ForestParams(num_trees=50, max_depth=10))
-    pred = ml.predict(model, parts.where(F.col("part") == "valid"), "flag")
+                                   ml.ForestParams())
+    pred = ml.predict(model, parts.where(F.col("part") == "test"), "flag")
     return ev.classification_report(pred)
 
 
@@ -242,7 +231,7 @@ def q_text_model(spark, sf):
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     parts = split.stratified_split(docs.select("doc_id", "text", "toxic"), "toxic", 0.2, seed=42,
                                    key_cols=["doc_id"]).persist(StorageLevel.MEMORY_AND_DISK)
-    model = ml.text_classifier("toxic", ml.ForestParams(num_trees=50, max_depth=10)).fit(
+    model = ml.text_classifier("toxic", ml.ForestParams(min_instances_per_node=3)).fit(
         parts.where(F.col("part") == "train"))
     pred = ml.predict(model, parts.where(F.col("part") == "test"), "toxic")
     return pred.select("doc_id", "label", "prediction", F.round("p1", 6).alias("p1"))
