@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from ledgerspark.llm import chat, url_filter
+from ledgerspark.llm import bpe, chat, fingerprint, quality, secrets, url_filter
 
 QUERIES = {
     "op1_url_filter": (url_filter.op1_url_filter, url_filter.OP1_SQL),
+    "op2_secret_scan": (secrets.op2_secret_scan, None),
+    "op3_byte_bpe": (bpe.op3_byte_bpe, None),
+    "op4_fingerprint": (fingerprint.op4_fingerprint, None),
+    "op5_quality_classifier": (quality.op5_quality_classifier, None),
     "op8_chat_format": (chat.op8_chat_format, chat.OP8_SQL),
 }
