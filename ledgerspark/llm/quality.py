@@ -1,10 +1,11 @@
 """Quality classifier from weak labels.
 
 Overlapping heuristic labellers vote reject / abstain / keep on two aspects of a document,
-``junk`` (symbol noise, shouting, bar lists, repetition, and the given quality label where
-there is one) and ``toxic`` (a short list of insults, words learned from labelled toxic
-documents, and the given label). Expectation-maximisation over the vote patterns of all
-documents estimates what each labeller's votes are worth, and the posterior of every
+``junk`` (symbol noise, shouting, bar lists, repetition, none of these at all, and the
+given quality label where there is one) and ``toxic`` (a short list of insults, words
+learned from labelled toxic documents, none of either, and the given label). A labeller
+that sees nothing abstains, which is no evidence. Expectation-maximisation over the vote
+patterns of all documents estimates each labeller's accuracy, and the posterior of every
 pattern becomes the label of its documents. Those labels train one linear scorer per
 aspect on hashed features: a document's words, scaled by their number, and its votes.
 A document is kept when neither scorer puts rejection at ``0.5`` or more.
@@ -22,6 +23,7 @@ empty table gives no rows; extra columns are ignored by ``score`` and kept by ``
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -34,7 +36,8 @@ from pyspark.sql import functions as F
 
 from ledgerspark.llm.common import table
 
-ASPECTS = {"junk": ("symbols", "shouting", "bars", "repeats", "label"), "toxic": ("insults", "learned", "label")}
+ASPECTS = {"junk": ("symbols", "shouting", "bars", "repeats", "plain", "label"),
+           "toxic": ("insults", "learned", "civil", "label")}
 REJECT, ABSTAIN, KEEP = 0, 1, 2
 #: fixed list of the insult labeller
 INSULTS = frozenset("idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown "
@@ -46,9 +49,6 @@ _PUNCT = np.zeros(256, bool)
 _PUNCT[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
 
 
-def _level(share: float, low: float, high: float) -> int:
-    return REJECT if share > high else KEEP if share <= low else ABSTAIN
-
 
 def _junk_votes(text: str, words: list[str]) -> list[int]:
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
@@ -58,10 +58,10 @@ def _junk_votes(text: str, words: list[str]) -> list[int]:
     n = len(words)
     trigrams = n - 2
     again = 1 - len(set(zip(words, words[1:], words[2:]))) / trigrams if trigrams > 5 else 0.0
-    return [_level(runs / n, 0.02, 0.2),
-            _level(upper / (upper + lower), 0.2, 0.5) if upper + lower >= 20 else ABSTAIN,
-            _level(int(seen[124]) / n, 0.02, 0.2),
-            _level(again, 0.2, 0.4) if trigrams > 5 else ABSTAIN]
+    shares = ((runs / n, 0.02, 0.2), (upper / (upper + lower) if upper + lower >= 20 else 0.0, 0.2, 0.5),
+              (int(seen[124]) / n, 0.02, 0.2), (again, 0.2, 0.4))
+    return [REJECT if x > high else ABSTAIN for x, _, high in shares] + [
+        KEEP if all(x <= low for x, low, _ in shares) else ABSTAIN]
 
 
 class _Reader:
@@ -90,8 +90,8 @@ class _Reader:
             hit |= f
         q, t = self.given.get(key, (None, None))
         label = (lambda v, bad: ABSTAIN if v is None else REJECT if v == bad else KEEP)
-        v = (*_junk_votes(text, words), label(q, 0), REJECT if hit & 1 else KEEP,
-             ABSTAIN if not self.learned else REJECT if hit & 2 else KEEP, label(t, 1))
+        v = (*_junk_votes(text, words), label(q, 0), REJECT if hit & 1 else ABSTAIN, REJECT if hit & 2 else ABSTAIN,
+             ABSTAIN if hit else KEEP, label(t, 1))
         return v, pairs
 
 
@@ -108,30 +108,27 @@ def _features(votes: tuple[int, ...], pairs: list) -> tuple[np.ndarray, float]:
     return np.concatenate([_VOTE_FEATURES[np.arange(len(votes)), votes], words]), 1 / np.sqrt(len(words))
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, trusted: int, rounds: int = 200,
-                             tolerance: float = 1e-7) -> np.ndarray:
-    """P(reject) of each vote pattern. ``patterns`` is (patterns, labellers); column ``trusted`` starts out
-    as the most reliable one. Two classes, votes independent given the class."""
-    n, m = patterns.shape
-    onehot = np.eye(3)[patterns]                       # pattern, labeller, vote
-    start = np.tile(np.array([[.6, .2, .2], [.05, .25, .7]])[:, None, :], (1, m, 1))   # class, labeller, vote
-    start[:, trusted] = [[.9, .08, .02], [.02, .08, .9]]
-    prior, table_ = np.array([.2, .8]), start
-    p = np.full(n, .5)
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500,
+                             tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+    """P(reject) of each vote pattern, and the labellers' accuracies. ``patterns`` is (patterns, labellers);
+    the last labeller (the given label) starts as the most accurate one. Votes are independent given the
+    class, both classes are equally likely before any vote, and an abstention says nothing."""
+    sign = np.select([patterns == REJECT, patterns == KEEP], [1.0, -1.0], 0.0)
+    cast = np.abs(sign) * counts[:, None]
+    accuracy = np.append(np.full(patterns.shape[1] - 1, .8), .95)
+    p = np.full(len(patterns), .5)
     for _ in range(rounds):
-        logs = np.log(prior)[:, None] + np.einsum("nmv,cmv->cn", onehot, np.log(table_))
-        new = 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -500, 500)))
-        if np.abs(new - p).max() < tolerance:
-            break
+        new = 1 / (1 + np.exp(-sign @ np.log(accuracy / (1 - accuracy))))
+        done = np.abs(new - p).max() < tolerance
         p = new
-        w = np.stack([p, 1 - p]) * counts
-        table_ = np.einsum("cn,nmv->cmv", w, onehot) + .5
-        table_ /= table_.sum(2, keepdims=True)
-        prior = (w.sum(1) + 1) / (w.sum() + 2)
-    return p
+        if done:
+            break
+        right = np.where(sign > 0, p[:, None], 1 - p[:, None]) * cast
+        accuracy = np.clip((right.sum(0) + .8) / (cast.sum(0) + 1), .05, .999)
+    return p, accuracy
 
 
-def train_linear(rows: list[tuple[np.ndarray, float]], votes: int, target: np.ndarray, epochs: int = 60,
+def train_linear(rows: list[tuple[np.ndarray, float]], votes: int, target: np.ndarray, epochs: int = 150,
                  rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
     """Logistic regression towards soft targets by adaptive full gradients; the last weight is the bias."""
     weights, grown = np.zeros(DIMS + 1), np.full(DIMS + 1, 1e-8)
@@ -174,9 +171,18 @@ def _given_labels(labels: DataFrame | None, id_col: str, label_rows: int) -> dic
 
 
 def _learn_words(docs: DataFrame, given: dict, lexicon_words: int) -> frozenset:
-    """Words of toxic documents that documents labelled clean hardly use."""
-    toxic = {k for k, (_, t) in given.items() if t == 1}
-    clean = {k for k, (_, t) in given.items() if t == 0}
+    """Words of many toxic documents that documents labelled clean hardly use. Copies count once."""
+    def labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [(k, hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest()) for k, t in zip(pdf["id"], pdf["text"])
+                   if t and k in given]
+            yield pd.DataFrame(own, columns=["id", "h"])
+
+    id_type = docs.schema["id"].dataType.simpleString()
+    once = {r["i"] for r in docs.mapInPandas(labelled, f"id {id_type}, h string").groupBy("h").agg(
+        F.min("id").alias("i")).select("i").collect()}  # no more than the labels in use
+    toxic = {k for k, (_, t) in given.items() if t == 1 and k in once}
+    clean = {k for k, (_, t) in given.items() if t == 0 and k in once}
     if len(toxic) < 5 or not clean:
         return frozenset()
 
@@ -193,7 +199,7 @@ def _learn_words(docs: DataFrame, given: dict, lexicon_words: int) -> frozenset:
     words = docs.mapInPandas(count, "word string, bad long, good long").groupBy("word").agg(
         F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     rate_bad, rate_good = F.col("bad") / len(toxic), (F.col("good") + 0.5) / len(clean)
-    top = words.where((F.col("bad") >= 5) & (rate_bad >= 0.02) & (rate_bad / rate_good >= 50)).orderBy(
+    top = words.where((F.col("bad") >= 5) & (rate_bad >= 0.1) & (rate_bad / rate_good >= 50)).orderBy(
         F.desc("bad"), "word").limit(lexicon_words)
     return frozenset(r["word"] for r in top.collect())
 
@@ -243,7 +249,7 @@ def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id"
             weights[aspect] = np.zeros(DIMS + 1)
             continue
         own, place = np.unique(pattern[:, sub], axis=0, return_inverse=True)
-        p = expectation_maximisation(own, np.bincount(place.ravel(), n, len(own)), len(labellers) - 1)
+        p, _ = expectation_maximisation(own, np.bincount(place.ravel(), n, len(own)))
         posterior = {tuple(v): x for v, x in zip(own.tolist(), p.tolist())}
         weights[aspect] = train_linear(rows, m, np.array([posterior[tuple(r["votes"][sub])] for r in sample]))
     return QualityModel(learned, given, weights)
