@@ -11,8 +11,9 @@ Ids are then gathered for every occurrence. Encoding and decoding need no shuffl
 The vocabulary is a parameter (a rank file); pairs are derived from it by trying every
 split of every token. It is loaded once per Python worker (about 50,000 tokens, 10 MB).
 
-Memory: texts are taken ``BATCH_CHARS`` characters at a time (one longer text alone), so
-a task holds one batch's distinct words.
+Memory: texts are taken about ``BATCH_CHARS`` characters at a time. Until their merges are
+replayed, a task holds their distinct pre-tokens and one number per pre-token; ids are
+then gathered and handed on ``EMIT_WORDS`` pre-tokens at a time.
 
 Cases: a null or empty text has no ids; repeated rows repeat their ids; an empty table
 gives no rows; extra columns are ignored.
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from ledgerspark.llm.common import table
 
 BATCH_CHARS = 16 << 20
+EMIT_WORDS = 400_000
 #: what the Unicode property White_Space holds (Python's own \\s differs from it)
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -148,14 +150,13 @@ def replay_merges(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np
     return tok[alive], np.concatenate([[0], np.cumsum(counts)])
 
 
-def _encode_batch(texts: list[str], split, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after another, and where each text starts (with the end appended)."""
-    code: dict[str, int] = defaultdict()
-    code.default_factory = code.__len__
-    found = [split.findall(t) for t in texts]
-    flat = np.fromiter((code[w] for f in found for w in f), np.int64, sum(map(len, found)))
-    per_text = np.fromiter(map(len, found), np.int64, len(found))
-    del found
+def _codes(texts: list[str], split, code: dict[str, int]) -> list[np.ndarray]:
+    """Numbers of each text's pre-tokens; ``code`` numbers new ones on its own."""
+    return [np.array([code[w] for w in split.findall(t)], np.int32) for t in texts]
+
+
+def _word_ids(code: dict[str, int], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all distinct pre-tokens one after another, and where each starts (with the end appended)."""
     words = [w.encode("utf-8", "surrogatepass") for w in code]
     known = np.fromiter((vocab.whole.get(w, -1) for w in words), np.int64, len(words))
     rest = np.flatnonzero(known < 0)
@@ -166,9 +167,7 @@ def _encode_batch(texts: list[str], split, vocab: Vocabulary) -> tuple[np.ndarra
     pool = np.empty(int(begin[-1]), np.int32)
     pool[begin[:-1][known >= 0]] = known[known >= 0]
     pool[np.repeat(begin[rest], size[rest]) + _ramp(size[rest])] = ids
-    out = pool[np.repeat(begin[flat], size[flat]) + _ramp(size[flat])]
-    ends = np.concatenate([[0], np.cumsum(size[flat])])
-    return out, ends[np.concatenate([[0], np.cumsum(per_text)])]
+    return pool, begin
 
 
 def _ramp(sizes: np.ndarray) -> np.ndarray:
@@ -178,37 +177,68 @@ def _ramp(sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(starts, sizes)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, ids`` (array of int), each match of ``pattern`` merged on its own; no special tokens."""
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+           with_decoded: bool = False) -> DataFrame:
+    """``id, ids`` (array of int), each match of ``pattern`` merged on its own; no special tokens.
+    ``with_decoded`` adds the bytes that the ids stand for, as ``decode`` does, in the same pass."""
     id_type = docs.schema[id_col].dataType.simpleString()
     split = splitter(pattern)
 
+    def emit(keys: pa.Array, codes: list[np.ndarray], pool: np.ndarray, begin: np.ndarray, vocab: Vocabulary):
+        at = 0
+        while at < len(codes):  # gathered a bounded number of tokens at a time
+            end, n = at, 0
+            while end < len(codes) and (end == at or n + len(codes[end]) <= EMIT_WORDS):
+                n += len(codes[end])
+                end += 1
+            flat = np.concatenate(codes[at:end]).astype(np.int64)
+            size = begin[flat + 1] - begin[flat]
+            ids = pool[np.repeat(begin[flat], size) + _ramp(size)]
+            ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0] + [len(c) for c in codes[at:end]])]
+            columns = [keys.slice(at, end - at), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))]
+            if with_decoded:
+                columns.append(pa.array([_bytes(ids[a:b], vocab) for a, b in zip(ends[:-1], ends[1:])], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "ids", "decoded"][:len(columns)])
+            at = end
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = _vocabulary(path)
+        held: list[tuple[pa.Array, list[np.ndarray]]] = []
+        code, chars = defaultdict(), 0
+        code.default_factory = code.__len__
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
             at = 0
-            while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and (end == at or chars + len(texts[end]) <= BATCH_CHARS):
-                    chars += len(texts[end])
-                    end += 1
-                ids, ends = _encode_batch(texts[at:end], split, vocab)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, end - at), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))],
-                    names=["id", "ids"])
-                at = end
-
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type}, ids array<int>")
+            while at < b.num_rows:
+                part = b.column(1).slice(at, 500)
+                texts = [t or "" for t in part.to_pylist()]
+                held.append((b.column(0).slice(at, len(texts)), _codes(texts, split, code)))
+                chars += sum(map(len, texts))
+                at += len(texts)
+                if chars >= BATCH_CHARS:
+                    pool, begin = _word_ids(code, vocab)
+                    for keys, codes in held:
+                        yield from emit(keys, codes, pool, begin, vocab)
+                    held, chars = [], 0
+                    code.clear()
+        pool, begin = _word_ids(code, vocab)
+        for keys, codes in held:
+            yield from emit(keys, codes, pool, begin, vocab)
+
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
+        run, f"id {id_type}, ids array<int>" + ", decoded binary" * with_decoded)
     return out.withColumnRenamed("id", id_col)
 
 
+def _bytes(ids: np.ndarray, vocab: Vocabulary) -> bytes:
+    return b"".join(map(vocab.tokens.__getitem__, ids.tolist()))
+
+
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds the bytes that the ids stand for; null ids decode to null."""
     @F.pandas_udf("binary")
     def run(ids: pd.Series) -> pd.Series:
-        byte = _vocabulary(path).tokens.__getitem__
-        return ids.map(lambda x: None if x is None else b"".join(map(byte, x.tolist())))
+        vocab = _vocabulary(path)
+        return ids.map(lambda x: None if x is None else _bytes(x, vocab))
 
     return encoded.withColumn(out_col, run(F.col(ids_col)))
 
@@ -218,8 +248,8 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
 def op3_byte_bpe(spark, sf_dir):
     import public_tokenizers
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    e = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
-    d = decode(e, path)
-    return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+    e = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN,
+               with_decoded=True)
+    return e.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                     F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                     F.sha2("decoded", 256).alias("decoded_sha256"))

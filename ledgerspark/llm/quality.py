@@ -10,31 +10,30 @@ pattern becomes the label of its documents. Those labels train one linear scorer
 aspect on hashed features: a document's words, scaled by their number, and its votes.
 A document is kept when neither scorer puts rejection at ``0.5`` or more.
 
-Scale: votes are counted by pattern before anything moves (at most 3^labellers rows
-reach the driver). Bounds, all parameters: ``label_rows`` labelled rows are used as votes
+Scale: one pass reads the texts and stores votes and hashed words; the rest works on those.
+Votes are counted by pattern before anything moves (at most 3^labellers rows reach the
+driver). Bounds, all parameters: ``label_rows`` labelled rows are used as votes
 and for the learned words, ``train_docs`` documents (chosen by a hash of the id) train
 the scorers, ``lexicon_words`` words are learned. Everything else covers all rows; no step
 shuffles texts, and a task keeps one Arrow batch.
 
 Cases: a document without words (null, empty, blank) is rejected with scores 1 and 0;
 repeated rows get equal results; without labels the label votes abstain everywhere; an
-empty table gives no rows; extra columns are ignored by ``score`` and kept by ``keep``.
+empty table gives no rows; extra columns are ignored unless carried.
 """
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import table
+from ledgerspark.llm.common import stored, table
 
 ASPECTS = {"junk": ("symbols", "shouting", "bars", "repeats", "plain", "label"),
            "toxic": ("insults", "learned", "civil", "label")}
@@ -99,13 +98,8 @@ def _vote_feature(i: int, vote: int) -> int:
     return zlib.crc32(f"vote {i} {vote}".encode()) % DIMS
 
 
-_VOTE_FEATURES = np.array([[_vote_feature(i, v) for v in range(3)] for i in range(sum(map(len, ASPECTS.values())))])
-
-
-def _features(votes: tuple[int, ...], pairs: list) -> tuple[np.ndarray, float]:
-    """Indices of the votes, then of the distinct words; the value that all words share (votes have 1)."""
-    words = np.unique(np.fromiter((i for i, _ in pairs), np.int64, len(pairs)))
-    return np.concatenate([_VOTE_FEATURES[np.arange(len(votes)), votes], words]), 1 / np.sqrt(len(words))
+_VOTES = sum(map(len, ASPECTS.values()))
+_VOTE_FEATURES = np.array([[_vote_feature(i, v) for v in range(3)] for i in range(_VOTES)])
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500,
@@ -119,7 +113,7 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     p = np.full(len(patterns), .5)
     for _ in range(rounds):
         new = 1 / (1 + np.exp(-sign @ np.log(accuracy / (1 - accuracy))))
-        done = np.abs(new - p).max() < tolerance
+        done = np.abs(new - p).max(initial=0.0) < tolerance
         p = new
         if done:
             break
@@ -128,183 +122,141 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     return p, accuracy
 
 
-def train_linear(rows: list[tuple[np.ndarray, float]], votes: int, target: np.ndarray, epochs: int = 150,
+def train_linear(votes: np.ndarray, words: list[np.ndarray], target: np.ndarray, epochs: int = 150,
                  rate: float = 0.5, decay: float = 1e-5) -> np.ndarray:
     """Logistic regression towards soft targets by adaptive full gradients; the last weight is the bias."""
     weights, grown = np.zeros(DIMS + 1), np.full(DIMS + 1, 1e-8)
-    if not rows:
+    if not len(words):
         return weights
-    sizes = np.array([len(i) for i, _ in rows])
-    index = np.concatenate([i for i, _ in rows])
-    value = np.repeat([v for _, v in rows], sizes)
-    first = np.cumsum(sizes) - sizes
-    value[(first[:, None] + np.arange(votes)).ravel()] = 1.0
-    owner = np.repeat(np.arange(len(rows)), sizes)
+    vote = _VOTE_FEATURES[np.arange(_VOTES), votes]
+    sizes = np.array([len(w) for w in words])
+    index, owner, first = np.concatenate(words), np.repeat(np.arange(len(words)), sizes), np.cumsum(sizes) - sizes
+    value = 1 / np.sqrt(sizes)
     for _ in range(epochs):
-        z = np.add.reduceat(weights[index] * value, first) + weights[-1]
-        miss = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - target
-        g = np.bincount(index, miss[owner] * value, DIMS + 1) / len(rows) + decay * weights
-        g[-1] = miss.mean()
+        z = np.add.reduceat(weights[index], first) * value + weights[vote].sum(1) + weights[-1]
+        miss = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - target) / len(words)
+        g = np.bincount(index, (miss * value)[owner], DIMS + 1) + decay * weights
+        np.add.at(g, vote, miss[:, None])
+        g[-1] = miss.sum()
         grown += g * g
         weights -= rate * g / np.sqrt(grown)
     return weights
 
 
-@dataclass(frozen=True)
-class QualityModel:
-    learned: frozenset
-    given: dict
-    weights: dict[str, np.ndarray]
-
-
 def _share(n_rows: int, wanted: int) -> int:
     return int(min(1.0, wanted / max(n_rows, 1)) * (1 << 30)) + 1
 
 
-def _given_labels(labels: DataFrame | None, id_col: str, label_rows: int) -> dict:
+def _given_labels(labels: DataFrame | None, id_col: str, label_rows: int) -> tuple[dict, int]:
+    """id -> (quality, toxic) of about ``label_rows`` labelled ids, and the hash bound that chose them."""
     if labels is None:
-        return {}
+        return {}, 0
     cut = _share(labels.count(), label_rows)
     got = labels.where(F.pmod(F.xxhash64(F.lit("labels"), F.col(id_col)), F.lit(1 << 30)) < cut).groupBy(id_col).agg(
         F.min("quality").alias("q"), F.max("toxic").alias("t"))
-    return {r[0]: (r["q"], r["t"]) for r in got.collect()}  # label_rows rows, give or take the hash
+    return {r[0]: (r["q"], r["t"]) for r in got.collect()}, cut
 
 
-def _learn_words(docs: DataFrame, given: dict, lexicon_words: int) -> frozenset:
+def _learn_words(docs: DataFrame, given: dict, cut: int, lexicon_words: int) -> frozenset:
     """Words of many toxic documents that documents labelled clean hardly use. Copies count once."""
-    def labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            own = [(k, hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest()) for k, t in zip(pdf["id"], pdf["text"])
-                   if t and k in given]
-            yield pd.DataFrame(own, columns=["id", "h"])
-
-    id_type = docs.schema["id"].dataType.simpleString()
-    once = {r["i"] for r in docs.mapInPandas(labelled, f"id {id_type}, h string").groupBy("h").agg(
-        F.min("id").alias("i")).select("i").collect()}  # no more than the labels in use
-    toxic = {k for k, (_, t) in given.items() if t == 1 and k in once}
-    clean = {k for k, (_, t) in given.items() if t == 0 and k in once}
-    if len(toxic) < 5 or not clean:
+    own = docs.where(F.pmod(F.xxhash64(F.lit("labels"), "id"), F.lit(1 << 30)) < cut)
+    toxic_ids, clean_ids = ({k for k, (_, t) in given.items() if t == v} for v in (1, 0))
+    if len(toxic_ids) < 5 or not clean_ids:
         return frozenset()
 
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[[k in toxic_ids or k in clean_ids for k in pdf["id"]]]
+
+    labelled = own.select("id", F.md5("text").alias("h")).mapInPandas(mark, own.select("id", F.md5("text").alias("h")).schema)
+    once = {r["i"] for r in labelled.groupBy("h").agg(F.min("id").alias("i")).select("i").collect()}  # <= the labels in use
+    toxic, clean = toxic_ids & once, clean_ids & once
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bad, good = Counter(), Counter()
         for pdf in batches:
             for key, text in zip(pdf["id"], pdf["text"]):
                 if text and (key in toxic or key in clean):
                     (bad if key in toxic else good).update({w.lower().strip(_EDGE) for w in set(text.split())})
-        both = list(bad.keys() | good.keys())
+        both = list(bad)  # words of no toxic document cannot be learned
         yield pd.DataFrame({"word": pd.Series(both, dtype=object), "bad": pd.Series([bad[w] for w in both], dtype="int64"),
                             "good": pd.Series([good[w] for w in both], dtype="int64")})
 
-    words = docs.mapInPandas(count, "word string, bad long, good long").groupBy("word").agg(
+    seen = own.select("id", "text").mapInPandas(count, "word string, bad long, good long").groupBy("word").agg(
         F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    rate_bad, rate_good = F.col("bad") / len(toxic), (F.col("good") + 0.5) / len(clean)
-    top = words.where((F.col("bad") >= 5) & (rate_bad >= 0.1) & (rate_bad / rate_good >= 50)).orderBy(
+    rate_bad, rate_good = F.col("bad") / max(len(toxic), 1), (F.col("good") + 0.5) / max(len(clean), 1)
+    top = seen.where((F.col("bad") >= 5) & (rate_bad >= 0.02) & (rate_bad / rate_good >= 100)).orderBy(
         F.desc("bad"), "word").limit(lexicon_words)
     return frozenset(r["word"] for r in top.collect())
 
 
-def fit(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
-        label_rows: int = 20_000, train_docs: int = 20_000, lexicon_words: int = 200) -> QualityModel:
+def evidence(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
+             carry: tuple[str, ...] = ("doc_id",), label_rows: int = 20_000, lexicon_words: int = 200) -> DataFrame:
+    """``carry`` columns of every document with its ``_votes`` and hashed ``_words`` (null without words),
+    stored in the shared folder: texts are read once, whatever is then fitted and scored."""
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    given = _given_labels(labels, id_col, label_rows)
-    learned = _learn_words(d, given, lexicon_words)
-
-    def patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader, seen = _Reader(learned, given), Counter()
-        for pdf in batches:
-            for key, text in zip(pdf["id"], pdf["text"]):
-                got = reader.votes(key, text)
-                if got:
-                    seen[got[0]] += 1
-        yield pd.DataFrame({"votes": pd.Series([list(v) for v in seen], dtype=object),
-                            "n": pd.Series(list(seen.values()), dtype="int64")})
-
-    counted = d.mapInPandas(patterns, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()
-    m = sum(map(len, ASPECTS.values()))
-    pattern = np.array([r["votes"] for r in counted], int).reshape(-1, m)
+    given, cut = _given_labels(labels, id_col, label_rows)
+    learned = _learn_words(d, given, cut, lexicon_words)
+
+    @F.pandas_udf("struct<votes:array<int>,words:binary>")
+    def look(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        reader, votes, words = _Reader(learned, given), [], []
+        for key, text in zip(ids, texts):
+            got = reader.votes(key, text)
+            votes.append(list(got[0]) if got else None)
+            words.append(np.unique(np.fromiter((i for i, _ in got[1]), np.int32, len(got[1]))).tobytes() if got else None)
+        return pd.DataFrame({"votes": pd.Series(votes, dtype=object), "words": pd.Series(words, dtype=object)})
+
+    return stored(docs.withColumn("_e", look(F.col(id_col), F.col(text_col))).select(
+        *carry, F.col("_e.votes").alias("_votes"), F.col("_e.words").alias("_words")))
+
+
+def fit(seen: DataFrame, id_col: str = "doc_id", train_docs: int = 20_000) -> dict[str, np.ndarray]:
+    """Weights per aspect. All documents' votes go into the labellers' accuracies; about ``train_docs``
+    documents train the scorers."""
+    voted = seen.where(F.col("_votes").isNotNull())
+    counted = voted.groupBy("_votes").agg(F.count(F.lit(1)).alias("n")).collect()  # <= 3^labellers rows
+    pattern = np.array([r["_votes"] for r in counted], int).reshape(-1, _VOTES)
     n = np.array([r["n"] for r in counted], float)
-
-    cut = _share(d.count(), train_docs)
-
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = _Reader(learned, given)
-        for pdf in batches:
-            out = []
-            for key, text in zip(pdf["id"], pdf["text"]):
-                got = reader.votes(key, text)
-                if got:
-                    index, value = _features(*got)
-                    out.append((list(got[0]), index.astype("int32").tobytes(), value))
-            yield pd.DataFrame(out, columns=["votes", "index", "value"])
-
-    sample = d.where(F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(1 << 30)) < cut).mapInPandas(
-        features, "votes array<int>, index binary, value double").collect()
-    rows = [(np.frombuffer(r["index"], np.int32), r["value"]) for r in sample]
+    cut = _share(int(n.sum()), train_docs)
+    sample = voted.where(F.pmod(F.xxhash64(F.lit("train"), F.col(id_col)), F.lit(1 << 30)) < cut).select("_votes", "_words").collect()
+    votes = np.array([r["_votes"] for r in sample], int).reshape(-1, _VOTES)
+    words = [np.frombuffer(r["_words"], np.int32) for r in sample]
     weights, at = {}, 0
     for aspect, labellers in ASPECTS.items():
         sub = slice(at, at + len(labellers))
         at += len(labellers)
-        if not len(pattern):
-            weights[aspect] = np.zeros(DIMS + 1)
-            continue
         own, place = np.unique(pattern[:, sub], axis=0, return_inverse=True)
         p, _ = expectation_maximisation(own, np.bincount(place.ravel(), n, len(own)))
         posterior = {tuple(v): x for v, x in zip(own.tolist(), p.tolist())}
-        weights[aspect] = train_linear(rows, m, np.array([posterior[tuple(r["votes"][sub])] for r in sample]))
-    return QualityModel(learned, given, weights)
-
-
-SCORES = "junk double, toxic double, keep boolean"
-
-
-def _scores(model: QualityModel, keys, texts) -> list[tuple[float, float, bool]]:
-    reader, out = _Reader(model.learned, model.given), []
-    for key, text in zip(keys, texts):
-        got = reader.votes(key, text)
-        if not got:
-            out.append((1.0, 0.0, False))
-            continue
-        index, value = _features(*got)
-        k = len(got[0])
-        p = [1 / (1 + np.exp(-np.clip(w[index[:k]].sum() + value * w[index[k:]].sum() + w[-1], -40, 40)))
-             for w in model.weights.values()]
-        out.append((*map(float, p), max(p) < 0.5))
-    return out
-
-
-def _shared(spark, model: QualityModel):
-    return spark.sparkContext.broadcast(model)  # 2 x 2^18 weights, label_rows labels: bounded by parameters
-
-
-def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, junk, toxic`` (probabilities of rejection) and ``keep``."""
-    b = _shared(docs.sparkSession, model)
-    id_type = docs.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pd.DataFrame(_scores(b.value, pdf["id"], pdf["text"]), columns=["junk", "toxic", "keep"])
-            out.insert(0, "id", pdf["id"].to_numpy())
-            yield out
-
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {id_type}, {SCORES}")
-    return out.withColumnRenamed("id", id_col)
+        weights[aspect] = train_linear(votes, words, np.array([posterior[tuple(v)] for v in votes[:, sub].tolist()]))
+    return weights
 
 
-def keep(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the model keeps, all columns unchanged."""
-    b = _shared(docs.sparkSession, model)
+def score(seen: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
+    """``seen`` with ``junk`` and ``toxic`` (probabilities of rejection) and ``keep``."""
+    b = seen.sparkSession.sparkContext.broadcast(weights)  # 2 x 2^18 numbers
 
-    @F.pandas_udf("boolean")
-    def good(ids: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([k for _, _, k in _scores(b.value, ids, texts)], dtype=bool)
+    @F.pandas_udf("struct<junk:double,toxic:double,keep:boolean>")
+    def judge(votes: pd.Series, words: pd.Series) -> pd.DataFrame:
+        has = votes.notna().to_numpy()
+        out = {"junk": np.ones(len(votes)), "toxic": np.zeros(len(votes))}
+        if has.any():
+            vote = _VOTE_FEATURES[np.arange(_VOTES), np.stack(votes[has].to_list())]
+            index = [np.frombuffer(w, np.int32) for w in words[has]]
+            sizes = np.array([len(i) for i in index])
+            flat, first = np.concatenate(index), np.cumsum(sizes) - sizes
+            for aspect, w in b.value.items():
+                z = np.add.reduceat(w[flat], first) / np.sqrt(sizes) + w[vote].sum(1) + w[-1]
+                out[aspect][has] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        return pd.DataFrame(out | {"keep": (out["junk"] < 0.5) & (out["toxic"] < 0.5)})
 
-    return docs.where(good(F.col(id_col), F.col(text_col)))
+    return seen.withColumn("_s", judge("_votes", "_words")).select(
+        *[c for c in seen.columns if c not in ("_votes", "_words")], "_s.junk", "_s.toxic", "_s.keep")
 
 
 # --------------------------------------------------------------------------- query
 
 def op5_quality_classifier(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    seen = evidence(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score(seen, fit(seen))

@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from ledgerspark.llm import bpe, chat, fingerprint, quality, secrets, url_filter
+from ledgerspark.llm import (bpe, chat, embed_dedup, fingerprint, ngram_join, packing, quality, secrets, suffix_dedup,
+                             url_filter)
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
 
 QUERIES = {
     "op1_url_filter": (url_filter.op1_url_filter, url_filter.OP1_SQL),
@@ -10,5 +17,10 @@ QUERIES = {
     "op3_byte_bpe": (bpe.op3_byte_bpe, None),
     "op4_fingerprint": (fingerprint.op4_fingerprint, None),
     "op5_quality_classifier": (quality.op5_quality_classifier, None),
+    "op6_embedding_near_dedup": (embed_dedup.op6_embedding_near_dedup, embed_dedup.OP6_SQL),
+    "op7_packing": (packing.op7_packing, None),
     "op8_chat_format": (chat.op8_chat_format, chat.OP8_SQL),
+    "op9_ngram_jaccard": (ngram_join.op9_ngram_jaccard, ngram_join.OP9_SQL),
+    "op10_suffix_dedup": (suffix_dedup.op10_suffix_dedup, None),
+    "pipeline": (pipeline, None),
 }

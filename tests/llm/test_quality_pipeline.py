@@ -1,0 +1,62 @@
+"""Quality classifier (held-out accuracy) and the pipeline's stages."""
+
+import numpy as np
+
+import corpus_pipeline
+from ledgerspark.llm import quality
+from ledgerspark.llm.common import table
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_quality_on_held_out_labels(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
+    seen = quality.evidence(docs, labels.where("doc_id % 2 = 0"))
+    s = quality.score(seen, quality.fit(seen))
+    held = [r for r in s.withColumnRenamed("toxic", "p").join(labels.where("doc_id % 2 = 1"), "doc_id").collect()]
+    clean = [r for r in held if r.quality == 1 and r.toxic == 0]
+    bad = [r for r in held if r.quality == 0 or r.toxic == 1]
+    assert np.mean([r.keep for r in clean]) > 0.97 and np.mean([not r.keep for r in bad]) > 0.9
+
+
+def test_quality_without_labels_and_on_hostile_rows(spark):
+    good = "The quick brown fox walks over the hill and then it rests near the old mill by the river. "
+    rows = [(i, (good + f"Number word{i} follows word{i * 7} here. ") * 1) for i in range(60)]
+    rows += [(100 + i, "BUY NOW!!! ### " * 30) for i in range(10)] + [(200, None), (201, ""), (202, " \n"), (203, good), (203, good)]
+    rows += [(300, good + " You are an idiot, truly."), (301, "x" * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS keep", "2 AS junk")
+    seen = quality.evidence(df)
+    got = {}
+    for r in quality.score(seen, quality.fit(seen)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert all(r.keep for i in range(60) for r in got[i]) and not any(r.keep for i in range(100, 110) for r in got[i])
+    assert [(r.junk, r.toxic, r.keep) for i in (200, 201, 202) for r in got[i]] == [(1.0, 0.0, False)] * 3
+    assert len(got[203]) == 2 and got[203][0] == got[203][1] and not got[300][0].keep
+    none = quality.evidence(df.limit(0))
+    assert quality.score(none, quality.fit(none)).count() == 0
+
+
+def test_accuracies_follow_agreement():
+    rng = np.random.default_rng(1)
+    truth = rng.random(4000) < 0.4
+    votes = np.stack([np.where(rng.random(4000) < a, np.where(rng.random(4000) < acc, truth, ~truth), 2)
+                      for a, acc in ((.6, .9), (.6, .7), (.5, .95))], 1).astype(int)
+    votes = np.where(votes == 2, quality.ABSTAIN, np.where(votes == 1, quality.REJECT, quality.KEEP))
+    own, place = np.unique(votes, axis=0, return_inverse=True)
+    p, accuracy = quality.expectation_maximisation(own, np.bincount(place.ravel()).astype(float))
+    assert np.abs(accuracy - [.9, .7, .95]).max() < 0.08
+
+
+def test_pipeline_stages(spark):
+    docs = table(spark, SF, "documents")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "repeats", "secrets", "packing"]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.stored(stage(spark, docs, SF))
+        assert out.columns == docs.columns and 0 < out.count() <= docs.count()
+        assert out.select("doc_id").distinct().count() == out.count()
+        if name == "repeats":
+            assert out.count() == docs.count()
+        docs = out
+    assert docs.where("n_chars <> length(text)").count() == 0
+    assert docs.where("text rlike 'AKIA[A-Z0-9]{16,}'").count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).select("doc_id").distinct().count() == docs.count()

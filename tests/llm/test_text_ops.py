@@ -31,6 +31,8 @@ def test_bpe_equals_tiktoken(spark):
         t = texts[r.doc_id] or ""
         assert r.ids == enc.encode_ordinary(t), repr(t[:60])
         assert bytes(r.decoded) == t.encode()
+    both = bpe.encode(df, PATH, public_tokenizers.PATTERN, with_decoded=True).collect()
+    assert {r.doc_id: bytes(r.decoded) for r in both} == {i: (t or "").encode() for i, t in enumerate(texts)}
     assert bpe.encode(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
 
 
