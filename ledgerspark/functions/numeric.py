@@ -1,4 +1,4 @@
-"""Numeric helpers (F11-F13, P15, A25) that never raise under ANSI mode."""
+"""Numeric helper."""
 
 from __future__ import annotations
 
@@ -10,26 +10,6 @@ def _c(c: str | Column) -> Column:
     return F.col(f"`{c}`") if isinstance(c, str) else c
 
 
-def safe_ratio(num: str | Column, den: str | Column) -> Column:
-    """``num / den``; NULL when ``den`` is 0 (instead of an ANSI error)."""
-    return F.try_divide(_c(num), _c(den))
-
-
 def floor_amount(x: str | Column, floor: float = 0.01) -> Column:
     """NULL or below ``floor`` -> ``floor``."""
     return F.greatest(F.coalesce(_c(x), F.lit(floor)), F.lit(floor))
-
-
-def log10_amount(x: str | Column) -> Column:
-    """base-10 logarithm (NULL for values <= 0)."""
-    return F.log10(_c(x))
-
-
-def relative_error(a: str | Column, b: str | Column, target: str | Column) -> Column:
-    """``abs(a * b - target) / target``."""
-    return F.try_divide(F.abs(_c(a) * _c(b) - _c(target)), _c(target))
-
-
-def round_half_up(x: str | Column, places: int) -> Column:
-    """``ROUND(x, places)`` (half up on the decimal value)."""
-    return F.round(_c(x), places)

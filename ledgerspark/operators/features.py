@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ledgerspark.functions import calendar as cal
 from ledgerspark.functions.lookups import (CURRENCY_TO_REDUCED, PRODUCT_NAME_TO_GROUP, PRODUCT_NAME_TO_TYPE,
                                            map_lookup)
-from ledgerspark.operators import joins, quality
+from ledgerspark.operators import quality
 from ledgerspark.operators.ranking import exact_quantiles
 
 
@@ -152,11 +152,11 @@ def client_flags(summary: DataFrame, th: ClientThresholds = ClientThresholds())
 CLIENT_FLAG_COLS = ["suspicious_client", "trusted_client", "new_client", "frequent_client"]
 
 
-def attach_client_flags(df: DataFrame, flags: DataFrame, client: str, salt_buckets: int = 16,
-                        drop_client: bool = True) -> DataFrame:
-    """Left join the client classes back onto the trades; ``client_name`` survives."""
+def attach_client_flags(df: DataFrame, flags: DataFrame, client: str, drop_client: bool = True) -> DataFrame:
+    """Left join the client classes back onto the trades; ``client_name`` survives. A client with very
+    many trades is split by AQE's skew handling (the trades are the side that may be split)."""
     right = flags.select("client_name", *CLIENT_FLAG_COLS)
-    j = joins.salted_left_join(df, right, _c(client), "client_name", salt_buckets)
+    j = df.join(right, _c(client) == F.col("client_name"), "left")
     return j.drop(client) if drop_client else j
 
 

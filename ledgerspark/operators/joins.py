@@ -1,9 +1,5 @@
-"""Joins of the reference (J1-J8, J11) with explicit broadcast rules.
-
-A side is broadcast only when its size is bounded by construction (a literal
-lookup of a known number of rows, or a calendar spine whose row count is the
-number of days in the span); everything else is left to the planner, whose
-broadcast decision under AQE is taken on measured runtime sizes.
+"""Joins of the reference (J1-J8, J11). Which side is broadcast and how skewed keys are
+split is left to the planner, which decides under AQE on measured sizes.
 """
 
 from __future__ import annotations
@@ -11,23 +7,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# a literal lookup above this many rows is not broadcast
-MAX_LITERAL_BROADCAST_ROWS = 100_000
-
-
-def lookup_join(df: DataFrame, lookup: DataFrame, left_on: str, right_on: str,
-                how: str = "left", lookup_rows: int | None = None, drop_key: bool = True) -> DataFrame:
-    """Many-to-one lookup; unmatched rows keep NULLs.
-
-    ``lookup_rows`` is the known (literal) size of the lookup; only then is it
-    broadcast. Without it the planner decides from statistics / runtime size.
-    """
-    right = lookup
-    if lookup_rows is not None and lookup_rows <= MAX_LITERAL_BROADCAST_ROWS:
-        right = F.broadcast(lookup)
-    out = df.join(right, df[left_on] == right[right_on], how)
-    return out.drop(right[right_on]) if drop_key and left_on != right_on else out
-
 
 def fanout_left_join(transactions: DataFrame, rates: DataFrame, t_key: str = "currency",
                      t_date: str = "trans_date", r_key: str = "currency", r_date: str = "exchange_date",
@@ -72,32 +51,12 @@ def calendar_left_join(spine: DataFrame, daily: DataFrame, spine_date: str = "th
                        daily_date: str = "exchange_date") -> DataFrame:
     """Every calendar day with every reading of that day (NULLs on empty days).
 
-    Written as (readings on spine days) + (spine days without a reading): the
-    spine, one row per day of the span, is the broadcast side; the readings are
-    never shuffled by date, so a busy day cannot become one hot task.
+    Written as (readings on spine days) + (spine days without a reading): both are joins that
+    the planner may broadcast by measured size or split where one day is busy.
     """
-    s = F.broadcast(spine.select(F.col(spine_date).alias("_sd")))
+    s = spine.select(F.col(spine_date).alias("_sd"))
     hits = daily.join(s, daily[daily_date] == s["_sd"], "left_semi")
     hit_rows = hits.withColumn(spine_date, F.col(daily_date))
     empty = spine.select(spine_date).join(
         daily.select(F.col(daily_date).alias(spine_date)).distinct(), spine_date, "left_anti")
     return hit_rows.unionByName(empty, allowMissingColumns=True)
-
-
-def salted_left_join(big: DataFrame, per_key: DataFrame, big_key, key: str, salt_buckets: int = 16) -> DataFrame:
-    """Left join of a large table to a one-row-per-key table, robust to a hot key.
-
-    The large side gets a deterministic salt (hash of the whole row) in
-    ``[0, salt_buckets)``; the per-key side is repeated once per salt value, so a
-    key holding a third of all rows is spread over ``salt_buckets`` tasks. Results
-    are identical to the plain left join.
-    """
-    if salt_buckets <= 1:
-        return big.join(per_key, big_key == per_key[key], "left").drop(per_key[key])
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(salt_buckets))
-    b = big.withColumn("_salt", salt)
-    p = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
-    p = p.withColumnRenamed(key, "_jk")
-    j = b.join(p, (big_key == F.col("_jk")) & (b["_salt"] == p["_salt"]), "left")
-    out = j.drop(p["_salt"]).drop(b["_salt"])
-    return out.withColumnRenamed("_jk", key)

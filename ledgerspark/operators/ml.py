@@ -14,6 +14,7 @@ fitted parameters (category labels, 2 x k scaling constants, trees).
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
@@ -42,6 +43,7 @@ class FeatureSpec:
 
 
 REFERENCE_FEATURES = FeatureSpec()
+MISSING_LEVEL = "(missing)"
 
 
 @dataclass(frozen=True)
@@ -84,16 +86,36 @@ def feature_stages(all_rows: DataFrame, train: DataFrame, spec: FeatureSpec) ->
     cat = list(spec.categorical)
     idx = [f"{_safe(c)}_idx" for c in cat]
     vec = [f"{_safe(c)}_vec" for c in cat]
-    indexer = StringIndexer(inputCols=cat, outputCols=idx, handleInvalid="keep",
-                            stringOrderType="frequencyDesc").fit(all_rows)
-    encoder = OneHotEncoder(inputCols=idx, outputCols=vec, dropLast=False).fit(indexer.transform(all_rows))
+    # a missing category is a level of its own; a level that all_rows does not have is an error
+    named = SQLTransformer(statement="SELECT *, " + ", ".join(
+        f"coalesce(CAST(`{c}` AS STRING), '{MISSING_LEVEL}') AS `{_safe(c)}_cat`" for c in cat) + " FROM __THIS__")
+    all_named = named.transform(all_rows)
+    indexer = StringIndexer(inputCols=[f"{_safe(c)}_cat" for c in cat], outputCols=idx, handleInvalid="error",
+                            stringOrderType="frequencyDesc").fit(all_named)
+    encoder = OneHotEncoder(inputCols=idx, outputCols=vec, dropLast=False).fit(indexer.transform(all_named))
     scaler = population_scaler(train, list(spec.continuous))
     scaled = [f"{_safe(c)}_scaled" for c in spec.continuous]
     bools = SQLTransformer(statement="SELECT *, " + ", ".join(
         f"CAST(`{c}` AS DOUBLE) AS `{_safe(c)}_num`" for c in spec.boolean) + " FROM __THIS__")
     assembler = VectorAssembler(inputCols=vec + scaled + [f"{_safe(c)}_num" for c in spec.boolean],
                                 outputCol="features")
-    return [indexer, encoder, scaler, bools, assembler], "features"
+    return [named, indexer, encoder, scaler, bools, assembler], "features"
+
+
+def one_hot_counts(df: DataFrame, spec: FeatureSpec) -> DataFrame:
+    """M4 check: ``column, level, n`` counted from the encoded vectors."""
+    named, indexer, encoder = feature_stages(df, df, spec)[0][:3]
+    enc = PipelineModel([named, indexer, encoder]).transform(df)
+    levels = dict(zip(spec.categorical, indexer.labelsArray))
+    cells = F.concat(*[F.transform(vector_to_array(f"{_safe(c)}_vec"), lambda x, i, c=c: F.struct(
+        F.lit(c).alias("column"), F.get(F.array(*[F.lit(v) for v in levels[c]]), i).alias("level"), x.alias("x")))
+        for c in spec.categorical])
+    return enc.select(F.explode(cells).alias("s")).groupBy("s.column", "s.level").agg(F.sum("s.x").cast("long").alias("n"))
+
+
+def scaled(df: DataFrame, train: DataFrame, spec: FeatureSpec) -> DataFrame:
+    """M5: ``df`` with its continuous columns scaled by ``train`` (suffix ``_scaled``)."""
+    return population_scaler(train, list(spec.continuous)).transform(df)
 
 
 def forest(params: ForestParams, label: str, features: str = "features") -> RandomForestClassifier:
@@ -151,8 +173,7 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     total = df.select(F.count(F.lit(1))).scalar()
     k = counts.select(F.count(F.lit(1))).scalar()
     w = counts.select("_lbl", (total / (k * F.col("_nc"))).alias(out))
-    # one row per class
-    return df.join(F.broadcast(w), F.col(f"`{label}`").eqNullSafe(F.col("_lbl"))).drop("_lbl")
+    return df.join(w, F.col(f"`{label}`").eqNullSafe(F.col("_lbl"))).drop("_lbl")
 
 
 def alternative_classifier(kind: str, label: str = "_label", weight: str | None = None, seed: int = 42):
@@ -170,36 +191,38 @@ def alternative_classifier(kind: str, label: str = "_label", weight: str | None
 
 
 def cross_validate(df: DataFrame, spec: FeatureSpec, params: ForestParams, k: int = 15, seed: int = 42,
-                   key_cols: list[str] | None = None) -> DataFrame:
+                   key_cols: list[str] | None = None, parallelism: int = 3) -> DataFrame:
     """Stratified k-fold scores ``fold, accuracy, macro_f1`` (one model per fold).
 
     Category encoders depend on the whole table only, so they are fitted once and
     the encoded rows are kept; per fold only the scaler (train part) and the
-    forest are fitted. The fold loop runs on the driver over k plans; each fit and
-    score is distributed.
+    forest are fitted. The fold loop runs on the driver over k plans, ``parallelism`` at
+    a time; each fit and score is distributed.
     """
-    from functools import reduce
     folded = stratified_folds(df, spec.label, k, seed, key_cols)
     stages, feats = feature_stages(folded, folded, spec)
-    indexer, encoder, _, bools, assembler = stages
-    encoded = PipelineModel([indexer, encoder, bools]).transform(folded).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
-    try:
-        for f in range(k):
-            train = encoded.where(F.col("fold") != f)
-            test = encoded.where(F.col("fold") == f)
-            scaler = population_scaler(train, list(spec.continuous))
-            prep = PipelineModel([scaler, assembler])
-            matrix = prep.transform(train.withColumn("_label", F.col(f"`{spec.label}`").cast("double")))
-            model = forest(params, "_label", feats).fit(matrix.select("_label", feats))
-            pred = predict(PipelineModel([scaler, assembler, model]), test, spec.label)
-            rep = ev.classification_report(pred)
-            rows.append(rep.agg(F.max(F.when(F.col("row") == "accuracy", F.col("f1"))).alias("accuracy"),
-                                F.max(F.when(F.col("row") == "macro avg", F.col("f1"))).alias("macro_f1"))
-                           .select(F.lit(f).alias("fold"), "accuracy", "macro_f1"))
-        # materialise the k one-row results before the encoded rows are released
-        out = reduce(DataFrame.unionByName, rows)
-        result = df.sparkSession.createDataFrame(out.collect(), out.schema)
+    named, indexer, encoder, _, bools, assembler = stages
+    encoded = PipelineModel([named, indexer, encoder, bools]).transform(folded).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def score_fold(f: int) -> tuple:
+        train, test = encoded.where(F.col("fold") != f), encoded.where(F.col("fold") == f)
+        scaler = population_scaler(train, list(spec.continuous))
+        matrix = PipelineModel([scaler, assembler]).transform(
+            train.withColumn("_label", F.col(f"`{spec.label}`").cast("double"))).select("_label", feats).persist(
+            StorageLevel.MEMORY_AND_DISK)
+        try:
+            model = forest(params, "_label", feats).fit(matrix)
+        finally:
+            matrix.unpersist()
+        pred = predict(PipelineModel([scaler, assembler, model]), test, spec.label)
+        r = ev.classification_report(pred).agg(F.max(F.when(F.col("row") == "accuracy", F.col("f1"))).alias("accuracy"),
+                                               F.max(F.when(F.col("row") == "macro avg", F.col("f1"))).alias("macro_f1")).first()
+        return f, r["accuracy"], r["macro_f1"]
+
+    try:  # a few folds at a time share the cluster; one row per fold comes back
+        with ThreadPool(parallelism) as pool:
+            result = df.sparkSession.createDataFrame(pool.map(score_fold, range(k), chunksize=1),
+                                                     "fold int, accuracy double, macro_f1 double")
     finally:
         encoded.unpersist()
     return result

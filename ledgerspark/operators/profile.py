@@ -8,12 +8,10 @@ in-memory percentile buffer, so no single task has to hold a whole column.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.operators.ranking import exact_quantiles
+from ledgerspark.operators.ranking import exact_quantiles, quantiles_by_column
 
 
 def _cnt() -> Column:
@@ -33,42 +31,34 @@ def global_summary(df: DataFrame, key: str, date: str, first_name: str = "earlie
                   F.date_diff(F.max(date), F.min(date)).alias("range_days"))
 
 
-def transaction_key_summary(df: DataFrame, key: str, date: str) -> DataFrame:
-    """A2: per key rows, distinct keys, distinct dates, first, last, span, records."""
-    return df.groupBy(key).agg(
-        _cnt().alias("num_rows"), F.count_distinct(key).alias("num_currencies"),
-        F.count_distinct(date).alias("num_dates"),
-        F.min(date).alias("earliest_trans_date"), F.max(date).alias("latest_trans_date"),
-        F.date_diff(F.max(date), F.min(date)).alias("range_days"), _cnt().alias("num_records"))
+def coverage_by_key(df: DataFrame, key: str, date: str) -> DataFrame:
+    """A2: per key ``rows, days`` (distinct dates), first and last day and the days between them."""
+    return df.groupBy(key).agg(_cnt().alias("rows"), F.count_distinct(date).alias("days"),
+                               F.min(date).alias("first_day"), F.max(date).alias("last_day"),
+                               F.date_diff(F.max(date), F.min(date)).alias("span_days"))
 
 
-def rate_key_summary(df: DataFrame, key: str, date: str, value: str) -> DataFrame:
-    """A3 + A4: per key max / mean / min / population stdev of the value and date coverage."""
-    return df.groupBy(key).agg(
-        F.max(value).alias("max_rate"), F.avg(value).alias("mean_rate"), F.min(value).alias("min_rate"),
-        F.stddev_pop(value).alias("rate_stdev"),
-        F.min(date).alias("earliest_exchange_date"), F.max(date).alias("latest_exchange_date"),
-        F.date_diff(F.max(date), F.min(date)).alias("range_days"),
-        F.count_distinct(date).alias("num_dates"), _cnt().alias("num_records"))
+def value_stats_by_key(df: DataFrame, key: str, date: str, value: str) -> DataFrame:
+    """A3 + A4: ``coverage_by_key`` with least, greatest and mean value, population deviation and the
+    deviation relative to the mean."""
+    mean, dev = F.avg(value), F.stddev_pop(value)
+    return df.groupBy(key).agg(_cnt().alias("rows"), F.count_distinct(date).alias("days"),
+                               F.min(date).alias("first_day"), F.max(date).alias("last_day"),
+                               F.date_diff(F.max(date), F.min(date)).alias("span_days"),
+                               F.min(value).alias("least"), F.max(value).alias("greatest"), mean.alias("mean"),
+                               dev.alias("deviation"), F.try_divide(dev, mean).alias("relative_deviation"))
 
 
-def rate_dispersion_report(df: DataFrame, key: str, date: str, value: str) -> DataFrame:
-    """Keys with several readings per day, rounded dispersion; sort at the sink by
-    ``num_records - num_dates`` descending (O2)."""
-    s = rate_key_summary(df, key, date, value)
-    return (s.where(F.col("num_dates") < F.col("num_records"))
-             .select(key, F.round("max_rate", 2).alias("maximum"), F.round("mean_rate", 2).alias("mean"),
-                     F.round("min_rate", 2).alias("minimum"), F.round("rate_stdev", 3).alias("stdev"),
-                     F.round(F.try_divide("rate_stdev", "mean_rate"), 3).alias("proportional_stdev"),
-                     "range_days", "num_dates", "num_records")
-             .orderBy((F.col("num_records") - F.col("num_dates")).desc(), key))
+def repeated_day_report(df: DataFrame, key: str, date: str, value: str) -> DataFrame:
+    """The ``value_stats_by_key`` of keys with more readings than days, most surplus first (O2)."""
+    s = value_stats_by_key(df, key, date, value).withColumn("surplus", F.col("rows") - F.col("days"))
+    return s.where("surplus > 0").orderBy(F.desc("surplus"), key)
 
 
-def grid_completeness(grid: DataFrame, key: str, date: str) -> DataFrame:
-    """Distinct keys x distinct dates versus rows."""
-    return grid.agg(F.count_distinct(key).alias("num_currencies"), F.count_distinct(date).alias("num_dates"),
-                    _cnt().alias("num_combinations"),
-                    (F.count_distinct(key) * F.count_distinct(date)).alias("the_comparison"))
+def grid_shape(grid: DataFrame, key: str, date: str) -> DataFrame:
+    """Rows against distinct keys times distinct dates; ``missing`` is 0 for a complete grid."""
+    g = grid.agg(F.count_distinct(key).alias("keys"), F.count_distinct(date).alias("days"), _cnt().alias("rows"))
+    return g.withColumn("missing", F.col("keys") * F.col("days") - F.col("rows"))
 
 
 # --------------------------------------------------------------------------- frequency tables
@@ -89,15 +79,22 @@ def crosstab_margins(df: DataFrame, row: str, col: str) -> DataFrame:
                    F.grouping(col).cast("int").alias("is_col_margin")))
 
 
-def crosstab_pivot(df: DataFrame, row: str, col: str, values: list, prefix: str | None = None) -> DataFrame:
+def crosstab_pivot(df: DataFrame, row: str, col: str, values: list | None = None, prefix: str = "",
+                   null_name: str = "null", other_name: str = "other") -> DataFrame:
     """Row x col counts as a wide table; zero cells shown as 0.
 
-    ``values`` fixes the column set (no extra job to discover it).
+    Without ``values`` the columns are found by a distinct aggregate (the table's width, so
+    bounded by what a table can hold). NULL has a column of its own, and with given
+    ``values`` everything else is counted under ``other_name``: no row is lost.
     """
-    p = df.groupBy(row).pivot(col, values).agg(_cnt()).na.fill(0)
-    if prefix is not None:
-        p = p.select(row, *[F.col(f"`{v}`").alias(f"{prefix}{v}") for v in values])
-    return p
+    if values is None:
+        found = df.select(F.col(col).alias("v")).where("v IS NOT NULL").distinct()
+        values = sorted(r["v"] for r in found.collect())
+        rest = []
+    else:
+        rest = [F.count_if(F.col(col).isNotNull() & ~F.col(col).isin(list(values))).alias(f"{prefix}{other_name}")]
+    return df.groupBy(row).agg(*[F.count_if(F.col(col) == v).alias(f"{prefix}{v}") for v in values], *rest,
+                               F.count_if(F.col(col).isNull()).alias(f"{prefix}{null_name}"))
 
 
 def crosstab_share(df: DataFrame, row: str, col: str) -> DataFrame:
@@ -118,16 +115,17 @@ def crosstab_by_partition(df: DataFrame, part: str, row: str, col: str) -> DataF
 
 
 def describe_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Per column count, mean, sample std, min, 25 / 50 / 75 % (interpolated), max."""
-    parts = []
-    for c in cols:
-        base = df.agg(_cnt().alias("_all"), F.count(c).alias("count"), F.avg(c).alias("mean"),
-                      F.stddev_samp(c).alias("std"), F.min(F.col(c).cast("double")).alias("min"),
-                      F.max(F.col(c).cast("double")).alias("max"))
-        q = exact_quantiles(df, c, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
-        parts.append(base.join(q, how="inner").select(F.lit(c).alias("column"), "count", "mean", "std", "min",
-                                                      "p25", "p50", "p75", "max"))
-    return reduce(DataFrame.unionByName, parts)
+    """Per column count, mean, sample std, min, 25 / 50 / 75 % (interpolated), max.
+
+    One aggregate for the moments of all columns, one value-count pass for their quantiles.
+    """
+    stats = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x"))
+                                          for c in cols])).alias("s")).groupBy("s.column").agg(
+        F.count("s.x").alias("count"), F.avg("s.x").alias("mean"), F.stddev_samp("s.x").alias("std"),
+        F.min("s.x").alias("min"), F.max("s.x").alias("max"))
+    q = quantiles_by_column(df, cols, [0.25, 0.5, 0.75], ["p25", "p50", "p75"])
+    return q.join(stats, "column", "left").select(
+        "column", F.coalesce("count", F.lit(0)).alias("count"), "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def describe_categorical(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -144,10 +142,9 @@ def describe_categorical(df: DataFrame, cols: list[str]) -> DataFrame:
 def describe_dates(df: DataFrame, col: str) -> DataFrame:
     """Count, mean, min, quartiles and max of a date column, in days since 1970-01-01."""
     d = df.select(F.unix_date(col).alias("_day"))
-    base = d.agg(F.count("_day").alias("count"), F.avg("_day").alias("mean_day"),
-                 F.min("_day").cast("double").alias("min_day"), F.max("_day").cast("double").alias("max_day"))
-    q = exact_quantiles(d, "_day", [0.25, 0.5, 0.75], ["p25_day", "p50_day", "p75_day"])
-    return base.join(q, how="inner")
+    s = describe_numeric(d, ["_day"])
+    return s.select("count", F.col("mean").alias("mean_day"), F.col("min").alias("min_day"), F.col("max").alias("max_day"),
+                    F.col("p25").alias("p25_day"), F.col("p50").alias("p50_day"), F.col("p75").alias("p75_day"))
 
 
 def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
@@ -221,9 +218,3 @@ def shape(df: DataFrame) -> DataFrame:
 def count_true(df: DataFrame, cond: Column, name: str = "n") -> DataFrame:
     """Number of rows where ``cond`` holds."""
     return df.agg(F.count_if(cond).alias(name))
-
-
-def ranked_share(df: DataFrame, key: str, weight: str) -> DataFrame:
-    """A25-style helper: share of ``weight`` per key over its total."""
-    tot = df.select(F.sum(weight)).scalar()
-    return df.groupBy(key).agg(F.sum(weight).alias(weight)).withColumn("share", F.try_divide(F.col(weight), tot))

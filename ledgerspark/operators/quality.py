@@ -79,11 +79,11 @@ def coverage_violations(transactions: DataFrame, rates: DataFrame, t_key: str =
     reference's ``<`` against NULL drops it).
     """
     tran = transactions.groupBy(t_key).agg(F.min(t_date).alias("first_transaction"))
-    exch = (rates.groupBy(r_key).agg(F.min(r_date).alias("first_exchange_data"))
+    exch = (rates.groupBy(r_key).agg(F.min(r_date).alias("first_reading"))
                  .withColumnRenamed(r_key, "_rk"))
     j = tran.join(exch, tran[t_key] == exch["_rk"], "left")
-    return (j.where(F.col("first_transaction") < F.col("first_exchange_data"))
-             .select(F.col(t_key).alias("currency"), "first_transaction", "first_exchange_data"))
+    return (j.where(F.col("first_transaction") < F.col("first_reading"))
+             .select(F.col(t_key).alias("currency"), "first_transaction", "first_reading"))
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

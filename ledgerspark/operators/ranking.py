@@ -1,9 +1,13 @@
-"""Exact global ranks and quantiles without a single-partition window.
+"""Exact global ranks, quantiles and running sums without a single-partition window.
 
-``ORDER BY`` in Spark range-partitions the rows over many tasks; each task
-numbers its own rows, and a prefix sum over the per-task counts (one row per
-task, so its size is bounded by the partition count) turns those into global
-ranks. Exact quantiles then pick the few rows at the needed ranks.
+Every row gets a range bucket that is a pure function of its own order columns: fixed cut
+points are taken once from a bounded, hash-chosen sample, then each row counts the cuts
+not above it. Rows are numbered (or summed) inside their bucket and shifted by the totals
+of the earlier buckets, a table with one row per bucket. Because a row's bucket never
+depends on how an exchange happens to be laid out, the branches of a plan always agree.
+
+Quantiles and running sums first collapse equal values to (value, count), combined before
+the shuffle, so one value held by a third of all rows is one row.
 """
 
 from __future__ import annotations
@@ -11,65 +15,94 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_LOW_BITS = (1 << 33) - 1
+SAMPLE_PER_BUCKET = 32
+MAX_BUCKETS = 512  # cut points compared per row; a bucket's window sorts with spilling
+
+
+def _order_key(df: DataFrame, order: list[Column | str]) -> Column:
+    """The order columns as one ascending, comparable struct (NULL first)."""
+    return F.struct(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(f"o{i}") for i, c in enumerate(order)])
+
+
+def range_bucket(df: DataFrame, order: list[Column | str], buckets: int | None = None, out: str = "_rb") -> DataFrame:
+    """Adds ``out``: 0-based range bucket of the row in ascending ``order``."""
+    n = min(MAX_BUCKETS, buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    key = _order_key(df, order)
+    x = df.select(key.alias("k"))
+    share = min(1.0, SAMPLE_PER_BUCKET * n / max(1, x.count()))
+    # about 32 keys per bucket: bounded by the number of buckets, not by the data
+    sample = x.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    rows = sample.agg(F.array_sort(F.collect_set("k")).alias("ks")).select(
+        F.transform(F.sequence(F.lit(1), F.lit(n - 1)),
+                    lambda i: F.get("ks", F.floor(F.size("ks") * i / n).cast("int"))).alias("cuts"))
+    cuts = [c for c in rows.first()["cuts"] if c is not None] if n > 1 else []
+    if not cuts:
+        return df.withColumn(out, F.lit(0))
+    fields = x.schema["k"].dataType.fields
+    lits = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(c, fields)]) for c in cuts])
+    return df.withColumn(out, F.size(F.filter(lits, lambda c: c <= key)))
 
 
 def global_row_number(df: DataFrame, order: list[Column | str], out: str = "_grank",
                       partitions: int | None = None) -> DataFrame:
-    """1-based row number over the whole frame in ``order`` (ties: give a total order)."""
-    n = partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    srt = df.repartitionByRange(int(n), *order).sortWithinPartitions(*order)
-    tagged = srt.withColumn("_mid", F.monotonically_increasing_id())
-    tagged = tagged.withColumn("_pid", F.shiftright("_mid", 33)).withColumn(
-        "_idx", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    # one row per task: bounded by the partition count
-    j = tagged.join(F.broadcast(offs), "_pid")
-    return j.withColumn(out, F.col("_off") + F.col("_idx") + 1).drop("_mid", "_pid", "_idx", "_off")
+    """1-based row number over the whole frame in ascending ``order`` (ties: give a total order)."""
+    x = range_bucket(df, order, partitions)
+    counts = x.groupBy("_rb").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("_rb", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("_rb").orderBy(_order_key(df, order))
+    # offs has one row per bucket: at most MAX_BUCKETS
+    return x.withColumn("_i", F.row_number().over(inside)).join(F.broadcast(offs), "_rb").withColumn(
+        out, F.col("_off") + F.col("_i")).drop("_rb", "_i", "_off")
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list[float], names: list[str] | None = None) -> DataFrame:
-    """One row with the linearly interpolated quantiles of ``col`` (pandas / ``quantile_cont``).
+def cumulative_sums(df: DataFrame, order: list[Column | str], cols: list[str], suffix: str = "_cum",
+                    partitions: int | None = None) -> DataFrame:
+    """Running totals of ``cols`` over the whole frame in ascending ``order`` (inclusive of the row).
 
-    Only rows at two ranks per probability leave the sort, so no task holds
-    more than its share of the data.
+    Same answer as ``sum(c) OVER (ORDER BY ... ROWS UNBOUNDED PRECEDING)`` for a total order.
     """
-    names = names or [f"p{int(round(p * 100))}" for p in probs]
-    x = df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    n = x.select(F.count(F.lit(1))).scalar()
-    ranked = global_row_number(x, ["_x"], "_r")
-    pos = [F.lit(p) * (n - 1) for p in probs]  # 0-based fractional positions
-    want = None
-    for ps in pos:
-        c = (F.col("_r") - 1 == F.floor(ps)) | (F.col("_r") - 1 == F.ceil(ps))
-        want = c if want is None else (want | c)
-    picked = ranked.where(want)
-    aggs = []
-    for ps, nm in zip(pos, names):
-        lo = F.max(F.when(F.col("_r") - 1 == F.floor(ps), F.col("_x")))
-        hi = F.max(F.when(F.col("_r") - 1 == F.ceil(ps), F.col("_x")))
-        aggs.append((lo + (hi - lo) * (ps - F.floor(ps))).alias(nm))
-    return picked.agg(*aggs)
+    x = range_bucket(df, order, partitions)
+    totals = x.groupBy("_rb").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
+    before = Window.orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select("_rb", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in cols])
+    inside = Window.partitionBy("_rb").orderBy(_order_key(df, order)).rowsBetween(Window.unboundedPreceding, 0)
+    local = x.select("*", *[F.sum(c).over(inside).alias(f"_l_{c}") for c in cols])
+    return local.join(F.broadcast(offs), "_rb").select(
+        *df.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(c + suffix) for c in cols])
 
 
-def cumulative_sums(df: DataFrame, order: list[Column | str], cols: list[str], suffix: str = "_cum",
-                    partitions: int | None = None) -> DataFrame:
-    """Running totals of ``cols`` over the whole frame in ``order`` (inclusive of the row).
+def quantiles_by_column(df: DataFrame, cols: list[str], probs: list[float], names: list[str]) -> DataFrame:
+    """One row per column (``column``) with its linearly interpolated quantiles (pandas / ``quantile_cont``).
 
-    Same answer as ``sum(c) OVER (ORDER BY ... ROWS UNBOUNDED PRECEDING)`` but the
-    frame is range-partitioned: each task sums its own rows and adds the totals of
-    all earlier tasks (a table with one row per task).
+    All columns share one pass: (column, value, count), a running count in value order, and
+    only the rows that hold a wanted rank leave. A column without values has NULL quantiles.
     """
-    n = partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    srt = df.repartitionByRange(int(n), *order).sortWithinPartitions(*order)
-    tagged = srt.withColumn("_pid", F.shiftright(F.monotonically_increasing_id(), 33))
-    totals = tagged.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(w), F.lit(0)).alias(f"_o_{c}") for c in cols])
-    wl = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = tagged.select("*", *[F.sum(c).over(wl).alias(f"_l_{c}") for c in cols])
-    j = local.join(F.broadcast(offs), "_pid")
-    out = j.select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(c + suffix) for c in cols])
-    return out
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("x"))
+                                         for c in cols])).alias("s")).select("s.column", "s.x").where("x IS NOT NULL")
+    vc = long.groupBy("column", "x").agg(F.count(F.lit(1)).alias("n"))
+    run = cumulative_sums(vc, ["column", "x"], ["n"])
+    size = vc.groupBy("column").agg(F.sum("n").alias("size"))
+    start = size.select("column", "size", F.coalesce(F.sum("size").over(
+        Window.orderBy("column").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    # size has one row per column
+    r = run.join(F.broadcast(start), "column").withColumn("hi", F.col("n_cum") - F.col("base")).withColumn("lo", F.col("hi") - F.col("n"))
+    aggs = []
+    for p, name in zip(probs, names):
+        at = F.lit(p) * (F.col("size") - 1)
+
+        def value(rank):
+            return F.max(F.when((F.col("lo") <= rank) & (rank < F.col("hi")), F.col("x")))
+
+        low, high = value(F.floor(at)), value(F.ceil(at))
+        share = F.max(at - F.floor(at))
+        aggs.append((low + (high - low) * share).alias(name))
+    found = r.groupBy("column").agg(*aggs)
+    every = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    return every.join(found, "column", "left")
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: list[float], names: list[str] | None = None) -> DataFrame:
+    """One row with the linearly interpolated quantiles of ``col``."""
+    names = names or [f"p{int(round(p * 100))}" for p in probs]
+    return quantiles_by_column(df, [col], list(probs), names).drop("column")

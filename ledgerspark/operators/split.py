@@ -1,54 +1,71 @@
 """Train / test splits (M1-M3) and stratified fold ids.
 
-Exact and reproducible: within each class the rows are ordered by a seeded hash
-of their key columns and the first ``ceil(frac * n_class)`` go to the test part.
-The per-class rank comes from a distributed sort (``global_row_number``) minus
-the sizes of the smaller classes, so the majority class (97 % of the rows) never
-lands in one window task. ``sampleBy`` would only approximate the sizes.
+Exact and reproducible: within each class the rows are ordered by a seeded hash of their
+key columns and the first ``ceil(frac * n_class)`` go to the test part. A split needs no
+rank per row, only the one (hash, keys) that ends each class's test part: counts per hash
+range say in which range it lies, and only that range is sorted. The wide rows are then
+labelled where they are, without a shuffle.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.operators.ranking import global_row_number
 
+#: rows of a class that one task may have to order
+RANGE_ROWS = 20_000
 
-HASH_BUCKETS = 1024
 
+def _hash(key_cols: list[str], seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in key_cols])
 
-def _class_rank(df: DataFrame, label: str, key_cols: list[str], seed: int, out: str = "_crank") -> DataFrame:
-    """Rank inside each class by a seeded hash of ``key_cols`` (ties: the key columns).
 
-    Deterministic and skew-free: the hash also picks one of ``HASH_BUCKETS``
-    buckets, rows are numbered inside (class, bucket) and shifted by the sizes of
-    the class's earlier buckets (a table of classes x buckets rows). Adds the class
-    size as ``_n``.
-    """
+def _range_shift(df: DataFrame) -> int:
+    """So many low bits of the hash are dropped that a range holds about RANGE_ROWS rows, at any size."""
+    return 64 - min(40, max(1, math.ceil(math.log2(max(2, df.count() / RANGE_ROWS)))))
+
+
+def _class_rank(df: DataFrame, label: str, key_cols: list[str], seed: int, out: str = "_crank") -> DataFrame:
+    """Rank inside each class by a seeded hash of ``key_cols`` (ties: the key columns), by (class, hash
+    range) plus the sizes of the class's earlier ranges. Adds the class size as ``_n``."""
     keys = [F.col(f"`{c}`") for c in key_cols]
-    h = F.xxhash64(F.lit(seed), *keys)
     lbl = F.col(f"`{label}`")
-    x = df.withColumn("_h", h).withColumn("_hb", F.pmod(F.shiftright("_h", 40), F.lit(HASH_BUCKETS)))
-    # order inside a class: bucket first, then the full hash, then the keys
-    counts = x.groupBy(lbl.alias("_lbl"), "_hb").agg(F.count(F.lit(1)).alias("_bn"))
-    wc = Window.partitionBy("_lbl").orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
+    x = df.withColumn("_h", _hash(key_cols, seed)).withColumn("_hb", F.shiftright("_h", _range_shift(df)))
+    counts = x.groupBy(lbl.alias("_lbl"), F.col("_hb").alias("_ob")).agg(F.count(F.lit(1)).alias("_bn"))
+    wc = Window.partitionBy("_lbl").orderBy("_ob").rowsBetween(Window.unboundedPreceding, -1)
     wn = Window.partitionBy("_lbl")
-    offs = counts.select("_lbl", "_hb", F.coalesce(F.sum("_bn").over(wc), F.lit(0)).alias("_off"),
+    offs = counts.select("_lbl", "_ob", F.coalesce(F.sum("_bn").over(wc), F.lit(0)).alias("_off"),
                          F.sum("_bn").over(wn).alias("_n"))
-    j = x.join(offs, lbl.eqNullSafe(F.col("_lbl")) & (x["_hb"] == offs["_hb"])).drop(offs["_hb"])
+    j = x.join(offs, lbl.eqNullSafe(F.col("_lbl")) & (F.col("_hb") == F.col("_ob")))
     wr = Window.partitionBy("_lbl", "_hb").orderBy("_h", *keys)
-    return j.withColumn(out, F.col("_off") + F.row_number().over(wr)).drop("_h", "_hb", "_off", "_lbl")
+    return j.withColumn(out, F.col("_off") + F.row_number().over(wr)).drop("_h", "_hb", "_ob", "_off", "_lbl")
 
 
 def stratified_split(df: DataFrame, label: str, test_frac: float = 0.2, seed: int = 42,
                      key_cols: list[str] | None = None, out: str = "part",
                      names: tuple[str, str] = ("train", "test")) -> DataFrame:
-    """M1: per class the first ``ceil(test_frac * n)`` rows (seeded hash order) are ``test``."""
+    """M1: per class the first ``ceil(test_frac * n)`` rows (seeded hash order) are ``test``.
+
+    Rows of a class with equal keys fall on the same side; give keys that tell rows apart for exact sizes.
+    """
     keys = key_cols or [c for c in df.columns if c != label]
-    r = _class_rank(df, label, keys, seed)
-    is_test = F.col("_crank") <= F.ceil(F.lit(test_frac) * F.col("_n"))
-    return r.withColumn(out, F.when(is_test, names[1]).otherwise(names[0])).drop("_crank", "_n")
+    lbl = F.col(f"`{label}`")
+    spot = F.struct(_hash(keys, seed).alias("h"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keys)])
+    slim = df.select(lbl.alias("_lbl"), spot.alias("_at")).withColumn("_hb", F.shiftright("_at.h", _range_shift(df)))
+    counts = slim.groupBy("_lbl", "_hb").agg(F.count(F.lit(1)).alias("_bn"))
+    run = counts.withColumn("_upto", F.sum("_bn").over(Window.partitionBy("_lbl").orderBy("_hb"))).withColumn(
+        "_want", F.ceil(F.lit(test_frac) * F.sum("_bn").over(Window.partitionBy("_lbl"))))
+    here = run.where((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_bn") < F.col("_want"))).select(
+        F.col("_lbl").alias("_cl"), F.col("_hb").alias("_cb"), (F.col("_want") - F.col("_upto") + F.col("_bn")).alias("_nth"))
+    own = slim.join(here, slim["_lbl"].eqNullSafe(here["_cl"]) & (slim["_hb"] == here["_cb"]))
+    ends = own.withColumn("_i", F.row_number().over(Window.partitionBy("_lbl").orderBy("_at"))).where(
+        F.col("_i") == F.col("_nth")).select(F.col("_lbl").alias("_cl"), F.col("_at").alias("_end"))
+    j = df.join(ends, lbl.eqNullSafe(F.col("_cl")), "left")  # one row per class
+    return j.withColumn(out, F.when(spot <= F.col("_end"), names[1]).otherwise(names[0])).drop("_cl", "_end")
 
 
 def nested_split(df: DataFrame, label: str, test_frac: float = 0.2, valid_frac: float = 0.2, seed: int = 42,

@@ -100,14 +100,13 @@ def _bounded_last(obs: DataFrame, targets: DataFrame, key: str, date: str, value
     # targets carry their own columns; observation rows get NULLs there and are dropped
     u = o_all.unionByName(t, allowMissingColumns=True)
     marker = F.col("_is_t")
-    w = Window.partitionBy("_k", "_b").orderBy("_d").rangeBetween(-max_days, 0)
-    filled = F.last("_v", ignorenulls=True).over(w)
-    src_day = F.last(F.when(F.col("_v").isNotNull(), F.col("_d")), ignorenulls=True).over(w)
-    res = (u.select(marker, *[F.col(f"_t_{c}").alias(c) for c in tcols],
-                    filled.alias(out_value), src_day.alias("_src"))
-             .where(marker)
-             .select(*tcols, out_value, F.date_from_unix_date("_src").alias(out_source)))
-    return res
+    # readings sort before the targets of their day; a growing frame streams row by row, so many
+    # targets on one day or a hot key never sit in a buffer. A value too old is cleared after.
+    w = Window.partitionBy("_k", "_b").orderBy("_d", "_is_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = F.last(F.when(F.col("_v").isNotNull(), F.struct(F.col("_d").alias("d"), F.col("_v").alias("v"))), ignorenulls=True).over(w)
+    res = u.select(marker, "_d", *[F.col(f"_t_{c}").alias(c) for c in tcols], seen.alias("_seen")).where(marker)
+    fresh = F.when(F.col("_d") - F.col("_seen.d") <= max_days, F.col("_seen"))
+    return res.select(*tcols, fresh["v"].alias(out_value), F.date_from_unix_date(fresh["d"]).alias(out_source))
 
 
 def fill_forward_grid(daily: DataFrame, key: str = "currency", date: str = "exchange_date",
@@ -193,34 +192,37 @@ def rank_within_key(df: DataFrame, key: str, date: str, order_cols: list[str] |
     (key, bucket) count table supplies each bucket's offset.
     """
     order_cols = order_cols or []
-    b = F.floor(_day(date) / bucket_days)
-    x = df.withColumn("_rb", b)
-    counts = x.groupBy(key, "_rb").agg(F.count(F.lit(1)).alias("_n"))
-    wk = Window.partitionBy(key).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(key, "_rb", F.coalesce(F.sum("_n").over(wk), F.lit(0)).alias("_off"))
+    x = df.withColumn("_rb", F.floor(_day(date) / bucket_days))  # NULL dates share the first bucket of their key
+    counts = x.groupBy(F.col(key).alias("_k"), F.col("_rb").alias("_cb")).agg(F.count(F.lit(1)).alias("_n"))
+    wk = Window.partitionBy("_k").orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("_k", "_cb", F.coalesce(F.sum("_n").over(wk), F.lit(0)).alias("_off"))
     wr = Window.partitionBy(key, "_rb").orderBy(date, *order_cols)
-    return (x.join(offs, [key, "_rb"])
-             .withColumn(out, F.col("_off") + F.row_number().over(wr))
-             .drop("_rb", "_off"))
+    x = x.withColumn("_i", F.row_number().over(wr))
+    return x.join(offs, x[key].eqNullSafe(offs["_k"]) & x["_rb"].eqNullSafe(offs["_cb"])).withColumn(
+        out, F.col("_off") + F.col("_i")).drop("_rb", "_off", "_i", "_k", "_cb")
 
 
 def fill_forward_rows(df: DataFrame, key: str, date: str, value: str, n: int = 7,
                       out_value: str = "the_rate", order_cols: list[str] | None = None,
-                      block_rows: int = 256, bucket_days: int = DEFAULT_BUCKET_DAYS) -> DataFrame:
+                      block_rows: int = 4096, bucket_days: int = DEFAULT_BUCKET_DAYS) -> DataFrame:
     """``COALESCE(v, LAG(v,1), ..., LAG(v,n)) OVER (PARTITION BY key ORDER BY date)``.
 
-    The bound counts existing rows, not days; no default. Runs over blocks of
-    ``block_rows`` ranks with the last ``n`` rows of each block copied forward.
+    The bound counts existing rows, not days; no default; rows with a NULL key or date take
+    part (NULL dates first). Runs over blocks of ``block_rows`` ranks; the last ``n`` rows of
+    a block go to the next block too, emitted by one explode of the ranked rows.
     """
     R = max(block_rows, n + 1)
-    r = rank_within_key(df, key, date, order_cols, "_rank", bucket_days)
-    r = r.withColumn("_blk", F.floor((F.col("_rank") - 1) / R)).withColumn("_main", F.lit(True))
-    copies = (r.where((F.col("_rank") - 1) % R >= R - n)
-               .withColumn("_blk", F.col("_blk") + 1).withColumn("_main", F.lit(False)))
-    u = r.unionByName(copies)
-    w = Window.partitionBy(key, "_blk").orderBy("_rank").rangeBetween(-n, 0)
-    return (u.withColumn(out_value, F.last(value, ignorenulls=True).over(w))
-             .where("_main").drop("_rank", "_blk", "_main"))
+    blk = F.floor((F.col("_rank") - 1) / R)
+    ahead = (F.col("_rank") - 1) % R >= R - n
+    here = F.struct(blk.alias("b"), F.lit(True).alias("main"))
+    nxt = F.struct((blk + 1).alias("b"), F.lit(False).alias("main"))
+    u = rank_within_key(df, key, date, order_cols, "_rank", bucket_days).withColumn(
+        "_at", F.explode(F.when(ahead, F.array(here, nxt)).otherwise(F.array(here))))
+    w = Window.partitionBy(key, F.col("_at.b")).orderBy("_rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = F.last(F.when(F.col(value).isNotNull(), F.struct(F.col("_rank").alias("r"), F.col(value).alias("v"))), ignorenulls=True).over(w)
+    return (u.withColumn("_seen", seen).where("_at.main")
+             .withColumn(out_value, F.when(F.col("_rank") - F.col("_seen.r") <= n, F.col("_seen.v")))
+             .drop("_rank", "_at", "_seen"))
 
 
 # --------------------------------------------------------------------------- I3 / I4
@@ -285,10 +287,10 @@ def gap_lengths(df: DataFrame, key: str, date: str, bucket_days: int = DEFAULT_B
     x = days.withColumn("_b", b)
     nxt_in = F.lead(date).over(Window.partitionBy(key, "_b").orderBy(date))
     x = x.withColumn("_n", nxt_in)
-    firsts = x.groupBy(key, "_b").agg(F.min(date).alias("_first"))
-    wb = Window.partitionBy(key).orderBy("_b")
-    firsts = firsts.select(key, "_b", F.lead("_first").over(wb).alias("_next_first"))
-    j = x.join(firsts, [key, "_b"])
+    firsts = x.groupBy(F.col(key).alias("_k"), F.col("_b").alias("_fb")).agg(F.min(date).alias("_first"))
+    wb = Window.partitionBy("_k").orderBy("_fb")
+    firsts = firsts.select("_k", "_fb", F.lead("_first").over(wb).alias("_next_first"))
+    j = x.join(firsts, x[key].eqNullSafe(firsts["_k"]) & (x["_b"] == firsts["_fb"]))
     nd = F.coalesce(F.col("_n"), F.col("_next_first"))
     return j.select(key, date, nd.alias("next_date"),
                     (F.date_diff(nd, F.col(date)) - 1).alias("gap_days"))
@@ -304,12 +306,11 @@ def daily_variation(daily: DataFrame, key: str, date: str, value: str,
     x = daily.select(key, date, value).withColumn("_b", b)
     w = Window.partitionBy(key, "_b").orderBy(date)
     x = x.withColumn("_p", F.lag(value).over(w)).withColumn("_pdate", F.lag(date).over(w))
-    lasts = x.groupBy(key, "_b").agg(F.max_by(F.col(value), F.col(date)).alias("_lv"),
-                                     F.max(date).alias("_ld"))
-    wb = Window.partitionBy(key).orderBy("_b")
-    lasts = lasts.select(key, F.col("_b"), F.lag("_lv").over(wb).alias("_plv"),
-                         F.lag("_ld").over(wb).alias("_pld"))
-    j = x.join(lasts, [key, "_b"])
+    lasts = x.groupBy(F.col(key).alias("_k"), F.col("_b").alias("_lb")).agg(
+        F.max_by(F.col(value), F.col(date)).alias("_lv"), F.max(date).alias("_ld"))
+    wb = Window.partitionBy("_k").orderBy("_lb")  # NULL dates are the first bucket of their key
+    lasts = lasts.select("_k", "_lb", F.lag("_lv").over(wb).alias("_plv"), F.lag("_ld").over(wb).alias("_pld"))
+    j = x.join(lasts, x[key].eqNullSafe(lasts["_k"]) & x["_b"].eqNullSafe(lasts["_lb"]))
     prev = F.when(F.col("_pdate").isNotNull(), F.col("_p")).otherwise(F.col("_plv"))
     prev_d = F.coalesce(F.col("_pdate"), F.col("_pld"))
     return j.select(key, date, value, prev_d.alias("prev_date"), prev.alias("prev_value"),

@@ -37,5 +37,5 @@ def register(name: str, items: str, sql: str | None = None):
 
 def load_all() -> dict[str, Query]:
     # importing the modules fills the registry
-    from ledgerspark.plans import q_imputation, q_quality, q_profile, q_features, q_ml  # noqa: F401
+    from ledgerspark.plans import q_features, q_imputation, q_io, q_ml, q_profile, q_quality  # noqa: F401
     return REGISTRY

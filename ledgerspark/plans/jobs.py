@@ -1,19 +1,115 @@
-"""Composed jobs G1-G7 as plain functions over DataFrames."""
+"""Composed jobs G1-G7 as plain functions over DataFrames; destinations are the caller's paths."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass
+
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerspark.operators import evaluate as ev
+from ledgerspark.operators import features, joins, ml, profile, quality, split
 from ledgerspark.operators import timeseries as ts
 from ledgerspark.sources import fixtures as fx
+from ledgerspark.sources import writers
 
 
 def impute_rates(transactions: DataFrame, rates: DataFrame, max_days: int = 7, strategy: str = "asof",
-                 default: float | None = -1.0) -> DataFrame:
-    """G1: collapse readings to daily means, then give every transaction a rate."""
+                 default: float | None = -1.0, export_to: str | None = None) -> DataFrame:
+    """Collapse readings to daily means, then give every transaction a rate.
+
+    ``strategy="asof"`` or ``"grid"`` bound the age in days; ``"sparse"`` fills over the union of readings
+    and needed days (a bound in rows, no default). ``export_to`` also writes the result as an ordered,
+    pipe-separated export.
+    """
     daily = ts.daily_mean(rates)
-    return ts.augment_transactions(transactions, daily, strategy=strategy, max_days=max_days, default=default)
+    if strategy == "sparse":
+        out = sparse_fill(transactions, rates, max_days)
+        t = transactions.select(F.col("trans_date").alias("transaction_date"), "currency")
+        out = t.join(out, (t["currency"] == out["the_currency"]) & (t["transaction_date"] == out["the_date"]), "left").select(
+            "transaction_date", "currency", F.col("the_rate").alias("exchange_rate"), F.col("imputed").cast("int").alias("is_imputed"))
+    else:
+        out = ts.augment_transactions(transactions, daily, strategy=strategy, max_days=max_days, default=default)
+    if export_to:
+        writers.export_ordered(out, export_to, ["transaction_date", "currency"])
+    return out
+
+
+def sparse_fill(transactions: DataFrame, rates: DataFrame, rows: int = 7) -> DataFrame:
+    """The readings' days and the days that need a rate, each with the last value at most ``rows`` rows back."""
+    both = joins.available_and_missing(ts.daily_mean(rates), joins.need_to_impute(transactions, rates))
+    return ts.fill_forward_rows(both, "the_currency", "the_date", "exch_rate", n=rows, out_value="the_rate").select(
+        "the_currency", "the_date", "the_rate", F.col("to_impute").alias("imputed"))
 
 
 def augment_from_tables(spark: SparkSession, sf_dir: str, strategy: str = "asof") -> DataFrame:
     return impute_rates(fx.transactions(spark, sf_dir), fx.rates(spark, sf_dir), strategy=strategy)
+
+
+def profile_trades(trades: DataFrame, numeric: list[str], categorical: list[str], date: str, flag: str, client: str) -> dict[str, DataFrame]:
+    """The frames of a first look at a trade table, lazily."""
+    return {
+        "shape": profile.shape(trades),
+        "nulls": quality.null_audit(trades, only_with_nulls=False),
+        "numeric": profile.describe_numeric(trades, numeric),
+        "categorical": profile.describe_categorical(trades, categorical),
+        "calendar": profile.calendar_coverage(trades, date),
+        "per_day": profile.count_per_date(trades, date),
+        "flags_by_category": profile.crosstab_margins(trades, categorical[0], flag),
+        "clients": features.client_summary(trades, client, flag),
+    }
+
+
+def profile_facts(trades: DataFrame, numeric: list[str], categorical: list[str], date: str, flag: str, client: str) -> DataFrame:
+    """G4 as one table ``(section, item, value)`` of the counts in ``profile_trades``."""
+    p = profile_trades(trades, numeric, categorical, date, flag, client)
+
+    def rows(section: str, df: DataFrame, item, value) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), item.cast("string").alias("item"), value.cast("long").alias("value"))
+
+    parts = [rows("shape", p["shape"], F.lit("rows"), F.col("num_rows")),
+             rows("nulls", p["nulls"], F.col("column"), F.col("nulls")),
+             rows("numeric", p["numeric"], F.col("column"), F.col("count")),
+             rows("categorical", p["categorical"], F.col("column"), F.col("unique")),
+             rows("calendar", p["calendar"], F.lit("missing dates"), F.col("missing_dates")),
+             rows("clients", p["clients"].agg(F.count(F.lit(1)).alias("n")), F.lit("clients"), F.col("n"))]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def clean_to(result: features.CleanResult, folder: str) -> None:
+    """G5 sinks: clean rows as Parquet, rejected rows as CSV."""
+    writers.write_parquet(result.clean, f"{folder}/clean")
+    writers.write_quarantine(result.incomplete, f"{folder}/incomplete")
+    writers.write_quarantine(result.zero_amount, f"{folder}/zero_amount")
+
+
+@dataclass
+class Trained:
+    model_path: str
+    parts_path: str
+    validation: DataFrame
+
+
+def train_and_validate(clean: DataFrame, spec: ml.FeatureSpec, folder: str, keys: list[str], params: ml.ForestParams = ml.ForestParams(),
+                       seed: int = 42, rename: Mapping[str, str] | None = None) -> Trained:
+    """Split into train / valid / holdout, store the parts, fit on train, save the model (S11) and report on valid."""
+    spark = clean.sparkSession
+    for old, new in (rename or {}).items():
+        clean = clean.withColumnRenamed(old, new)
+    writers.write_parquet(split.nested_split(clean, spec.label, 0.2, 0.2, seed=seed, key_cols=keys), f"{folder}/parts")
+    parts = spark.read.parquet(f"{folder}/parts")
+    model = ml.fit_suspicion_model(parts, parts.where("part = 'train'"), spec, params)
+    ml.save_model(model, f"{folder}/model")
+    report = ev.classification_report(ml.predict(model, parts.where("part = 'valid'"), spec.label))
+    return Trained(f"{folder}/model", f"{folder}/parts", report)
+
+
+def holdout_predictions(spark: SparkSession, model_path: str, parts_path: str, label: str) -> DataFrame:
+    """The saved model, reloaded, scores the holdout that it has never seen."""
+    model = PipelineModel.load(model_path)
+    return ml.predict(model, spark.read.parquet(parts_path).where("part = 'test'"), label)

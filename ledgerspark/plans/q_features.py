@@ -115,19 +115,19 @@ _CLEAN_COLS = ["l_orderkey", "l_linenumber", "office", "risk", "source_system",
                "frequent_client"]
 
 
-@register("clean_rows", "G5 E8 Q2 Q3 P4 P10 S5", _sql("SELECT * REPLACE (round(gbp_log_amount, 6) AS gbp_log_amount) FROM clean"))
+@register("clean_rows", "G5 E8 Q2 Q3 P4 P10", _sql("SELECT * REPLACE (round(gbp_log_amount, 6) AS gbp_log_amount) FROM clean"))
 def q_clean_rows(spark, sf):
     c = tf.clean(spark, sf).clean
     return c.select(*[(_r(x).alias(x) if x == "gbp_log_amount" else F.col(x)) for x in _CLEAN_COLS])
 
 
-@register("incomplete_rows", "Q2 P9 S6", _sql("SELECT * REPLACE (round(gbp, 6) AS gbp) FROM incomplete"))
+@register("incomplete_rows", "Q2 P9", _sql("SELECT * REPLACE (round(gbp, 6) AS gbp) FROM incomplete"))
 def q_incomplete_rows(spark, sf):
     c = tf.clean(spark, sf).incomplete
     return c.withColumn("gbp", _r("gbp"))
 
 
-@register("zero_amount_rows", "Q3 P7 S6", _sql("SELECT * REPLACE (round(gbp, 6) AS gbp) FROM zero_amount"))
+@register("zero_amount_rows", "Q3 P7", _sql("SELECT * REPLACE (round(gbp, 6) AS gbp) FROM zero_amount"))
 def q_zero_amount_rows(spark, sf):
     c = tf.clean(spark, sf).zero_amount
     return c.withColumn("gbp", _r("gbp"))

@@ -7,7 +7,6 @@ metric exactly; the model queries train MLlib pipelines and are checked on rows.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.stopwords import ENGLISH
@@ -16,6 +15,7 @@ from ledgerspark.operators import split
 from ledgerspark.plans import trade_fixture as tf
 from ledgerspark.plans.catalog import register
 from ledgerspark.plans.oracle import with_fixtures
+from ledgerspark.session import scratch_path
 
 KEYS = ["l_orderkey", "l_linenumber"]
 
@@ -26,13 +26,21 @@ def _r(c, n=6):
 
 # --------------------------------------------------------------------------- splits
 
+@register("positional_split_by_date", "M3", with_fixtures("""
+WITH r AS (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY d NULLS FIRST, l_orderkey, l_linenumber) AS pos,
+                  count(*) OVER () AS n FROM trades)
+SELECT l_orderkey, l_linenumber, CASE WHEN pos <= floor(0.8 * n) THEN 'train' ELSE 'test' END AS part FROM r""", "trades"))
+def q_positional_split_by_date(spark, sf):
+    return split.positional_split(tf.trades(spark, sf), ["d", *KEYS], 0.8).select(*KEYS, "part")
+
+
 @register("stratified_split_counts", "M1 U2", with_fixtures("""
 WITH c AS (SELECT flag, count(*) AS n FROM trades GROUP BY flag)
 SELECT flag, 'test' AS part, CAST(ceil(0.2 * n) AS BIGINT) AS n FROM c
 UNION ALL
 SELECT flag, 'train' AS part, CAST(n - ceil(0.2 * n) AS BIGINT) AS n FROM c""", "trades"))
 def q_stratified_split_counts(spark, sf):
-    s = split.stratified_split(tf.trades(spark, sf), "flag", 0.2, seed=42)
+    s = split.stratified_split(tf.trades(spark, sf), "flag", 0.2, seed=42, key_cols=KEYS)
     return s.groupBy("flag", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -42,7 +50,7 @@ SELECT flag, 'test' AS part, CAST(t AS BIGINT) AS n FROM c
 UNION ALL SELECT flag, 'valid' AS part, CAST(ceil(0.2 * (n - t)) AS BIGINT) AS n FROM c
 UNION ALL SELECT flag, 'train' AS part, CAST(n - t - ceil(0.2 * (n - t)) AS BIGINT) AS n FROM c""", "trades"))
 def q_nested_split_counts(spark, sf):
-    s = split.nested_split(tf.trades(spark, sf), "flag", 0.2, 0.2, seed=42)
+    s = split.nested_split(tf.trades(spark, sf), "flag", 0.2, 0.2, seed=42, key_cols=KEYS)
     return s.groupBy("flag", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -174,37 +182,76 @@ def q_bag_of_words_vocab(spark, sf):
     return term_counts(table(spark, sf, "documents"))
 
 
-def _model_inputs(spark, sf):
+SPEC = dict(categorical=("source_system", "office", "risk", "product_type", "currency_reduced"), label="flag")
+
+
+def _spec():
     from ledgerspark.operators.ml import FeatureSpec
-    clean = tf.clean(spark, sf).clean
-    spec = FeatureSpec(categorical=("source_system", "office", "risk", "product_type", "currency_reduced"),
-                       label="flag")
-    # MLlib scans its input once per tree level and per fitted stage: keep the
-    # prepared rows (spills to disk when large) instead of re-running the plan
-    clean = clean.persist(StorageLevel.MEMORY_AND_DISK)
-    parts = split.nested_split(clean, "flag", 0.2, 0.2, seed=42).persist(StorageLevel.MEMORY_AND_DISK)
-    return clean, parts, spec
+    return FeatureSpec(**SPEC)
 
 
-@register("train_predict", "G6 G7 M4 M5 M6 M7 M8 M19 M23 S11")
-def q_train_predict(spark, sf):
+def _clean_stored(spark, sf):
+    """The cleaned table, written once to the shared folder: fits scan their input many times."""
+    path = scratch_path(spark, "clean")
+    tf.clean(spark, sf).clean.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _trained(spark, sf):
+    from ledgerspark.plans import jobs
+    return jobs.train_and_validate(_clean_stored(spark, sf), _spec(), scratch_path(spark, "trained"), KEYS)
+
+
+@register("one_hot_counts", "M4", with_fixtures("WITH " + tf.CLEAN_SQL + "\nUNION ALL\n".join(f"""
+SELECT '{c}' AS "column", coalesce(CAST({c} AS VARCHAR), '(missing)') AS level, CAST(count(*) AS BIGINT) AS n
+FROM clean GROUP BY 2""" for c in SPEC["categorical"]), "trades"))
+def q_one_hot_counts(spark, sf):
+    from ledgerspark.operators import ml
+    return ml.one_hot_counts(_clean_stored(spark, sf), _spec())
+
+
+_CONT = ("month", "weekday", "quarter", "gbp_log_amount")
+
+
+@register("scaled_features", "M5 A4", with_fixtures("WITH " + tf.CLEAN_SQL + "\nSELECT l_orderkey, l_linenumber, " + ", ".join(
+    f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 5) AS {c}_scaled" for c in _CONT) + " FROM clean", "trades"))
+def q_scaled_features(spark, sf):
     from ledgerspark.operators import ml
-    clean, parts, spec = _model_inputs(spark, sf)
-    model = ml.fit_suspicion_model(clean, parts.where(F.col("part") == "train"), spec,
-                                   ml.ForestParams())
-    test = parts.where(F.col("part") == "test")
-    pred = ml.predict(model, test, "flag")
+    clean = _clean_stored(spark, sf)
+    return ml.scaled(clean, clean, _spec()).select(*KEYS, *[_r(f"{c}_scaled", 5).alias(f"{c}_scaled") for c in _CONT])
+
+
+@register("train_predict", "G6 M6 M7 M8 M19 S11 S5")
+def q_train_predict(spark, sf):
+    from ledgerspark.plans import jobs
+    t = _trained(spark, sf)
+    pred = jobs.holdout_predictions(spark, t.model_path, t.parts_path, "flag")
     return pred.select(*KEYS, "label", "prediction", F.round("p1", 6).alias("p1"))
 
 
-@register("holdout_report", "G7 M9 M13 M14 M15")
+@register("validation_report", "G6 M2 M15")
+def q_validation_report(spark, sf):
+    return _trained(spark, sf).validation
+
+
+@register("holdout_report", "G7 M9 M13 M14 M15 S11")
 def q_holdout_report(spark, sf):
-    from ledgerspark.operators import ml
-    clean, parts, spec = _model_inputs(spark, sf)
-    model = ml.fit_suspicion_model(clean, parts.where(F.col("part") == "train"), spec,
-                                   ml.ForestParams())
-    pred = ml.predict(model, parts.where(F.col("part") == "test"), "flag")
-    return ev.classification_report(pred)
+    from ledgerspark.plans import jobs
+    t = _trained(spark, sf)
+    return ev.classification_report(jobs.holdout_predictions(spark, t.model_path, t.parts_path, "flag"))
+
+
+@register("review_ranking", "M23", with_fixtures("""
+WITH scored AS (SELECT l_orderkey, l_linenumber, flag AS label, round(1 - fx_rate, 2) AS score FROM trades),
+a AS (SELECT score, count(*) FILTER (WHERE label = 1) AS tp FROM scored GROUP BY score),
+c AS (SELECT score, sum(tp) OVER (ORDER BY score DESC) / (SELECT sum(tp) FROM a) AS recall FROM a),
+t AS (SELECT max(score) AS cut FROM c WHERE recall >= 0.9)
+SELECT l_orderkey, l_linenumber, label, round(score, 6) AS score, score >= cut AS review,
+       CAST(row_number() OVER (ORDER BY score DESC, l_orderkey, l_linenumber) AS BIGINT) AS review_rank FROM scored, t""", "trades"))
+def q_review_ranking(spark, sf):
+    t = tf.trades(spark, sf).select(*KEYS, F.col("flag").alias("label"), F.round(1 - F.col("fx_rate"), 2).alias("score"))
+    r = ev.review_ranking(t, KEYS, recall=0.9)
+    return r.select(*KEYS, "label", _r("score").alias("score"), "review", F.col("review_rank").cast("long").alias("review_rank"))
 
 
 @register("weighted_alternatives", "M21 M22")
@@ -212,25 +259,41 @@ def q_weighted_alternatives(spark, sf):
     from functools import reduce
 
     from ledgerspark.operators import ml
-    clean, parts, spec = _model_inputs(spark, sf)
+    clean = _clean_stored(spark, sf)
+    parts = split.nested_split(clean, "flag", 0.2, 0.2, seed=42, key_cols=KEYS)
     train = ml.class_weights(parts.where(F.col("part") == "train"), "flag")
     valid = parts.where(F.col("part") == "valid")
     outs = []
     for kind in ("logistic", "svm", "tree"):
-        model = ml.fit_suspicion_model(clean, train, spec,
+        model = ml.fit_suspicion_model(clean, train, _spec(),
                                        classifier=ml.alternative_classifier(kind, weight="weight"))
         m = ev.binary_metrics(ml.predict(model, valid, "flag"))
         outs.append(m.select(F.lit(kind).alias("model"), "*"))
     return reduce(lambda a, b: a.unionByName(b), outs)
 
 
+@register("cross_validation", "M17 M12")
+def q_cross_validation(spark, sf):
+    from ledgerspark.operators import ml
+    return ml.cross_validate(_clean_stored(spark, sf), _spec(), ml.ForestParams(), k=15, key_cols=KEYS)
+
+
+@register("parameter_search", "M18")
+def q_parameter_search(spark, sf):
+    from ledgerspark.operators import ml
+    clean = _clean_stored(spark, sf)
+    grid = [{"numTrees": [200], "maxDepth": [30], "minInstancesPerNode": [m]} for m in (1, 3)]
+    return ml.parameter_search(clean, clean, _spec(), grid)
+
+
 @register("text_model", "M20 M7")
 def q_text_model(spark, sf):
     from ledgerspark.operators import ml
     from ledgerspark.sources.readers import table
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
-    parts = split.stratified_split(docs.select("doc_id", "text", "toxic"), "toxic", 0.2, seed=42,
-                                   key_cols=["doc_id"]).persist(StorageLevel.MEMORY_AND_DISK)
+    path = scratch_path(spark, "text-parts")
+    split.stratified_split(docs.select("doc_id", "text", "toxic"), "toxic", 0.2, seed=42, key_cols=["doc_id"]).write.parquet(path)
+    parts = spark.read.parquet(path)
     model = ml.text_classifier("toxic", ml.ForestParams(min_instances_per_node=3)).fit(
         parts.where(F.col("part") == "train"))
     pred = ml.predict(model, parts.where(F.col("part") == "test"), "toxic")

@@ -45,15 +45,25 @@ def q_crosstab_margins_nulls(spark, sf):
     return profile.crosstab_margins(_t(spark, sf), "product_name", "flag")
 
 
-_OFFICES = [0, 1, 2, 3, 4]
-
-
 @register("crosstab_pivot", "A15", with_fixtures("""
-SELECT currency, """ + ", ".join(
-    f"CAST(count(*) FILTER (WHERE office = {o}) AS BIGINT) AS office_{o}" for o in _OFFICES) + """
-FROM trades GROUP BY currency""", "trades"))
+SELECT currency, CAST(count(*) FILTER (WHERE risk = '1-URGENT') AS BIGINT) AS urgent,
+       CAST(count(*) FILTER (WHERE risk <> '1-URGENT') AS BIGINT) AS other,
+       CAST(count(*) FILTER (WHERE risk IS NULL) AS BIGINT) AS "null" FROM trades GROUP BY currency""", "trades"))
 def q_crosstab_pivot(spark, sf):
-    return profile.crosstab_pivot(_t(spark, sf), "currency", "office", _OFFICES, prefix="office_")
+    p = profile.crosstab_pivot(_t(spark, sf), "currency", "risk", ["1-URGENT"])
+    return p.withColumnRenamed("1-URGENT", "urgent")
+
+
+@register("crosstab_pivot_found", "A15", with_fixtures("""
+WITH v AS (SELECT DISTINCT 'office_' || coalesce(CAST(office AS VARCHAR), 'null') AS cell FROM trades UNION SELECT 'office_null'),
+k AS (SELECT DISTINCT currency FROM trades),
+n AS (SELECT currency, 'office_' || coalesce(CAST(office AS VARCHAR), 'null') AS cell, count(*) AS n FROM trades GROUP BY ALL)
+SELECT k.currency, v.cell, CAST(coalesce(n.n, 0) AS BIGINT) AS n
+FROM k CROSS JOIN v LEFT JOIN n ON n.currency = k.currency AND n.cell = v.cell""", "trades"))
+def q_crosstab_pivot_found(spark, sf):
+    p = profile.crosstab_pivot(_t(spark, sf), "currency", "office", prefix="office_")
+    cells = F.array(*[F.struct(F.lit(c).alias("cell"), F.col(c).alias("n")) for c in p.columns if c != "currency"])
+    return p.select("currency", F.explode(cells).alias("c")).select("currency", "c.cell", "c.n")
 
 
 @register("crosstab_share", "A16", with_fixtures("""

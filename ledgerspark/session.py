@@ -1,56 +1,63 @@
-"""Session defaults for local runs and tests.
+"""Session defaults for local runs and tests, and the shared scratch folder.
 
-On a cluster the session comes from the platform; only keys that are unset are
-filled in here, and the checkpoint folder is always read from the session.
+On a cluster the session comes from the platform. Defaults are given to the builder only
+for keys that are set nowhere yet, and never change a session that already runs.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 _DEFAULTS = {
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "ledgerspark") -> SparkSession:
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active
+    wanted = dict(_DEFAULTS)
+    if shuffle_partitions:
+        wanted["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if memory := os.environ.get("LEDGERSPARK_DRIVER_MEMORY"):
+        wanted["spark.driver.memory"] = memory
+    SparkContext._ensure_initialized()
+    known = SparkConf()  # what spark-submit and spark-defaults have set
     builder = SparkSession.builder.appName(app_name)
-    if master:
+    if master and not known.contains("spark.master"):
         builder = builder.master(master)
-    for k, v in _DEFAULTS.items():
-        builder = builder.config(k, v)
-    if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("LEDGERSPARK_DRIVER_MEMORY", "16g"))
+    for k, v in wanted.items():
+        if not known.contains(k):
+            builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    A cluster sets it to a shared file system; only when it is unset (local runs
-    and tests) a fresh scratch folder is created and registered.
-    """
+    """The shared folder that ``spark.checkpoint.dir`` names. Only where it is unset and Spark
+    runs in this one process (tests) is a scratch folder made; a cluster without it is an error."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
+    if current := sc.getCheckpointDir():
         return current
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
-        # unset: a local run or a test; never reached on a configured cluster
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="ledgerspark-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
