@@ -107,9 +107,13 @@ def one_hot_counts(df: DataFrame, spec: FeatureSpec) -> DataFrame:
     named, indexer, encoder = feature_stages(df, df, spec)[0][:3]
     enc = PipelineModel([named, indexer, encoder]).transform(df)
     levels = dict(zip(spec.categorical, indexer.labelsArray))
-    cells = F.concat(*[F.transform(vector_to_array(f"{_safe(c)}_vec"), lambda x, i, c=c: F.struct(
-        F.lit(c).alias("column"), F.get(F.array(*[F.lit(v) for v in levels[c]]), i).alias("level"), x.alias("x")))
-        for c in spec.categorical])
+
+    def cells_of(c: str):
+        names = F.array(*[F.lit(v) for v in levels[c]])
+        return F.transform(vector_to_array(f"{_safe(c)}_vec"), lambda x, i: F.struct(
+            F.lit(c).alias("column"), F.get(names, i).alias("level"), x.alias("x")))
+
+    cells = F.concat(*[cells_of(c) for c in spec.categorical])
     return enc.select(F.explode(cells).alias("s")).groupBy("s.column", "s.level").agg(F.sum("s.x").cast("long").alias("n"))
 
 

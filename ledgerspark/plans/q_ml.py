@@ -27,11 +27,11 @@ def _r(c, n=6):
 # --------------------------------------------------------------------------- splits
 
 @register("positional_split_by_date", "M3", with_fixtures("""
-WITH r AS (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY d NULLS FIRST, l_orderkey, l_linenumber) AS pos,
+WITH r AS (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY d NULLS FIRST, l_orderkey, l_linenumber, notional, gbp) AS pos,
                   count(*) OVER () AS n FROM trades)
 SELECT l_orderkey, l_linenumber, CASE WHEN pos <= floor(0.8 * n) THEN 'train' ELSE 'test' END AS part FROM r""", "trades"))
 def q_positional_split_by_date(spark, sf):
-    return split.positional_split(tf.trades(spark, sf), ["d", *KEYS], 0.8).select(*KEYS, "part")
+    return split.positional_split(tf.trades(spark, sf), ["d", *KEYS, "notional", "gbp"], 0.8).select(*KEYS, "part")
 
 
 @register("stratified_split_counts", "M1 U2", with_fixtures("""
@@ -247,10 +247,10 @@ a AS (SELECT score, count(*) FILTER (WHERE label = 1) AS tp FROM scored GROUP BY
 c AS (SELECT score, sum(tp) OVER (ORDER BY score DESC) / (SELECT sum(tp) FROM a) AS recall FROM a),
 t AS (SELECT max(score) AS cut FROM c WHERE recall >= 0.9)
 SELECT l_orderkey, l_linenumber, label, round(score, 6) AS score, score >= cut AS review,
-       CAST(row_number() OVER (ORDER BY score DESC, l_orderkey, l_linenumber) AS BIGINT) AS review_rank FROM scored, t""", "trades"))
+       CAST(row_number() OVER (ORDER BY score DESC, l_orderkey, l_linenumber, label) AS BIGINT) AS review_rank FROM scored, t""", "trades"))
 def q_review_ranking(spark, sf):
     t = tf.trades(spark, sf).select(*KEYS, F.col("flag").alias("label"), F.round(1 - F.col("fx_rate"), 2).alias("score"))
-    r = ev.review_ranking(t, KEYS, recall=0.9)
+    r = ev.review_ranking(t, [*KEYS, "label"], recall=0.9)  # the fixture's keys repeat
     return r.select(*KEYS, "label", _r("score").alias("score"), "review", F.col("review_rank").cast("long").alias("review_rank"))
 
 
