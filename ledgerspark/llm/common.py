@@ -2,52 +2,47 @@
 
 from __future__ import annotations
 
-import gc
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerspark.session import checkpoint_dir, scratch_path
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that ``spark.checkpoint.dir`` names. Only where that is
-    unset and Spark runs in this one process (tests) is a scratch folder made."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    path = sc.getConf().get("spark.checkpoint.dir", None)
-    if path is None:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-        path = tempfile.mkdtemp(prefix="ledgerspark-ckpt-")
-    sc.setCheckpointDir(path)
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Executions that begin inside remove their shuffle files when they end: their result is
+    stored in the shared folder by then."""
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint: survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Eager reliable checkpoint in the shared folder: survives the loss of executors."""
+    checkpoint_dir(df.sparkSession)
+    with _shuffles_dropped(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet in the shared checkpoint folder and read again."""
+    """``df`` written as Parquet in the shared folder and read again."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = scratch_path(spark, "stored")
+    with _shuffles_dropped(spark):
+        df.select("*").write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of plans that nothing refers to any more. Call it between the
-    steps of a job, after a step's result is checkpointed; it only frees disk sooner."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

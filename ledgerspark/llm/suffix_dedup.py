@@ -22,7 +22,7 @@ repeated window meets its copy at a sampled position. The *context* of a sampled
 
 Scale: a task first settles what its own batch repeats and sends one context once, so a
 string that a third of all documents hold sends a row per batch, not per document. Every
-step is cut off by a checkpoint, after which the shuffle files of the step are released.
+step is cut off by a checkpoint, after which the shuffle files of the step are removed.
 Hashes have 64 bits.
 
 Cases: null and empty texts have 0 bytes and nothing to remove; a null id counts as the
@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import cut_lineage, release, shuffle_partitions, table
+from ledgerspark.llm.common import cut_lineage, shuffle_partitions, table
 
 SEED = 16
 _SEGMENT = 1 << 18
@@ -281,9 +281,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
                            .groupBy("doc", "rid").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")))
 
     marks = sampled()
-    release(spark)
     spans = opened(marks)
-    release(spark)
     before = length - SEED
     settled = marks.where(F.size("settled") > 0).select(
         "doc", "rid", F.transform("settled", lambda p: F.greatest(p - before, F.lit(0))).alias("starts"),
