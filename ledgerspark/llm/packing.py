@@ -24,59 +24,126 @@ import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.llm.common import cut_lineage, table
-from ledgerspark.llm.pairs import ramp
 
 WINDOW, UNIT, DEPTH = 2048, 8, 3
 _RANK_ROWS = 50_000       # pieces that one task numbers at a time
-_CACHE_CHUNKS = 400_000   # chunks of text whose ids a worker remembers
-_BATCH_CHARS = 8 << 20
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+_CACHE_CHUNKS = 800_000   # chunks of text, and pieces of chunks, whose ids a worker remembers
+_BATCH_BYTES = 4 << 20
+_WHOLE = re.compile("[^\x00-\u024f]|<\\||[\x1c-\x1f\x85]")
+#: the file's own pattern for the pieces of a chunk
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+
+
+class _Numbered(defaultdict):
+    """Numbers its keys in the order they are first asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.default_factory = self.__len__
+
+    def numbers(self, lists: list[list[str]]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), np.int32, sum(map(len, lists)))
+
+
+class _Rows:
+    """Growing sequence of int arrays, kept end to end."""
+
+    def __init__(self):
+        self.flat, self.start = np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The wanted rows end to end, and their sizes."""
+        first = self.start[rows]
+        size = self.start[rows + 1] - first
+        shift = np.cumsum(size) - size
+        return self.flat[np.arange(int(size.sum())) + np.repeat(first - shift, size)], size
 
 
 class _Tokenizer:
-    """Ids of whole texts. The pre-tokeniser never joins text across white space, so ids are looked up by
-    chunk between spaces and only new chunks reach the tokenizer."""
+    """Ids of whole texts. The pre-tokeniser never joins text across white space, and what it cuts a chunk
+    (text between ASCII spaces) into is merged piece by piece; so ids are remembered by chunk and by piece,
+    and only new pieces reach the tokenizer. Chunks with other than Latin letters, unusual control
+    characters or what could be a special token go to it whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.lib = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.code: dict[str, int] = defaultdict()
-        self.code.default_factory = self.code.__len__
-        self.pool, self.start = np.empty(0, np.int64), np.zeros(1, np.int64)
-
-    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and where each starts (with the end appended)."""
-        if len(self.code) > _CACHE_CHUNKS:
-            self.forget()
-        had = len(self.code)
-        # characters that only Python takes for spaces stay inside one chunk: the whole text
-        chunks = [[t] if _ODD_SPACE.search(t) else t.split() for t in texts]
-        code = self.code
-        flat = np.fromiter((code[c] for cs in chunks for c in cs), np.int64, sum(map(len, chunks)))
-        per_text = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        del chunks
-        new = list(code)[had:] if len(code) > had else []
-        got = [e.ids for at in range(0, len(new), 10_000)
-               for e in self.lib.encode_batch_fast(new[at:at + 10_000], add_special_tokens=False)]
+        self.chunk, self.chunk_ids = _Numbered(), _Rows()
+        self.piece, self.piece_ids = _Numbered(), _Rows()
+        vocab = self.lib.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a piece
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_encode``; pieces go a few hundred at a time, with spaces between, and end marks part them again."""
+        flat, _ = self._encode([" ".join(pieces[at:at + 400]) for at in range(0, len(pieces), 400)], 64)
+        end = np.flatnonzero(self.last[flat]) + 1
+        if len(end) != len(pieces):
+            return self._encode(pieces)
+        return flat, np.diff(end, prepend=0)
+
+    def _encode(self, strings: list[str], at_once: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for at in range(0, len(strings), at_once)
+               for e in self.lib.encode_batch_fast(strings[at:at + at_once], add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
-        fresh = np.fromiter((i for x in got for i in x), np.int64, int(sizes.sum()))
-        self.pool = np.concatenate([self.pool, fresh])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
-        size = np.diff(self.start)[flat]
-        ids = self.pool[np.repeat(self.start[:-1][flat], size) + ramp(size)]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        return ids, ends[np.concatenate([[0], np.cumsum(per_text)])]
+        return np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum())), sizes
+
+    def _new_chunks(self, new: list[str]) -> None:
+        whole = np.fromiter(map(bool, map(_WHOLE.search, new)), bool, len(new))
+        pieces = [[] if w else _PIECES(c.lower()) for c, w in zip(new, whole.tolist())]
+        if len(self.piece) > _CACHE_CHUNKS:
+            self.piece, self.piece_ids = _Numbered(), _Rows()
+        had = len(self.piece)
+        numbers = self.piece.numbers(pieces)
+        if len(self.piece) > had:
+            self.piece_ids.add(*self._encode_pieces(list(islice(self.piece, had, None))))
+        flat, size = self.piece_ids.take(numbers)
+        per_chunk = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        upto = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(per_chunk)])]
+        if not whole.any():
+            self.chunk_ids.add(flat, np.diff(upto))
+            return
+        own, own_sizes = self._encode([c for c, w in zip(new, whole.tolist()) if w])
+        own_end = np.cumsum(own_sizes)
+        parts, sizes, k = [], np.diff(upto), 0
+        for i, w in enumerate(whole.tolist()):
+            if w:
+                parts.append(own[own_end[k] - own_sizes[k]:own_end[k]])
+                sizes[i] = own_sizes[k]
+                k += 1
+            else:
+                parts.append(flat[upto[i]:upto[i + 1]])
+        self.chunk_ids.add(np.concatenate(parts), sizes)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each starts (with the end appended)."""
+        if len(self.chunk) > _CACHE_CHUNKS:
+            self.chunk, self.chunk_ids = _Numbered(), _Rows()
+        lists = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        had = len(self.chunk)
+        numbers = self.chunk.numbers([coded.dictionary.to_pylist()])
+        if len(self.chunk) > had:
+            self._new_chunks(list(islice(self.chunk, had, None)))
+        ids, size = self.chunk_ids.take(numbers[coded.indices.to_numpy()])
+        offsets = lists.offsets.to_numpy()
+        return ids, np.concatenate([[0], np.cumsum(size)])[offsets - offsets[0]]
 
 
 _LOADED: dict[str, _Tokenizer] = {}
@@ -88,28 +155,36 @@ def tokenize_pieces(docs: DataFrame, path: str, end_id: int = 1, window: int = W
     little-endian unsigned 32-bit ids, the document's end id included."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = _LOADED.setdefault(path, None) or _Tokenizer(path)
-        _LOADED[path] = tok
-        for pdf in batches:
-            keys, texts, at = pdf["id"].tolist(), [t or "" for t in pdf["text"]], 0
-            while at < len(texts):
-                stop, chars = at, 0
-                while stop < len(texts) and (stop == at or chars + len(texts[stop]) <= _BATCH_CHARS):
-                    chars += len(texts[stop])
-                    stop += 1
-                ids, ends = tok.ids(texts[at:stop])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if path not in _LOADED:
+            _LOADED[path] = _Tokenizer(path)
+        tok = _LOADED[path]
+        tail = np.array([end_id], "<u4").tobytes()
+        for b in batches:
+            size = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy()
+            group = np.cumsum(size.astype(np.int64)) // _BATCH_BYTES  # longer texts end a group of their own
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), b.num_rows]
+            for at, stop in zip(cuts, cuts[1:]):
+                if at == stop:
+                    continue
+                ids, ends = tok.ids(b.column(1).slice(at, stop - at))
                 raw = ids.astype("<u4").tobytes()
-                tail = np.array([end_id], "<u4").tobytes()
-                rows = []
-                for key, a, b in zip(keys[at:stop], ends[:-1].tolist(), ends[1:].tolist()):
-                    own = raw[4 * a:4 * b] + tail
-                    n = b - a + 1
-                    rows += [(key, s, min(window, n - s), own[4 * s:4 * (s + window)], n) for s in range(0, n, window)]
-                at = stop
-                yield pd.DataFrame(rows, columns=["id", "start", "length", "ids", "doc_tokens"])
-
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(
+                row, start, length, own, total = [], [], [], [], []
+                for k, (a, z) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
+                    n = z - a + 1
+                    text_ids = raw[4 * a:4 * z] + tail
+                    for s in range(0, n, window):
+                        row.append(at + k)
+                        start.append(s)
+                        length.append(min(window, n - s))
+                        own.append(text_ids[4 * s:4 * (s + window)])
+                        total.append(n)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
+                     pa.array(own, pa.binary()), pa.array(total, pa.int64())],
+                    names=["id", "start", "length", "ids", "doc_tokens"])
+
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"id {id_type}, start long, length long, ids binary, doc_tokens long")
     return out.withColumnRenamed("id", id_col)
 
