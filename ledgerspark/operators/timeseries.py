@@ -27,9 +27,9 @@ def _day(c: str | Column) -> Column:
     return F.unix_date(F.col(c) if isinstance(c, str) else c)
 
 
-def _bucket_days(max_days: int, bucket_days: int | None) -> int:
+def _bucket_days(max_days: int | None, bucket_days: int | None) -> int:
     b = bucket_days or DEFAULT_BUCKET_DAYS
-    return max(b, max_days + 1)
+    return max(b, (max_days or 0) + 1)
 
 
 # --------------------------------------------------------------------------- A5 / U1 / J9
@@ -78,9 +78,10 @@ def key_day_grid(daily: DataFrame, key: str = "currency", date: str = "exchange_
 
 
 def _bounded_last(obs: DataFrame, targets: DataFrame, key: str, date: str, value: str,
-                  max_days: int, bucket_days: int | None,
+                  max_days: int | None, bucket_days: int | None,
                   out_value: str, out_source: str) -> DataFrame:
-    """For every target row: latest non-null ``value`` of ``obs`` in [date - max_days, date].
+    """For every target row: latest non-null ``value`` of ``obs`` in [date - max_days, date];
+    without ``max_days`` the latest one at any age, carried from bucket to bucket.
 
     ``obs`` must hold at most one non-null value per (key, day) (run ``daily_mean``
     first). Target columns pass through; two columns are added.
@@ -91,9 +92,12 @@ def _bounded_last(obs: DataFrame, targets: DataFrame, key: str, date: str, value
     b = F.floor(F.col("_d") / B)
     # an observation the next bucket's first days can still reach is emitted into
     # both buckets (one pass over the observations, no second aggregate)
-    near_end = F.col("_d") >= (b + 1) * B - max_days
-    o_all = (o.withColumn("_b", F.explode(F.when(near_end, F.array(b, b + 1)).otherwise(F.array(b))))
-              .withColumn("_is_t", F.lit(False)))
+    if max_days is None:
+        o_all = o.withColumn("_b", b).withColumn("_is_t", F.lit(False))
+    else:
+        near_end = F.col("_d") >= (b + 1) * B - max_days
+        o_all = (o.withColumn("_b", F.explode(F.when(near_end, F.array(b, b + 1)).otherwise(F.array(b))))
+                  .withColumn("_is_t", F.lit(False)))
     t = targets.select(F.col(key).alias("_k"), _day(date).alias("_d"), F.lit(None).cast("double").alias("_v"),
                        *[F.col(c).alias(f"_t_{c}") for c in tcols])
     t = t.withColumn("_b", F.floor(F.col("_d") / B)).withColumn("_is_t", F.lit(True))
@@ -105,10 +109,25 @@ def _bounded_last(obs: DataFrame, targets: DataFrame, key: str, date: str, value
     w = Window.partitionBy("_k", "_b").orderBy("_d", "_is_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = F.last(F.when(F.col("_v").isNotNull(), F.struct(F.col("_d").alias("d"), F.col("_v").alias("v"))), ignorenulls=True).over(w)
     res = u.select(marker, "_d", *[F.col(f"_t_{c}").alias(c) for c in tcols], seen.alias("_seen")).where(marker)
+    if max_days is None:
+        return _carried(u, w, marker, seen, tcols, out_value, out_source)
     fresh = F.when(F.col("_d") - F.col("_seen.d") <= max_days, F.col("_seen"))
     return res.select(*tcols, fresh["v"].alias(out_value), F.date_from_unix_date(fresh["d"]).alias(out_source))
 
 
+def _carried(u: DataFrame, w, marker: Column, seen: Column, tcols: list[str], out_value: str, out_source: str) -> DataFrame:
+    """The unbounded look-back: what a bucket has not seen yet comes from the last reading of the key's
+    earlier buckets, a table with one row per (key, bucket)."""
+    lasts = u.groupBy(F.col("_k").alias("_ck"), F.col("_b").alias("_cb")).agg(
+        F.max(F.when(F.col("_v").isNotNull(), F.struct(F.col("_d").alias("d"), F.col("_v").alias("v")))).alias("_last"))
+    before = Window.partitionBy("_ck").orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = lasts.select("_ck", "_cb", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    x = u.select("_k", "_b", marker, *[F.col(f"_t_{c}").alias(c) for c in tcols], seen.alias("_seen")).where(marker)
+    x = x.join(lasts, x["_k"].eqNullSafe(lasts["_ck"]) & x["_b"].eqNullSafe(lasts["_cb"]), "left")
+    got = F.coalesce("_seen", "_carry")
+    return x.select(*tcols, got["v"].alias(out_value), F.date_from_unix_date(got["d"]).alias(out_source))
+
+
 def fill_forward_grid(daily: DataFrame, key: str = "currency", date: str = "exchange_date",
                       value: str = "exchange_rate", max_days: int = 7, default: float | None = -1.0,
                       bucket_days: int | None = None) -> DataFrame:
@@ -229,8 +248,8 @@ def fill_forward_rows(df: DataFrame, key: str, date: str, value: str, n: int = 7
 
 
 def _prev_next(obs: DataFrame, targets: DataFrame, key: str, date: str, value: str,
-               max_days: int, bucket_days: int | None) -> DataFrame:
-    """Previous and next non-null reading (value and day) within ``max_days`` of each target."""
+               max_days: int | None, bucket_days: int | None) -> DataFrame:
+    """Previous and next non-null reading (value and day) of each target, within ``max_days`` if given."""
     prev = _bounded_last(obs, targets, key, date, value, max_days, bucket_days, "_pv", "_pd")
     # the next reading is the previous one on the mirrored time axis
     mirror = lambda c: F.date_from_unix_date(-_day(c))
@@ -244,9 +263,10 @@ def _prev_next(obs: DataFrame, targets: DataFrame, key: str, date: str, value: s
 
 
 def nearest_value(obs: DataFrame, targets: DataFrame, key: str, date: str, value: str,
-                  max_days: int = 7, out_value: str = "nearest_rate", out_source: str = "source_date",
+                  max_days: int | None = 7, out_value: str = "nearest_rate", out_source: str = "source_date",
                   bucket_days: int | None = None) -> DataFrame:
-    """The reading closest in time (either side, within ``max_days``); ties go to the earlier one."""
+    """The reading closest in time (either side, within ``max_days``, at any distance with ``None``);
+    ties go to the earlier one."""
     x = _prev_next(obs, targets, key, date, value, max_days, bucket_days)
     dp = F.date_diff(F.col(date), F.col("_pd"))
     dn = F.date_diff(F.col("_nd"), F.col(date))
@@ -257,9 +277,10 @@ def nearest_value(obs: DataFrame, targets: DataFrame, key: str, date: str, value
 
 
 def linear_interpolation(obs: DataFrame, targets: DataFrame, key: str, date: str, value: str,
-                         max_days: int = 7, out_value: str = "interpolated_rate",
+                         max_days: int | None = 7, out_value: str = "interpolated_rate",
                          bucket_days: int | None = None) -> DataFrame:
-    """I4: straight line between the previous and next reading (each within ``max_days``).
+    """I4: straight line between the previous and next reading (each within ``max_days``, at any distance
+    with ``None``).
 
     An exact reading is returned as is; with only one side present the result is NULL.
     """
