@@ -28,9 +28,11 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays (one row, where rows repeat an id)."""
-    classes = ngram_join.jaccard_classes(docs)
-    return docs.join(classes.where("kept").select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each class of near-duplicates stays (one row, where rows repeat an id);
+    rows without an id stay."""
+    keep = ngram_join.jaccard_classes(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    named = docs.join(keep, "doc_id").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    return named.unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,9 +17,9 @@ returns per vector the number of links found and one edge to its local root.
 Equal vectors are one row with a weight from the start. Vectors of different lengths are
 never compared.
 
-Cases: vectors that are null, empty, all zero, or hold a null or non-finite component
-link with nothing and are their own component; repeated rows are vectors of their own that
-link with each other; an empty table gives no rows; extra columns are ignored.
+Cases: vectors that are null, empty, all zero, or hold a null or non-finite component,
+and vectors without an id, link with nothing and are their own component; repeated rows are vectors of their own that
+link with each other (rows that share an id but not the vector share its links); an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -131,7 +131,7 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     """One row per vector: ``id, n_links, component_id, kept``."""
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("e"))
     finite = F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists("e", lambda c: c != 0)
-    good = F.coalesce(finite, F.lit(False))
+    good = F.coalesce(finite, F.lit(False)) & F.col("id").isNotNull()
     reps = v.where(good).groupBy("e").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w"))
     bits, tables = plan_tables(vectors.count(), threshold, miss)
 
@@ -185,7 +185,7 @@ def link_embeddings(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
                         F.coalesce("component", "rep").alias("component_id"))
     alone = v.where(~good).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id",
-                                            (F.col("id") == F.col("component_id")).alias("kept"))
+                                            F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 # --------------------------------------------------------------------------- query

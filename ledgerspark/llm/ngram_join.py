@@ -21,8 +21,9 @@ With 25 bands of 5 values a pair exactly at similarity 0.8 is missed with probab
 
 Cases: a text with fewer than n words is one n-gram of all its words; null, empty and
 blank texts link with nothing and are their own class; repeated rows are documents of
-their own that link with each other; ties on the class id cannot occur, it is the
-smallest id; an empty table gives no rows; extra columns are ignored.
+their own that link with each other (rows that share an id but not the text share its
+links); ties on the class id cannot occur, it is the
+smallest id; a row without an id links with nothing and is kept; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -175,7 +176,8 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, toleran
     """One row per document: ``id, class_id`` (smallest id reachable by links), ``n_links`` (documents with
     similarity >= ``threshold``), ``kept`` (the class's representative)."""
     needed = needed_matches(threshold, tolerance)
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    everyone = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    d = everyone.where("id IS NOT NULL")
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(n)
@@ -234,10 +236,13 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, toleran
     links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("n"))
     classes = connected_components(found.select(F.col("id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "rep")
     own = sketches.join(copies, "digest", "left").select("id", F.coalesce("rep", "id").alias("rep"), F.coalesce("w", F.lit(1)).alias("w"))
-    return own.join(links, "rep", "left").join(classes, "rep", "left").select(
-        F.col("id").alias(id_col), F.coalesce("component", "rep").alias("class_id"),
+    out = own.join(links, "rep", "left").join(classes, "rep", "left").select(
+        "id", F.coalesce("component", "rep").alias("class_id"),
         (F.coalesce("n", F.lit(0)) + F.col("w") - 1).cast("long").alias("n_links"),
         (F.col("id") == F.coalesce("component", "rep")).alias("kept"))
+    nameless = everyone.where("id IS NULL").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
+                                                   F.lit(True).alias("kept"))
+    return out.unionByName(nameless).withColumnRenamed("id", id_col)
 
 
 # --------------------------------------------------------------------------- query

@@ -130,7 +130,8 @@ def train_linear(votes: np.ndarray, words: list[np.ndarray], target: np.ndarray,
         return weights
     vote = _VOTE_FEATURES[np.arange(_VOTES), votes]
     sizes = np.array([len(w) for w in words])
-    index, owner, first = np.concatenate(words), np.repeat(np.arange(len(words)), sizes), np.cumsum(sizes) - sizes
+    index, first = np.concatenate(words), np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     value = 1 / np.sqrt(sizes)
     for _ in range(epochs):
         z = np.add.reduceat(weights[index], first) * value + weights[vote].sum(1) + weights[-1]
@@ -222,6 +223,7 @@ def fit(seen: DataFrame, id_col: str = "doc_id", train_docs: int = 20_000) -> di
     sample = voted.where(F.pmod(F.xxhash64(F.lit("train"), F.col(id_col)), F.lit(1 << 30)) < cut).select("_votes", "_words").collect()
     votes = np.array([r["_votes"] for r in sample], int).reshape(-1, _VOTES)
     words = [np.frombuffer(r["_words"], np.int32) for r in sample]
+    del sample
     weights, at = {}, 0
     for aspect, labellers in ASPECTS.items():
         sub = slice(at, at + len(labellers))
