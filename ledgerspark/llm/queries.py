@@ -5,13 +5,23 @@ from __future__ import annotations
 from ledgerspark.llm import (bpe, chat, embed_dedup, fingerprint, ngram_join, packing, quality, secrets, suffix_dedup,
                              url_filter)
 
+from ledgerspark.llm.common import ship_package
+
 
 def pipeline(spark, sf_dir):
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {
+def _shipped(query):
+    def run(spark, sf_dir):
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_OWN = {
     "op1_url_filter": (url_filter.op1_url_filter, url_filter.OP1_SQL),
     "op2_secret_scan": (secrets.op2_secret_scan, None),
     "op3_byte_bpe": (bpe.op3_byte_bpe, None),
@@ -24,3 +34,5 @@ QUERIES = {
     "op10_suffix_dedup": (suffix_dedup.op10_suffix_dedup, None),
     "pipeline": (pipeline, None),
 }
+
+QUERIES = {name: (_shipped(query), sql) for name, (query, sql) in _OWN.items()}
