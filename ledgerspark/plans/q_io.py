@@ -57,8 +57,8 @@ def q_ordered_export(spark, sf):
 def q_replaced_table(spark, sf):
     from ledgerspark.operators import timeseries as ts
     name = "ledgerspark_daily"
-    writers.replace_table(spark.range(1), name)
-    t = writers.replace_table(ts.daily_mean(fx.rates(spark, sf)), name)
+    writers.replace_table(spark.range(1), name, scratch_path(spark, "table"))
+    t = writers.replace_table(ts.daily_mean(fx.rates(spark, sf)), name, scratch_path(spark, "table"))
     return t.select("currency", "exchange_date", F.round("exchange_rate", 6).alias("exchange_rate"))
 
 

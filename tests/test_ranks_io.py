@@ -123,8 +123,8 @@ def test_sinks_round_trip(spark):
     lines = [r.value for r in spark.read.text(path).withColumn("f", F.input_file_name()).withColumn(
         "m", F.monotonically_increasing_id()).orderBy("f", "m").collect() if not r.value.startswith("id|")]
     assert [int(v.split("|")[0]) for v in lines] == list(range(299, -1, -1))
-    t = writers.replace_table(df, "ls_sink_test")
-    assert writers.replace_table(df.limit(5), "ls_sink_test").count() == 5 and t.schema == df.schema
+    t = writers.replace_table(df, "ls_sink_test", scratch_path(spark, "table"))
+    assert writers.replace_table(df.limit(5), "ls_sink_test", scratch_path(spark, "table")).count() == 5 and t.schema == df.schema
     spark.sql("DROP TABLE ls_sink_test")
 
 
