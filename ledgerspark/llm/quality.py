@@ -129,16 +129,21 @@ def train_linear(votes: np.ndarray, words: list[np.ndarray], target: np.ndarray,
     if not len(words):
         return weights
     vote = _VOTE_FEATURES[np.arange(_VOTES), votes]
-    sizes = np.array([len(w) for w in words])
-    index, first = np.concatenate(words), np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
-    value = 1 / np.sqrt(sizes)
+    blocks = []
+    for at in range(0, len(words), 1000):  # bounds the temporaries of a gradient
+        part = words[at:at + 1000]
+        sizes = np.array([len(w) for w in part])
+        blocks.append((slice(at, at + len(part)), np.concatenate(part), np.cumsum(sizes) - sizes,
+                       np.repeat(np.arange(len(part), dtype=np.int32), sizes), 1 / np.sqrt(sizes)))
     for _ in range(epochs):
-        z = np.add.reduceat(weights[index], first) * value + weights[vote].sum(1) + weights[-1]
-        miss = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - target) / len(words)
-        g = np.bincount(index, (miss * value)[owner], DIMS + 1) + decay * weights
-        np.add.at(g, vote, miss[:, None])
-        g[-1] = miss.sum()
+        g = decay * weights
+        g[-1] = 0.0
+        for rows, index, first, owner, value in blocks:
+            z = np.add.reduceat(weights[index], first) * value + weights[vote[rows]].sum(1) + weights[-1]
+            miss = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - target[rows]) / len(words)
+            g += np.bincount(index, (miss * value)[owner], DIMS + 1)
+            np.add.at(g, vote[rows], miss[:, None])
+            g[-1] += miss.sum()
         grown += g * g
         weights -= rate * g / np.sqrt(grown)
     return weights
