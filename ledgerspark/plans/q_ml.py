@@ -197,9 +197,16 @@ def _clean_stored(spark, sf):
     return spark.read.parquet(path)
 
 
+_TRAINED: dict = {}
+
+
 def _trained(spark, sf):
+    """Trained once per application and input; the queries reload the saved model and the stored parts."""
     from ledgerspark.plans import jobs
-    return jobs.train_and_validate(_clean_stored(spark, sf), _spec(), scratch_path(spark, "trained"), KEYS)
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TRAINED:
+        _TRAINED[key] = jobs.train_and_validate(_clean_stored(spark, sf), _spec(), scratch_path(spark, "trained"), KEYS)
+    return _TRAINED[key]
 
 
 @register("one_hot_counts", "M4", with_fixtures("WITH " + tf.CLEAN_SQL + "\nUNION ALL\n".join(f"""
