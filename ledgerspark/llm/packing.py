@@ -38,7 +38,7 @@ from ledgerspark.llm.common import cut_lineage, table
 
 WINDOW, UNIT, DEPTH = 2048, 8, 3
 _RANK_ROWS = 50_000       # pieces that one task numbers at a time
-_CACHE_CHUNKS = 800_000   # chunks of text, and pieces of chunks, whose ids a worker remembers
+_CACHE_CHUNKS = 600_000   # chunks of text, and pieces of chunks, whose ids a task remembers
 _BATCH_BYTES = 4 << 20
 _WHOLE = re.compile("[^\x00-\u024f]|<\\||[\x1c-\x1f\x85]")
 #: the file's own pattern for the pieces of a chunk
@@ -84,12 +84,15 @@ class _Tokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.lib = Tokenizer.from_file(path)
-        self.chunk, self.chunk_ids = _Numbered(), _Rows()
-        self.piece, self.piece_ids = _Numbered(), _Rows()
+        self.forget()
         vocab = self.lib.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a piece
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
+    def forget(self) -> None:
+        self.chunk, self.chunk_ids = _Numbered(), _Rows()
+        self.piece, self.piece_ids = _Numbered(), _Rows()
+
     def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As ``_encode``; pieces go a few hundred at a time, with spaces between, and end marks part them again."""
         flat, _ = self._encode([" ".join(pieces[at:at + 400]) for at in range(0, len(pieces), 400)], 64)
@@ -183,6 +186,7 @@ def tokenize_pieces(docs: DataFrame, path: str, end_id: int = 1, window: int = W
                     [b.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
                      pa.array(own, pa.binary()), pa.array(total, pa.int64())],
                     names=["id", "start", "length", "ids", "doc_tokens"])
+        tok.forget()  # a worker may stay idle for long; a task's words are its own
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"id {id_type}, start long, length long, ids binary, doc_tokens long")
