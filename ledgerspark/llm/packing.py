@@ -74,6 +74,16 @@ class _Rows:
         return self.flat[np.arange(int(size.sum())) + np.repeat(first - shift, size)], size
 
 
+def _only(used: np.ndarray, numbered: _Numbered, rows: _Rows) -> tuple[_Numbered, _Rows]:
+    """The entries with the given numbers, numbered anew."""
+    kept = np.unique(used)
+    keys, fewer, left = list(numbered), _Numbered(), _Rows()
+    for k in kept.tolist():
+        fewer[keys[k]]
+    left.add(*rows.take(kept))
+    return fewer, left
+
+
 class _Tokenizer:
     """Ids of whole texts. The pre-tokeniser never joins text across white space, and what it cuts a chunk
     (text between ASCII spaces) into is merged piece by piece; so ids are remembered by chunk and by piece,
@@ -92,6 +102,13 @@ class _Tokenizer:
     def forget(self) -> None:
         self.chunk, self.chunk_ids = _Numbered(), _Rows()
         self.piece, self.piece_ids = _Numbered(), _Rows()
+        self.last_chunks = self.last_pieces = np.empty(0, np.int32)
+
+    def keep_recent(self) -> None:
+        """Forget all but what the last batch used."""
+        self.chunk, self.chunk_ids = _only(self.last_chunks, self.chunk, self.chunk_ids)
+        self.piece, self.piece_ids = _only(self.last_pieces, self.piece, self.piece_ids)
+        self.last_chunks, self.last_pieces = np.arange(len(self.chunk)), np.arange(len(self.piece))
 
     def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """As ``_encode``; pieces go a few hundred at a time, with spaces between, and end marks part them again."""
@@ -113,7 +130,7 @@ class _Tokenizer:
         if len(self.piece) > _CACHE_CHUNKS:
             self.piece, self.piece_ids = _Numbered(), _Rows()
         had = len(self.piece)
-        numbers = self.piece.numbers(pieces)
+        self.last_pieces = numbers = self.piece.numbers(pieces)
         if len(self.piece) > had:
             self.piece_ids.add(*self._encode_pieces(list(islice(self.piece, had, None))))
         flat, size = self.piece_ids.take(numbers)
@@ -141,7 +158,7 @@ class _Tokenizer:
         lists = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
         coded = lists.flatten().dictionary_encode()
         had = len(self.chunk)
-        numbers = self.chunk.numbers([coded.dictionary.to_pylist()])
+        self.last_chunks = numbers = self.chunk.numbers([coded.dictionary.to_pylist()])
         if len(self.chunk) > had:
             self._new_chunks(list(islice(self.chunk, had, None)))
         ids, size = self.chunk_ids.take(numbers[coded.indices.to_numpy()])
@@ -186,7 +203,7 @@ def tokenize_pieces(docs: DataFrame, path: str, end_id: int = 1, window: int = W
                     [b.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
                      pa.array(own, pa.binary()), pa.array(total, pa.int64())],
                     names=["id", "start", "length", "ids", "doc_tokens"])
-        tok.forget()  # a worker may stay idle for long; a task's words are its own
+        tok.keep_recent()  # a worker may stay idle for long: it keeps one batch's words
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"id {id_type}, start long, length long, ids binary, doc_tokens long")
