@@ -12,10 +12,11 @@ A document is kept when neither scorer puts rejection at ``0.5`` or more.
 
 Scale: one pass reads the texts and stores votes and hashed words; the rest works on those.
 Votes are counted by pattern before anything moves (at most 3^labellers rows reach the
-driver). Bounds, all parameters: ``label_rows`` labelled rows are used as votes
-and for the learned words, ``train_docs`` documents (chosen by a hash of the id) train
-the scorers, ``lexicon_words`` words are learned. Everything else covers all rows; no step
-shuffles texts, and a task keeps one Arrow batch.
+driver). The given labels, all of them, are joined by id to the rows that pass made, not
+to the texts. Bounds, all parameters: the learned words come from about ``label_rows``
+labelled rows, ``train_docs`` documents (chosen by a hash of the id, up to half of them
+and more where there is room from the labelled ones) train the scorers, ``lexicon_words``
+words are learned. Everything else covers all rows; a task keeps one Arrow batch.
 
 Cases: a document without words (null, empty, blank) is rejected with scores 1 and 0;
 repeated rows get equal results; without labels the label votes abstain everywhere; an
@@ -66,8 +67,8 @@ def _junk_votes(text: str, words: list[str]) -> list[int]:
 class _Reader:
     """Votes and hashed features of one text; remembers the words it has met (a bounded number)."""
 
-    def __init__(self, learned: frozenset, given: dict):
-        self.learned, self.given = learned, given
+    def __init__(self, learned: frozenset):
+        self.learned = learned
         self.known: dict[str, tuple[int, int]] = {}
 
     def _word(self, w: str) -> tuple[int, int]:
@@ -78,7 +79,8 @@ class _Reader:
         self.known[w] = got
         return got
 
-    def votes(self, key, text: str) -> tuple[tuple[int, ...], list] | None:
+    def votes(self, text: str) -> tuple[tuple[int, ...], list] | None:
+        """The label votes abstain here."""
         words = text.split() if text else []
         if not words:
             return None
@@ -87,10 +89,8 @@ class _Reader:
         hit = 0
         for _, f in pairs:
             hit |= f
-        q, t = self.given.get(key, (None, None))
-        label = (lambda v, bad: ABSTAIN if v is None else REJECT if v == bad else KEEP)
-        v = (*_junk_votes(text, words), label(q, 0), REJECT if hit & 1 else ABSTAIN, REJECT if hit & 2 else ABSTAIN,
-             ABSTAIN if hit else KEEP, label(t, 1))
+        v = (*_junk_votes(text, words), ABSTAIN, REJECT if hit & 1 else ABSTAIN, REJECT if hit & 2 else ABSTAIN,
+             ABSTAIN if hit else KEEP, ABSTAIN)
         return v, pairs
 
 
@@ -99,6 +99,8 @@ def _vote_feature(i: int, vote: int) -> int:
 
 
 _VOTES = sum(map(len, ASPECTS.values()))
+#: places of the given labels' votes
+_QUALITY, _TOXIC = len(ASPECTS["junk"]) - 1, _VOTES - 1
 _VOTE_FEATURES = np.array([[_vote_feature(i, v) for v in range(3)] for i in range(_VOTES)])
 
 
@@ -154,7 +156,8 @@ def _share(n_rows: int, wanted: int) -> int:
 
 
 def _given_labels(labels: DataFrame | None, id_col: str, label_rows: int) -> tuple[dict, int]:
-    """id -> (quality, toxic) of about ``label_rows`` labelled ids, and the hash bound that chose them."""
+    """id -> (quality, toxic) of about ``label_rows`` labelled ids, and the hash bound that chose them: the
+    sample that words are learned from."""
     if labels is None:
         return {}, 0
     cut = _share(labels.count(), label_rows)
@@ -196,6 +199,22 @@ def _learn_words(docs: DataFrame, given: dict, cut: int, lexicon_words: int) ->
     return frozenset(r["word"] for r in top.collect())
 
 
+def _with_labels(seen: DataFrame, labels: DataFrame | None, id_col: str) -> DataFrame:
+    """``seen`` (with the id as ``_id``) and the vote of every given label in ``_votes``."""
+    if labels is None:
+        return seen.drop("_id")
+    own = labels.groupBy(F.col(id_col).alias("_given")).agg(F.min("quality").alias("_q"), F.max("toxic").alias("_t"))
+
+    def vote(value, bad: int):
+        return F.when(F.col(value).isNull(), ABSTAIN).when(F.col(value) == bad, REJECT).otherwise(KEEP)
+
+    at = F.col("_votes")
+    cast = F.concat(F.slice(at, 1, _QUALITY), F.array(vote("_q", 0)),
+                    F.slice(at, _QUALITY + 2, _TOXIC - _QUALITY - 1), F.array(vote("_t", 1)))
+    return seen.join(own, F.col("_id") == F.col("_given"), "left").withColumn(
+        "_votes", F.when(at.isNotNull(), cast)).drop("_id", "_given", "_q", "_t")
+
+
 def evidence(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
              carry: tuple[str, ...] = ("doc_id",), label_rows: int = 20_000, lexicon_words: int = 200) -> DataFrame:
     """``carry`` columns of every document with its ``_votes`` and hashed ``_words`` (null without words),
@@ -205,27 +224,40 @@ def evidence(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
     learned = _learn_words(d, given, cut, lexicon_words)
 
     @F.pandas_udf("struct<votes:array<int>,words:binary>")
-    def look(ids: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        reader, votes, words = _Reader(learned, given), [], []
-        for key, text in zip(ids, texts):
-            got = reader.votes(key, text)
+    def look(texts: pd.Series) -> pd.DataFrame:
+        reader, votes, words = _Reader(learned), [], []
+        for text in texts:
+            got = reader.votes(text)
             votes.append(list(got[0]) if got else None)
             words.append(np.unique(np.fromiter((i for i, _ in got[1]), np.int32, len(got[1]))).tobytes() if got else None)
         return pd.DataFrame({"votes": pd.Series(votes, dtype=object), "words": pd.Series(words, dtype=object)})
 
-    return stored(docs.withColumn("_e", look(F.col(id_col), F.col(text_col))).select(
-        *carry, F.col("_e.votes").alias("_votes"), F.col("_e.words").alias("_words")))
+    seen = docs.withColumn("_e", look(F.col(text_col))).select(
+        *carry, F.col(id_col).alias("_id"), F.col("_e.votes").alias("_votes"), F.col("_e.words").alias("_words"))
+    return stored(_with_labels(seen, labels, id_col))
+
+
+def _training_rows(voted: DataFrame, n_labelled: int, n_other: int, id_col: str, train_docs: int) -> DataFrame:
+    """About ``train_docs`` rows: labelled ones fill half, or what the others leave. The labelled ones are
+    chosen by the hash that chooses the rows words are learned from."""
+    own = min(n_labelled, max(train_docs // 2, train_docs - n_other))
+    labelled = (F.col("_votes")[_QUALITY] != ABSTAIN) | (F.col("_votes")[_TOXIC] != ABSTAIN)
+
+    def drawn(salt: str, n_rows: int, wanted: int):
+        return F.pmod(F.xxhash64(F.lit(salt), F.col(id_col)), F.lit(1 << 30)) < (_share(n_rows, wanted) if n_rows else 0)
+
+    return voted.where(F.when(labelled, drawn("labels", n_labelled, own)).otherwise(drawn("train", n_other, train_docs - own)))
 
 
 def fit(seen: DataFrame, id_col: str = "doc_id", train_docs: int = 20_000) -> dict[str, np.ndarray]:
     """Weights per aspect. All documents' votes go into the labellers' accuracies; about ``train_docs``
-    documents train the scorers."""
+    documents train the scorers (see ``_training_rows``)."""
     voted = seen.where(F.col("_votes").isNotNull())
     counted = voted.groupBy("_votes").agg(F.count(F.lit(1)).alias("n")).collect()  # <= 3^labellers rows
     pattern = np.array([r["_votes"] for r in counted], int).reshape(-1, _VOTES)
     n = np.array([r["n"] for r in counted], float)
-    cut = _share(int(n.sum()), train_docs)
-    sample = voted.where(F.pmod(F.xxhash64(F.lit("train"), F.col(id_col)), F.lit(1 << 30)) < cut).select("_votes", "_words").collect()
+    n_labelled = int(n[(pattern[:, _QUALITY] != ABSTAIN) | (pattern[:, _TOXIC] != ABSTAIN)].sum())
+    sample = _training_rows(voted, n_labelled, int(n.sum()) - n_labelled, id_col, train_docs).select("_votes", "_words").collect()
     votes = np.array([r["_votes"] for r in sample], int).reshape(-1, _VOTES)
     words = [np.frombuffer(r["_words"], np.int32) for r in sample]
     del sample

@@ -1,6 +1,7 @@
 """Quality classifier (held-out accuracy) and the pipeline's stages."""
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from ledgerspark.llm import quality
@@ -36,6 +37,36 @@ def test_quality_without_labels_and_on_hostile_rows(spark):
     assert quality.score(none, quality.fit(none)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_every_label_votes_beyond_the_bound(spark, broadcast):
+    docs = spark.createDataFrame([(i, f"word{i} and some more plain words") for i in range(3000)] + [(None, "no id"), (7, None)],
+                                 "doc_id long, text string")
+    given = [(i, i % 2, int(i % 3 == 0)) for i in range(0, 600, 2)] + [(1, 1, None), (3, None, 0), (10, 1, 1), (None, 0, 1)]
+    labels = spark.createDataFrame(given, "doc_id long, quality int, toxic int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        seen = quality.evidence(docs, labels, label_rows=20)
+        got = {r.doc_id: r for r in seen.where("_votes is not null").collect()}
+        want = {}
+        for i, q, t in given[:-1]:
+            a, b = want.get(i, (None, None))
+            want[i] = (q if a is None else a if q is None else min(a, q), t if b is None else b if t is None else max(b, t))
+
+        def vote(v, bad):
+            return quality.ABSTAIN if v is None else quality.REJECT if v == bad else quality.KEEP
+
+        assert seen.count() == 3002 and len(got) == 3001
+        for i, r in got.items():
+            q, t = want.get(i, (None, None))
+            assert (r._votes[5], r._votes[9]) == (vote(q, 0), vote(t, 1)) and len(r._votes) == 10
+        drawn = [r.doc_id in want for r in quality._training_rows(
+            seen.where("_votes is not null"), len(want), 3001 - len(want), "doc_id", 1000).collect()]
+        assert sum(drawn) == len(want) and 600 < len(drawn) - sum(drawn) < 800
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_accuracies_follow_agreement():
     rng = np.random.default_rng(1)
     truth = rng.random(4000) < 0.4
