@@ -21,7 +21,10 @@ repeated window meets its copy at a sampled position. The *context* of a sampled
 3. Ranges are gathered per document and cut out.
 
 Scale: a task first settles what its own batch repeats and sends one context once, so a
-string that a third of all documents hold sends a row per batch, not per document. Every
+passage that a third of all documents hold sends a row per batch, not per document. Strings
+of 16 bytes with very many different contexts are found beforehand (``hot_strings``) and
+never meet as one group: step 1 deals their rows by context, step 2 deals each of their
+windows by its own hash, again after a task has settled what its batch repeats. Every
 step is cut off by a checkpoint, after which the shuffle files of the step are removed.
 Hashes have 64 bits.
 
@@ -131,7 +134,14 @@ def _first_of_groups(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.n
     return first, order
 
 
-def _sampled_rows(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def _sampled_rows(batches: Iterator[pd.DataFrame], length: int, hot: np.ndarray) -> Iterator[pd.DataFrame]:
+    """The ``seed`` of a hot string's row is its context: what it is dealt by."""
     for pdf in batches:
         parts, sizes = [], []
         for text in pdf["text"]:
@@ -142,6 +152,7 @@ def _sampled_rows(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.D
         pos, seed, context = (np.concatenate([p[i] for p in parts if len(p[0])]) for i in range(3))
         doc, rid = np.repeat(pdf["doc"].to_numpy(), sizes), np.repeat(pdf["rid"].to_numpy(), sizes)
         first, _ = _first_of_groups(context, doc)
+        seed = np.where(_among(seed.astype(np.int64), hot), context, seed)
         yield pd.DataFrame({"seed": seed.astype(np.int64), "context": context.astype(np.int64), "doc": doc, "rid": rid,
                             "pos": pos.astype(np.int32), "settled": doc > first})
 
@@ -166,7 +177,7 @@ def _runs(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Step 1: settled positions, and open ones of runs with several contexts and documents."""
+    """Step 1: settled positions, and open ones of hot strings or of runs with several contexts and documents."""
     for x in _runs(batches, 100_000):
         seed, context, doc = (x[c].to_numpy() for c in ("seed", "context", "doc"))
         here = x["settled"].to_numpy()
@@ -178,7 +189,7 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = np.flatnonzero(new)
         many = (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)) & (
             np.minimum.reduceat(context, at) != np.maximum.reduceat(context, at))
-        open_ = ~settled & many[run]
+        open_ = ~settled & (many[run] | (seed == context))
         keep = settled | open_
         if keep.any():
             y = x.loc[keep, ["doc", "rid", "pos"]].reset_index(drop=True)
@@ -186,14 +197,58 @@ def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield y
 
 
-def _contexts(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """Step 2: the context bytes of each open position, zero-padded, with the bytes there are on each side."""
+#: ``left`` of rows from ``pos`` to ``right``: one window still to be compared, or bytes known to be repeated
+_WINDOW, _KNOWN = -1, -2
+
+
+def _window_rows(x: pd.DataFrame, m: np.ndarray, length: int) -> pd.DataFrame:
+    """The windows around hot strings, each as a row dealt by its hash. What a window of the same frame
+    repeats is known already and dealt by its place; so an equal window is sent once a frame."""
+    before = length - SEED
+    doc, rid, pos, left, right = (x[c].to_numpy() for c in ("doc", "rid", "pos", "left", "right"))
+    with np.errstate(over="ignore"):
+        run = np.zeros((len(x), m.shape[1] + 1), np.uint64)
+        np.cumsum(_BYTE[m] * _UP[:m.shape[1]], axis=1, out=run[:, 1:])
+    parts = []
+    for o in range(before, -1, -1):  # windows that begin o bytes before the position
+        fit = np.flatnonzero((left >= o) & (right >= length - o))
+        a = before - o
+        with np.errstate(over="ignore"):
+            key = _mix((run[fit, a + length] - run[fit, a]) * _DOWN[a]).astype(np.int64)
+        parts.append((key, doc[fit], rid[fit], pos[fit].astype(np.int64) - o))
+    key, doc, rid, start = (np.concatenate(c) for c in zip(*parts))
+    first, _ = _first_of_groups(key, doc)
+    known = doc > first
+    out = pd.DataFrame({"seed": key, "doc": doc, "rid": rid, "pos": start, "left": _WINDOW, "right": start + length})[~known]
+    out = out.drop_duplicates()  # neighbouring positions share windows
+    doc, rid, start = doc[known], rid[known], start[known]
+    if len(doc):  # overlapping known windows are one range
+        order = np.lexsort((start, rid, doc))
+        doc, rid, start = doc[order], rid[order], start[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (rid[1:] != rid[:-1]) | (start[1:] > start[:-1] + length)
+        at = np.flatnonzero(new)
+        end = start[np.append(at[1:], len(doc)) - 1] + length
+        with np.errstate(over="ignore"):
+            place = _mix(doc[at].astype(np.uint64) * np.uint64(_R) + start[at].astype(np.uint64)).astype(np.int64)
+        out = pd.concat([out, pd.DataFrame({"seed": place, "doc": doc[at], "rid": rid[at], "pos": start[at], "left": _KNOWN,
+                                            "right": end})], ignore_index=True)
+    out["bytes"] = None
+    return out.astype({"pos": np.int32, "left": np.int32, "right": np.int32})
+
+
+def _contexts(batches: Iterator[pd.DataFrame], length: int, hot: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Step 2: the context bytes of each open position, zero-padded, with the bytes there are on each side;
+    in place of a hot string's context, its windows."""
     before = length - SEED
 
     def frame(out: list) -> pd.DataFrame:
         x = pd.DataFrame(out, columns=["doc", "rid", "pos", "left", "right", "bytes"])
         m = np.frombuffer(b"".join(x["bytes"]), np.uint8).reshape(len(x), -1)
-        x.insert(0, "seed", _row_hash(m[:, before:before + SEED]).astype(np.int64))
+        x.insert(0, "seed", _string_hash(m[:, before:before + SEED]).astype(np.int64))
+        own = _among(x["seed"].to_numpy(), hot)
+        if own.any():
+            x = pd.concat([x[~own], _window_rows(x[own], m[own], length)], ignore_index=True)
         return x
 
     for pdf in batches:
@@ -210,15 +265,26 @@ def _contexts(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataF
             yield frame(out)
 
 
-def _row_hash(m: np.ndarray) -> np.ndarray:
+def _string_hash(m: np.ndarray) -> np.ndarray:
+    """The hash of 16 bytes that ``sample`` gives."""
     with np.errstate(over="ignore"):
-        return _mix((_BYTE[m] * _UP[:m.shape[1]]).sum(1, dtype=np.uint64))
+        return _mix((_BYTE[m] * _UP[:m.shape[1]][::-1]).sum(1, dtype=np.uint64))
 
 
 def _match(batches: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """Step 2: the byte range that equal windows of earlier documents cover around each open position."""
+    """Step 2: the byte range that equal windows of earlier documents cover around each open position, or
+    the windows themselves."""
     before = length - SEED
     for x in _runs(batches, 20_000):
+        single = x["left"].to_numpy() < 0
+        if single.any():
+            w, x = x[single], x[~single]
+            first, _ = _first_of_groups(w["seed"].to_numpy(), w["doc"].to_numpy())
+            w = w[(w["left"].to_numpy() == _KNOWN) | (w["doc"].to_numpy() > first)]
+            if len(w):
+                yield w[["doc", "rid", "pos", "right"]].set_axis(["doc", "rid", "start", "end"], axis=1)
+            if not len(x):
+                continue
         doc, pos = x["doc"].to_numpy(), x["pos"].to_numpy().astype(np.int64)
         left, right = x["left"].to_numpy(), x["right"].to_numpy()
         m = np.frombuffer(b"".join(x["bytes"]), np.uint8).reshape(len(x), -1)
@@ -255,32 +321,52 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(s[at].tolist(), np.maximum.reduceat(e, at).tolist()))
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def hot_strings(d: DataFrame, length: int = 50, hot_rows: int = 20_000, share: int = 16) -> np.ndarray:
+    """Hashes (sorted) of the sampled strings that would bring about ``hot_rows`` rows or more together, counted
+    on one in ``share`` documents. Only how rows are dealt depends on it, no result. At most the sampled
+    positions / ``hot_rows`` of them."""
+    none = np.empty(0, np.int64)
+    part = d.where(F.pmod(F.xxhash64(F.lit("hot"), "doc", "text"), F.lit(share)) == 0)
+    rows = part.mapInPandas(lambda b: _sampled_rows(b, length, none), _SAMPLED).where("NOT settled")
+    many = rows.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * share >= hot_rows)
+    return np.array(sorted(r["seed"] for r in many.select("seed").collect()), np.int64)
+
+
+def _open_contexts(d: DataFrame, marks: DataFrame, length: int, hot) -> DataFrame:
+    """What step 2 compares, before it is dealt by ``seed``; ``hot`` is the broadcast list of hot strings."""
+    texts = d.join(marks.where(F.size("pos") > 0).select("doc", "rid", "pos"), ["doc", "rid"])
+    return texts.select("doc", "rid", "text", "pos").mapInPandas(
+        lambda b: _contexts(b, length, hot.value), "seed long, doc long, rid long, pos int, left int, right int, bytes binary")
+
+
+def _marks(d: DataFrame, length: int, hot) -> DataFrame:
+    """Step 1: ``settled`` and open (``pos``) positions per document."""
+    n = shuffle_partitions(d.sparkSession)
+    rows = d.mapInPandas(lambda b: _sampled_rows(b, length, hot.value), _SAMPLED)
+    # what a task has settled itself needs no meeting: dealt by document
+    to = F.when(F.col("settled"), F.xxhash64("doc", "pos")).otherwise(F.col("seed"))
+    dealt = rows.withColumn("seed", to).repartition(n, "seed").sortWithinPartitions("seed")
+    marks = dealt.mapInPandas(_judge, "doc long, rid long, pos int, open boolean")
+    return cut_lineage(marks.groupBy("doc", "rid").agg(
+        F.collect_list(F.when(~F.col("open"), F.col("pos"))).alias("settled"),
+        F.collect_list(F.when(F.col("open"), F.col("pos"))).alias("pos")))
+
+
+def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text",
+                   hot_rows: int = 20_000, hot_share: int = 16) -> DataFrame:
     """``doc, rid, starts, ends``: byte ranges (they may overlap) of documents that have any; ``rid`` tells
     apart rows with the same id (0 where ids are unique)."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     d = keyed(docs, id_col, text_col)
-
-    def sampled():
-        rows = d.mapInPandas(lambda b: _sampled_rows(b, length), _SAMPLED)
-        # what a task has settled itself needs no meeting: dealt by document
-        to = F.when(F.col("settled"), F.xxhash64("doc", "pos")).otherwise(F.col("seed"))
-        dealt = rows.withColumn("seed", to).repartition(n, "seed").sortWithinPartitions("seed")
-        marks = dealt.mapInPandas(_judge, "doc long, rid long, pos int, open boolean")
-        return cut_lineage(marks.groupBy("doc", "rid").agg(
-            F.collect_list(F.when(~F.col("open"), F.col("pos"))).alias("settled"),
-            F.collect_list(F.when(F.col("open"), F.col("pos"))).alias("pos")))
+    hot = spark.sparkContext.broadcast(hot_strings(d, length, hot_rows, hot_share))
 
     def opened(marks: DataFrame):
-        texts = d.join(marks.where(F.size("pos") > 0).select("doc", "rid", "pos"), ["doc", "rid"])
-        ctx = texts.select("doc", "rid", "text", "pos").mapInPandas(
-            lambda b: _contexts(b, length), "seed long, doc long, rid long, pos int, left int, right int, bytes binary")
-        dealt = ctx.repartition(n, "seed").sortWithinPartitions("seed")
+        dealt = _open_contexts(d, marks, length, hot).repartition(n, "seed").sortWithinPartitions("seed")
         return cut_lineage(dealt.mapInPandas(lambda b: _match(b, length), "doc long, rid long, start int, end int")
                            .groupBy("doc", "rid").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends")))
 
-    marks = sampled()
+    marks = _marks(d, length, hot)
     spans = opened(marks)
     before = length - SEED
     settled = marks.where(F.size("settled") > 0).select(

@@ -213,3 +213,39 @@ def test_components_and_pairs(spark):
     for most in (1, 3, 100):
         found = [(a, b) for i, j in pairs.run_pairs(run, most) for a, b in zip(i.tolist(), j.tolist())]
         assert sorted(found) == [(a, b) for a in range(10) for b in range(a + 1, 10) if run[a] == run[b]]
+
+
+def test_hot_strings_are_dealt_by_window(spark):
+    rng, phrase = random.Random(11), "this work is licensed under the usual terms, see the notice"
+    prose = lambda: "".join(rng.choice("abcdefghijklmnop qrstuvwxyz") for _ in range(70))
+    shared = [prose() for _ in range(3)]
+    rows = [(i, (rng.choice(shared) if i % 5 == 0 else prose()) + phrase + prose()) for i in range(400)]
+    rows += [(400 + i, prose() + phrase[:30] + prose()) for i in range(100)] + [(3, prose() + phrase), (None, phrase + prose())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    d = suffix_dedup.keyed(df, "doc_id", "text")
+    hot = spark.sparkContext.broadcast(suffix_dedup.hot_strings(d, 50, 60, 1))
+    assert len(hot.value)
+    marks = suffix_dedup._marks(d, 50, hot)
+    groups = suffix_dedup._open_contexts(d, marks, 50, hot).groupBy("seed").count()
+    assert groups.agg({"count": "max"}).first()[0] < 60
+    first = {}
+    for i, text in rows:
+        for p in range(len(text) - 49):
+            w = text[p:p + 50]
+            first[w] = min(first.get(w, 1 << 60), -1 if i is None else i)
+    want = {}
+    for i, text in rows:
+        gone = set()
+        for p in range(len(text) - 49):
+            if first[text[p:p + 50]] < (-1 if i is None else i):
+                gone.update(range(p, p + 50))
+        want[(i, text)] = gone
+    for hot_rows in (60, 1):
+        got = suffix_dedup.repeated_spans(df, hot_rows=hot_rows, hot_share=1).collect()
+        cut = {}
+        for r in got:
+            cut.setdefault((None if r.doc == -(1 << 63) else r.doc, r.rid), set()).update(
+                b for s, e in zip(r.starts, r.ends) for b in range(s, min(e, 1 << 20)))
+        keys = {(r.doc_id, r.rid): r.text for r in d.selectExpr("if(doc = -9223372036854775808, null, doc) doc_id", "rid", "text").collect()}
+        assert {k: {b for b in v if b < len(keys[k])} for k, v in cut.items()} == {
+            k: want[(k[0], t)] for k, t in keys.items() if want[(k[0], t)]}
