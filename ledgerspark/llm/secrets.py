@@ -5,8 +5,7 @@ Two first-order character models are trained on labelled samples of the corpus i
 text outside those matches and outside the tokens still to be judged. A token is one run of key characters; it is flagged when its
 log-likelihood ratio (random against ordinary) per character reaches ``threshold``.
 
-Training reads a hash-chosen sample of about ``train_docs`` documents (a documented
-bound; 20,000 by default): each task counts character pairs, the counts are summed in
+Training reads all documents: each task counts character pairs, the counts are summed in
 Spark, and only the two 67 x 67 tables reach the driver. The scan is one map over all
 rows without a shuffle.
 
@@ -83,12 +82,8 @@ def _mixed(token: str) -> bool:
     return any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = 20_000,
-          threshold: float = 2.2) -> MarkovModel:
-    n = docs.count()
-    cut = int(min(1.0, train_docs / max(n, 1)) * (1 << 30)) + 1
-    sample = docs.where(F.pmod(F.xxhash64(F.lit("markov"), F.col(id_col)), F.lit(1 << 30)) < cut).select(
-        F.col(text_col).alias("text"))
+def train(docs: DataFrame, text_col: str = "text", threshold: float = 2.2) -> MarkovModel:
+    texts = docs.select(F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((2, _K * _K), np.int64)
@@ -108,7 +103,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         which, cell = np.nonzero(total)
         yield pd.DataFrame({"which": which.astype("int32"), "cell": cell.astype("int32"), "n": total[which, cell]})
 
-    rows = sample.mapInPandas(count, "which int, cell int, n long").groupBy("which", "cell").agg(F.sum("n").alias("n"))
+    rows = texts.mapInPandas(count, "which int, cell int, n long").groupBy("which", "cell").agg(F.sum("n").alias("n"))
     table_ = np.zeros((2, _K * _K))
     for r in rows.collect():  # at most 2 x 67 x 67 sums
         table_[r.which, r.cell] = r.n

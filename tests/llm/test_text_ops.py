@@ -102,3 +102,13 @@ def test_fingerprint_does_not_depend_on_blocks(monkeypatch):
     monkeypatch.setattr(fingerprint, "_BLOCK", 1000)
     assert fingerprint.fingerprint(text) == whole
     assert hashlib.md5(whole.encode()).hexdigest()
+
+
+def test_markov_models_count_every_document(spark):
+    rng = random.Random(3)
+    words = "plain ordinary identifier_name some-path/of/it value Wörter ключ x1 y22".split()
+    texts = ["\n" + " ".join(rng.choices(words, k=4)) + (f" token={rng.getrandbits(64):x}zQ" if i % 50 == 0 else "") + "\n"
+             for i in range(30_000)]
+    apart = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    joined = spark.createDataFrame([(i, "".join(texts[i * 100:(i + 1) * 100])) for i in range(300)], "doc_id long, text string")
+    assert (secrets.train(apart).ratio == secrets.train(joined).ratio).all()
