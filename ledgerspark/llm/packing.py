@@ -20,148 +20,142 @@ are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from collections import defaultdict
+import unicodedata
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.llm.common import cut_lineage, table
+from ledgerspark.llm.id_cache import IdCache, byte_symbols
 
 WINDOW, UNIT, DEPTH = 2048, 8, 3
 _RANK_ROWS = 50_000       # pieces that one task numbers at a time
-_CACHE_CHUNKS = 600_000   # chunks of text, and pieces of chunks, whose ids a task remembers
+_CACHE_CHUNKS = 250_000   # chunks of text, and pieces of chunks, whose ids a worker remembers
 _BATCH_BYTES = 4 << 20
 _WHOLE = re.compile("[^\x00-\u024f]|<\\||[\x1c-\x1f\x85]")
-#: the file's own pattern for the pieces of a chunk
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+_MARK, _END = "\x1f", "</w>"  # a word's end: in pieces, in the file
+#: the kind of file that chunks are tokenised for: its pattern for the pieces of a chunk, and the settings around it
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 
 
-class _Numbered(defaultdict):
-    """Numbers its keys in the order they are first asked for."""
+def _latin(kind: str) -> str:
+    return "".join(re.escape(c) for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == kind)
 
-    def __init__(self):
-        super().__init__()
-        self.default_factory = self.__len__
 
-    def numbers(self, lists: list[list[str]]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), np.int32, sum(map(len, lists)))
-
-
-class _Rows:
-    """Growing sequence of int arrays, kept end to end."""
-
-    def __init__(self):
-        self.flat, self.start = np.empty(0, np.int32), np.zeros(1, np.int64)
-
-    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
-        self.flat = np.concatenate([self.flat, flat.astype(np.int32)])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
-
-    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The wanted rows end to end, and their sizes."""
-        first = self.start[rows]
-        size = self.start[rows + 1] - first
-        shift = np.cumsum(size) - size
-        return self.flat[np.arange(int(size.sum())) + np.repeat(first - shift, size)], size
-
-
-def _only(used: np.ndarray, numbered: _Numbered, rows: _Rows) -> tuple[_Numbered, _Rows]:
-    """The entries with the given numbers, numbered anew."""
-    kept = np.unique(used)
-    keys, fewer, left = list(numbered), _Numbered(), _Rows()
-    for k in kept.tolist():
-        fewer[keys[k]]
-    left.add(*rows.take(kept))
-    return fewer, left
+#: the same for lower-cased Latin chunks, one to a line
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_latin('L')}]+|[{_latin('N')}]|\n|[^\\s{_latin('L')}{_latin('N')}]+").findall
 
 
 class _Tokenizer:
     """Ids of whole texts. The pre-tokeniser never joins text across white space, and what it cuts a chunk
     (text between ASCII spaces) into is merged piece by piece; so ids are remembered by chunk and by piece,
-    and only new pieces reach the tokenizer. Chunks with other than Latin letters, unusual control
-    characters or what could be a special token go to it whole."""
+    a bounded number of each, and new pieces are merged by a fast library from the file's own vocabulary.
+    Chunks with other than Latin letters, unusual control characters or what could be a special token go to
+    the file's own tokenizer whole; so does all text where the file is not of the kind this is written for."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.lib = Tokenizer.from_file(path)
-        self.forget()
-        vocab = self.lib.get_vocab()
-        self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a piece
-        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-
-    def forget(self) -> None:
-        self.chunk, self.chunk_ids = _Numbered(), _Rows()
-        self.piece, self.piece_ids = _Numbered(), _Rows()
-        self.last_chunks = self.last_pieces = np.empty(0, np.int32)
-
-    def keep_recent(self) -> None:
-        """Forget all but what the last batch used."""
-        self.chunk, self.chunk_ids = _only(self.last_chunks, self.chunk, self.chunk_ids)
-        self.piece, self.piece_ids = _only(self.last_pieces, self.piece, self.piece_ids)
-        self.last_chunks, self.last_pieces = np.arange(len(self.chunk)), np.arange(len(self.piece))
-
-    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """As ``_encode``; pieces go a few hundred at a time, with spaces between, and end marks part them again."""
-        flat, _ = self._encode([" ".join(pieces[at:at + 400]) for at in range(0, len(pieces), 400)], 64)
-        end = np.flatnonzero(self.last[flat]) + 1
-        if len(end) != len(pieces):
-            return self._encode(pieces)
-        return flat, np.diff(end, prepend=0)
-
-    def _encode(self, strings: list[str], at_once: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for at in range(0, len(strings), at_once)
-               for e in self.lib.encode_batch_fast(strings[at:at + at_once], add_special_tokens=False)]
+        with open(path, encoding="utf-8") as f:
+            self.known = self._merges(json.load(f))
+        self.chunks = IdCache(self._new_chunks, _CACHE_CHUNKS)
+        self.pieces = IdCache(self._new_pieces, _CACHE_CHUNKS)
+        self.pieces.hold("\n")  # parts the chunks
+
+    def _merges(self, spec: dict) -> bool:
+        """The file's merges in the fast library, a word's end being a byte of its own that joins the letter before it
+        ahead of all merges; False where the file is of another kind."""
+        model = spec["model"]
+        if not (model["type"] == "BPE" and model.get("end_of_word_suffix") == _END and spec["normalizer"] == _NORMALIZER
+                and spec["pre_tokenizer"] == _PRE_TOKENIZER and not any(model.get(k) for k in (
+                    "dropout", "continuing_subword_prefix", "ignore_merges", "unk_token"))
+                and all("<|" in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec["added_tokens"])):
+            return False
+        import tiktoken
+        symbols, vocab = byte_symbols(), model["vocab"]
+
+        def raw(token: str) -> bytes:
+            return bytes(symbols[c] for c in token.removesuffix(_END)) + _MARK.encode() * token.endswith(_END)
+
+        merged = ["".join(m) if not isinstance(m, str) else m.replace(" ", "", 1) for m in model["merges"]]
+        letters = [t for t in vocab if len(t.removesuffix(_END)) == 1]
+        order = [t for t in letters if t.endswith(_END)] + merged + [t for t in letters if not t.endswith(_END)]
+        ranks = {raw(t): i for i, t in enumerate(order)}
+        if len(ranks) != len(order):
+            return False
+        self.own_id = np.array([vocab[t] for t in order], np.int32)
+        self.ends = np.array([t.endswith(_END) for t in order], bool)
+        ranks[_MARK.encode()] = len(order)  # never left alone
+        self.fast = tiktoken.Encoding("own", pat_str=f"[^{_MARK}]*{_MARK}", mergeable_ranks=ranks, special_tokens={})
+        return True
+
+    def _new_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, size = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for at in range(0, len(pieces), 4000):
+            got = np.array(self.fast.encode_ordinary(_MARK.join(pieces[at:at + 4000]) + _MARK), np.int64)
+            flat.append(self.own_id[got])
+            size.append(np.diff(np.flatnonzero(self.ends[got]) + 1, prepend=0))
+        return np.concatenate(flat), np.concatenate(size)
+
+    def _whole(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for at in range(0, len(strings), 10_000)
+               for e in self.lib.encode_batch_fast(strings[at:at + 10_000], add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         return np.fromiter(chain.from_iterable(got), np.int32, int(sizes.sum())), sizes
 
-    def _new_chunks(self, new: list[str]) -> None:
-        whole = np.fromiter(map(bool, map(_WHOLE.search, new)), bool, len(new))
-        pieces = [[] if w else _PIECES(c.lower()) for c, w in zip(new, whole.tolist())]
-        if len(self.piece) > _CACHE_CHUNKS:
-            self.piece, self.piece_ids = _Numbered(), _Rows()
-        had = len(self.piece)
-        self.last_pieces = numbers = self.piece.numbers(pieces)
-        if len(self.piece) > had:
-            self.piece_ids.add(*self._encode_pieces(list(islice(self.piece, had, None))))
-        flat, size = self.piece_ids.take(numbers)
-        per_chunk = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        upto = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(per_chunk)])]
-        if not whole.any():
-            self.chunk_ids.add(flat, np.diff(upto))
-            return
-        own, own_sizes = self._encode([c for c, w in zip(new, whole.tolist()) if w])
-        own_end = np.cumsum(own_sizes)
-        parts, sizes, k = [], np.diff(upto), 0
-        for i, w in enumerate(whole.tolist()):
-            if w:
-                parts.append(own[own_end[k] - own_sizes[k]:own_end[k]])
-                sizes[i] = own_sizes[k]
-                k += 1
-            else:
-                parts.append(flat[upto[i]:upto[i + 1]])
-        self.chunk_ids.add(np.concatenate(parts), sizes)
+    def _new_chunks(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        text = "\n".join(new)  # no chunk holds one
+        alone = [i for i, c in enumerate(new) if _WHOLE.search(c)] if _WHOLE.search(text) else []
+        if alone:
+            rest = list(new)
+            for i in alone:
+                rest[i] = ""
+            text = "\n".join(rest)
+        numbers = self.pieces.numbers(_PIECES(text.lower()))
+        flat, size = self.pieces.take(numbers)
+        upto = np.cumsum(size)
+        sizes = np.diff(np.append(upto[numbers == self.pieces.number["\n"]], len(flat)), prepend=0)
+        if not alone:
+            return flat, sizes
+        own, own_sizes = self._whole([new[i] for i in alone])
+        sizes[alone] = own_sizes
+        begin = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), np.int32)
+        inside = np.ones(len(out), bool)
+        for i, part in zip(alone, np.split(own, np.cumsum(own_sizes)[:-1])):
+            out[begin[i]:begin[i] + len(part)] = part
+            inside[begin[i]:begin[i] + len(part)] = False
+        out[inside] = flat
+        return out, sizes
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each starts (with the end appended)."""
-        if len(self.chunk) > _CACHE_CHUNKS:
-            self.chunk, self.chunk_ids = _Numbered(), _Rows()
-        lists = pc.ascii_split_whitespace(texts.fill_null("").cast(pa.large_string()))
+        texts = texts.fill_null("").cast(pa.large_string())
+        if not self.known:
+            ids, size = self._whole(texts.to_pylist())
+            return ids, np.concatenate([[0], np.cumsum(size)])
+        self.chunks.trim()
+        self.pieces.trim()
+        lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        had = len(self.chunk)
-        self.last_chunks = numbers = self.chunk.numbers([coded.dictionary.to_pylist()])
-        if len(self.chunk) > had:
-            self._new_chunks(list(islice(self.chunk, had, None)))
-        ids, size = self.chunk_ids.take(numbers[coded.indices.to_numpy()])
+        index = coded.indices.to_numpy()
+        numbers = self.chunks.numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.bincount(index, minlength=len(coded.dictionary)))
+        ids, size = self.chunks.take(numbers[index])
         offsets = lists.offsets.to_numpy()
         return ids, np.concatenate([[0], np.cumsum(size)])[offsets - offsets[0]]
 
@@ -203,7 +197,6 @@ def tokenize_pieces(docs: DataFrame, path: str, end_id: int = 1, window: int = W
                     [b.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
                      pa.array(own, pa.binary()), pa.array(total, pa.int64())],
                     names=["id", "start", "length", "ids", "doc_tokens"])
-        tok.keep_recent()  # a worker may stay idle for long: it keeps one batch's words
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"id {id_type}, start long, length long, ids binary, doc_tokens long")
@@ -317,9 +310,17 @@ def pack(pieces: DataFrame, length_col: str = "length", key_cols: tuple[str, ...
     histogram = np.zeros(units + 1, np.int64)
     for r in counts:
         histogram[r["_k"]] = r["count"]
-    places = _places(plan(histogram, depth), units)
+    return place(pieces, plan(histogram, depth), F.ceil(F.col(length_col) / unit).cast("int"), units, int(histogram.max()),
+                 length_col, key_cols)
+
 
-    buckets = max(1, int(histogram.max()) // _RANK_ROWS)
+def place(pieces: DataFrame, layout: list[tuple[tuple[int, ...], int]], size, units: int, most: int, length_col: str = "length",
+          key_cols: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
+    """``pieces`` with the ``sequence_id`` and ``offset`` that ``layout`` has for the column ``size`` (1 .. ``units``);
+    ``most`` pieces have the same size at most."""
+    places = _places(layout, units)
+    p = pieces.withColumn("_k", size)
+    buckets = max(1, most // _RANK_ROWS)
     p = p.withColumn("_h", F.xxhash64(*key_cols)).withColumn("_b", F.pmod("_h", F.lit(buckets)))
     before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     first = p.groupBy("_k", "_b").agg(F.count(F.lit(1)).alias("_n")).select(
@@ -328,7 +329,7 @@ def pack(pieces: DataFrame, length_col: str = "length", key_cols: tuple[str, ...
     p = p.withColumn("_i", F.row_number().over(inside) - 1).join(first, ["_k", "_b"]).withColumn("_r", F.col("_from") + F.col("_i"))
 
     @F.pandas_udf("struct<sequence_id:long,slot:long>")
-    def place(k: pd.Series, r: pd.Series) -> pd.DataFrame:
+    def at(k: pd.Series, r: pd.Series) -> pd.DataFrame:
         k, r = k.to_numpy(), r.to_numpy()
         sequence, slot = np.zeros(len(k), np.int64), np.zeros(len(k), np.int64)
         for size in np.unique(k).tolist():
@@ -339,7 +340,7 @@ def pack(pieces: DataFrame, length_col: str = "length", key_cols: tuple[str, ...
             sequence[own], slot[own] = base[use] + q // times[use], where[use] + q % times[use]
         return pd.DataFrame({"sequence_id": sequence, "slot": slot})
 
-    p = p.withColumn("_p", place("_k", "_r"))
+    p = p.withColumn("_p", at("_k", "_r"))
     w = Window.partitionBy("sequence_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     return p.select(*pieces.columns, F.col("_p.sequence_id").alias("sequence_id"), F.col("_p.slot").alias("_slot")).withColumn(
         "offset", F.coalesce(F.sum(length_col).over(w), F.lit(0)).cast("long")).drop("_slot")

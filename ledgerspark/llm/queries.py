@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerspark.llm import (bpe, chat, embed_dedup, fingerprint, ngram_join, packing, quality, secrets, suffix_dedup,
-                             url_filter)
+from ledgerspark.llm import (best_fit, bpe, chat, embed_dedup, fingerprint, ngram_join, packing, quality, resample, search,
+                             secrets, suffix_dedup, url_filter)
 
 from ledgerspark.llm.common import ship_package
 
@@ -32,6 +32,9 @@ _OWN = {
     "op8_chat_format": (chat.op8_chat_format, chat.OP8_SQL),
     "op9_ngram_jaccard": (ngram_join.op9_ngram_jaccard, ngram_join.OP9_SQL),
     "op10_suffix_dedup": (suffix_dedup.op10_suffix_dedup, None),
+    "op11_importance_resample": (resample.op11_importance_resample, resample.OP11_SQL),
+    "op12_lexical_search": (search.op12_lexical_search, search.OP12_SQL),
+    "op13_best_fit_packing": (best_fit.op13_best_fit_packing, None),
     "pipeline": (pipeline, None),
 }
 

@@ -86,7 +86,7 @@ def test_other_operators_on_null_ids(spark):
 def test_sql_agrees(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("pages", "embeddings", "conversations", "documents"):
+    for t in ("pages", "embeddings", "conversations", "documents", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     fn, sql = QUERIES[name]
     got = fn(spark, sf)
