@@ -9,12 +9,14 @@ from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerspark.session import checkpoint_dir, scratch_path
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_BITMAP_BITS = 1 << 22  # half a megabyte in a plan
 _SHIPPED: set[str] = set()
 
 
@@ -67,3 +69,35 @@ def stored(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def without(rows: DataFrame, keys: DataFrame, on: list[str], once: str | None = None) -> DataFrame:
+    """``rows`` whose ``on`` columns (null equals null) are not in ``keys``. Where ``keys`` has a boolean column named ``once``
+    that is true, one row of the key stays.
+
+    The rows are wide and most stay: a bitmap of the keys' hashes, of bounded size, lets the rows through that cannot be
+    meant, where they are; only the others move to be joined. A table with more keys than the bitmap has room for joins
+    more rows, with the same result."""
+    keys = cut_lineage(keys.select(*on, *([once] if once else [])))
+    n = keys.count()
+    if not n:
+        return rows
+    bits = min(_BITMAP_BITS, max(1 << 10, 1 << (16 * n).bit_length()))
+    at = F.pmod(F.xxhash64(*on), F.lit(bits))
+    words = keys.select(at.alias("at")).groupBy((F.col("at") / 8).cast("int").alias("byte")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("at") % 8).cast("int"))).alias("set")).toPandas()  # at most _BITMAP_BITS / 8 rows
+    bitmap = bytearray(bits // 8)
+    for byte, value in zip(words["byte"].tolist(), words["set"].tolist()):
+        bitmap[byte] = value
+    held = F.conv(F.hex(F.substring(F.lit(bytes(bitmap)), (at / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    may = F.getbit(held, (at % 8).cast("int")) == 1
+    own = keys.select(*[F.col(c).alias(f"_k_{c}") for c in on], *([F.col(once).alias("_once")] if once else []))
+    same = None
+    for c in on:
+        same = F.col(c).eqNullSafe(F.col(f"_k_{c}")) if same is None else same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    others, meant = rows.where(~may), rows.where(may)
+    if once is None:
+        return others.unionByName(meant.join(own, same, "left_anti"))
+    told = meant.join(own.withColumn("_told", F.lit(True)), same, "left")
+    free = told.where("_told IS NULL").select(*rows.columns)
+    return others.unionByName(free).unionByName(told.where("_told AND _once").dropDuplicates(on).select(*rows.columns))

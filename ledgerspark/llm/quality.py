@@ -11,9 +11,9 @@ aspect on hashed features: a document's words, scaled by their number, and its v
 A document is kept when neither scorer puts rejection at ``0.5`` or more.
 
 Scale: one pass reads the texts and stores votes and hashed words; the rest works on those.
-Votes are counted by pattern before anything moves (at most 3^labellers rows reach the
-driver). The given labels, all of them, are joined by id to the rows that pass made, not
-to the texts. Bounds, all parameters: the learned words come from about ``label_rows``
+Votes are counted by pattern (at most 3^labellers rows reach the driver). The given labels,
+all of them, are joined by id to a few numbers a row: its votes, packed, and, as a scorer is
+linear, the two sums of its words' weights; texts and words never move. Bounds, all parameters: the learned words come from about ``label_rows``
 labelled rows, ``train_docs`` documents (chosen by a hash of the id, up to half of them
 and more where there is room from the labelled ones) train the scorers, ``lexicon_words``
 words are learned. Everything else covers all rows; a task keeps one Arrow batch.
@@ -28,13 +28,14 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import stored, table
+from ledgerspark.llm.common import cut_lineage, stored, table
 
 ASPECTS = {"junk": ("symbols", "shouting", "bars", "repeats", "plain", "label"),
            "toxic": ("insults", "learned", "civil", "label")}
@@ -199,26 +200,41 @@ def _learn_words(docs: DataFrame, given: dict, cut: int, lexicon_words: int) ->
     return frozenset(r["word"] for r in top.collect())
 
 
-def _with_labels(seen: DataFrame, labels: DataFrame | None, id_col: str) -> DataFrame:
-    """``seen`` (with the id as ``_id``) and the vote of every given label in ``_votes``."""
+def _packed(votes):
+    """The labellers' votes in base three; the label votes abstain and are added where they are known."""
+    return F.aggregate(votes, F.lit(0), lambda at, v: at * 3 + v)
+
+
+def _with_labels(slim: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``slim`` rows (``_id``, packed ``_votes``, numbers) with the votes of the given labels, ``_quality`` and ``_toxic``."""
     if labels is None:
-        return seen.drop("_id")
-    own = labels.groupBy(F.col(id_col).alias("_given")).agg(F.min("quality").alias("_q"), F.max("toxic").alias("_t"))
+        return slim.withColumn("_quality", F.lit(ABSTAIN)).withColumn("_toxic", F.lit(ABSTAIN))
 
     def vote(value, bad: int):
         return F.when(F.col(value).isNull(), ABSTAIN).when(F.col(value) == bad, REJECT).otherwise(KEEP)
 
-    at = F.col("_votes")
-    cast = F.concat(F.slice(at, 1, _QUALITY), F.array(vote("_q", 0)),
-                    F.slice(at, _QUALITY + 2, _TOXIC - _QUALITY - 1), F.array(vote("_t", 1)))
-    return seen.join(own, F.col("_id") == F.col("_given"), "left").withColumn(
-        "_votes", F.when(at.isNotNull(), cast)).drop("_id", "_given", "_q", "_t")
+    return slim.join(labels, F.col("_id") == F.col("_given"), "left").select(
+        *slim.columns, vote("_q", 0).alias("_quality"), vote("_t", 1).alias("_toxic"))
+
+
+@dataclass
+class Evidence:
+    """``seen``: the carried columns of every document with its ``_id``, ``_row`` (a hash of id and text), packed ``_votes`` and
+    hashed ``_words`` (null without words), stored; ``labels``: ``_given, _q, _t`` per labelled id."""
+    seen: DataFrame
+    labels: DataFrame | None
+    carry: tuple[str, ...]
+
+    def voted(self, *numbers: str) -> DataFrame:
+        """``_id, _row, _votes``, the given labels' votes and ``numbers`` of the documents with words."""
+        slim = self.seen.where("_votes IS NOT NULL").select("_id", "_row", "_votes", *numbers)
+        return _with_labels(slim, self.labels)
 
 
 def evidence(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
-             carry: tuple[str, ...] = ("doc_id",), label_rows: int = 20_000, lexicon_words: int = 200) -> DataFrame:
-    """``carry`` columns of every document with its ``_votes`` and hashed ``_words`` (null without words),
-    stored in the shared folder: texts are read once, whatever is then fitted and scored."""
+             carry: tuple[str, ...] = ("doc_id",), label_rows: int = 20_000, lexicon_words: int = 200) -> Evidence:
+    """Votes and hashed words of every document, stored in the shared folder: texts are read once, whatever is then fitted
+    and scored."""
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     given, cut = _given_labels(labels, id_col, label_rows)
     learned = _learn_words(d, given, cut, lexicon_words)
@@ -233,33 +249,48 @@ def evidence(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
         return pd.DataFrame({"votes": pd.Series(votes, dtype=object), "words": pd.Series(words, dtype=object)})
 
     seen = docs.withColumn("_e", look(F.col(text_col))).select(
-        *carry, F.col(id_col).alias("_id"), F.col("_e.votes").alias("_votes"), F.col("_e.words").alias("_words"))
-    return stored(_with_labels(seen, labels, id_col))
+        *carry, F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_row"), _packed(F.col("_e.votes")).alias("_votes"),
+        F.col("_e.words").alias("_words"))
+    own = None if labels is None else labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_given")).agg(
+        F.min("quality").alias("_q"), F.max("toxic").alias("_t"))
+    return Evidence(stored(seen), own, carry)
+
 
+def _unpacked(votes: np.ndarray, quality: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """(rows, labellers) votes with those of the given labels."""
+    out = votes[:, None] // 3 ** np.arange(_VOTES - 1, -1, -1) % 3
+    out[:, _QUALITY], out[:, _TOXIC] = quality, toxic
+    return out
 
-def _training_rows(voted: DataFrame, n_labelled: int, n_other: int, id_col: str, train_docs: int) -> DataFrame:
+
+def _training_rows(voted: DataFrame, n_labelled: int, n_other: int, train_docs: int) -> DataFrame:
     """About ``train_docs`` rows: labelled ones fill half, or what the others leave. The labelled ones are
-    chosen by the hash that chooses the rows words are learned from."""
+    chosen by the hash that chooses the rows words are learned from, the others by a hash of id and text."""
     own = min(n_labelled, max(train_docs // 2, train_docs - n_other))
-    labelled = (F.col("_votes")[_QUALITY] != ABSTAIN) | (F.col("_votes")[_TOXIC] != ABSTAIN)
+    labelled = (F.col("_quality") != ABSTAIN) | (F.col("_toxic") != ABSTAIN)
 
-    def drawn(salt: str, n_rows: int, wanted: int):
-        return F.pmod(F.xxhash64(F.lit(salt), F.col(id_col)), F.lit(1 << 30)) < (_share(n_rows, wanted) if n_rows else 0)
+    def drawn(salt: str, by: str, n_rows: int, wanted: int):
+        return F.pmod(F.xxhash64(F.lit(salt), F.col(by)), F.lit(1 << 30)) < (_share(n_rows, wanted) if n_rows else 0)
 
-    return voted.where(F.when(labelled, drawn("labels", n_labelled, own)).otherwise(drawn("train", n_other, train_docs - own)))
+    return voted.where(F.when(labelled, drawn("labels", "_id", n_labelled, own)).otherwise(drawn("train", "_row", n_other, train_docs - own)))
 
 
-def fit(seen: DataFrame, id_col: str = "doc_id", train_docs: int = 20_000) -> dict[str, np.ndarray]:
+def fit(ev: Evidence, train_docs: int = 20_000) -> dict[str, np.ndarray]:
     """Weights per aspect. All documents' votes go into the labellers' accuracies; about ``train_docs``
-    documents train the scorers (see ``_training_rows``)."""
-    voted = seen.where(F.col("_votes").isNotNull())
-    counted = voted.groupBy("_votes").agg(F.count(F.lit(1)).alias("n")).collect()  # <= 3^labellers rows
-    pattern = np.array([r["_votes"] for r in counted], int).reshape(-1, _VOTES)
-    n = np.array([r["n"] for r in counted], float)
+    documents train the scorers (see ``_training_rows``; equal rows are one)."""
+    voted = ev.voted()
+    counted = voted.groupBy("_votes", "_quality", "_toxic").agg(F.count(F.lit(1)).alias("n")).toPandas()  # <= 3^labellers rows
+    pattern = _unpacked(*(counted[c].to_numpy(int) for c in ("_votes", "_quality", "_toxic")))
+    n = counted["n"].to_numpy(float)
     n_labelled = int(n[(pattern[:, _QUALITY] != ABSTAIN) | (pattern[:, _TOXIC] != ABSTAIN)].sum())
-    sample = _training_rows(voted, n_labelled, int(n.sum()) - n_labelled, id_col, train_docs).select("_votes", "_words").collect()
-    votes = np.array([r["_votes"] for r in sample], int).reshape(-1, _VOTES)
-    words = [np.frombuffer(r["_words"], np.int32) for r in sample]
+    picked = _training_rows(voted, n_labelled, int(n.sum()) - n_labelled, train_docs).groupBy("_row").agg(
+        F.first("_votes").alias("v"), F.first("_quality").alias("q"), F.first("_toxic").alias("t"))
+    picked = cut_lineage(picked)
+    # about train_docs rows of four numbers, whatever the table
+    words = ev.seen.select("_row", "_words").join(F.broadcast(picked.select("_row")), "_row").dropDuplicates(["_row"])
+    sample = picked.join(words, "_row").orderBy("_row").select("v", "q", "t", "_words").collect()
+    votes = _unpacked(*(np.array([r[c] for r in sample], int) for c in "vqt"))
+    index = [np.frombuffer(r["_words"], np.int32) for r in sample]
     del sample
     weights, at = {}, 0
     for aspect, labellers in ASPECTS.items():
@@ -268,30 +299,45 @@ def fit(seen: DataFrame, id_col: str = "doc_id", train_docs: int = 20_000) -> di
         own, place = np.unique(pattern[:, sub], axis=0, return_inverse=True)
         p, _ = expectation_maximisation(own, np.bincount(place.ravel(), n, len(own)))
         posterior = {tuple(v): x for v, x in zip(own.tolist(), p.tolist())}
-        weights[aspect] = train_linear(votes, words, np.array([posterior[tuple(v)] for v in votes[:, sub].tolist()]))
+        weights[aspect] = train_linear(votes, index, np.array([posterior[tuple(v)] for v in votes[:, sub].tolist()]))
     return weights
 
 
-def score(seen: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
-    """``seen`` with ``junk`` and ``toxic`` (probabilities of rejection) and ``keep``."""
-    b = seen.sparkSession.sparkContext.broadcast(weights)  # 2 x 2^18 numbers
+def score(ev: Evidence, weights: dict[str, np.ndarray]) -> DataFrame:
+    """The carried columns of every document with ``junk`` and ``toxic`` (probabilities of rejection) and ``keep``."""
+    b = ev.seen.sparkSession.sparkContext.broadcast(weights)  # 2 x 2^18 numbers
 
-    @F.pandas_udf("struct<junk:double,toxic:double,keep:boolean>")
-    def judge(votes: pd.Series, words: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("struct<junk:double,toxic:double>")
+    def sums(votes: pd.Series, words: pd.Series) -> pd.DataFrame:
+        """What the words and the labellers that look at the text add; the given labels' votes are left out."""
         has = votes.notna().to_numpy()
-        out = {"junk": np.ones(len(votes)), "toxic": np.zeros(len(votes))}
+        out = {aspect: np.zeros(len(votes)) for aspect in b.value}
         if has.any():
-            vote = _VOTE_FEATURES[np.arange(_VOTES), np.stack(votes[has].to_list())]
+            packed = votes[has].to_numpy(int)
+            cast = packed[:, None] // 3 ** np.arange(_VOTES - 1, -1, -1) % 3
+            looking = [i for i in range(_VOTES) if i not in (_QUALITY, _TOXIC)]
+            vote = _VOTE_FEATURES[looking, cast[:, looking]]
             index = [np.frombuffer(w, np.int32) for w in words[has]]
             sizes = np.array([len(i) for i in index])
             flat, first = np.concatenate(index), np.cumsum(sizes) - sizes
             for aspect, w in b.value.items():
-                z = np.add.reduceat(w[flat], first) / np.sqrt(sizes) + w[vote].sum(1) + w[-1]
-                out[aspect][has] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        return pd.DataFrame(out | {"keep": (out["junk"] < 0.5) & (out["toxic"] < 0.5)})
-
-    return seen.withColumn("_s", judge("_votes", "_words")).select(
-        *[c for c in seen.columns if c not in ("_votes", "_words")], "_s.junk", "_s.toxic", "_s.keep")
+                out[aspect][has] = np.add.reduceat(w[flat], first) / np.sqrt(sizes) + w[vote].sum(1) + w[-1]
+        return pd.DataFrame(out)
+
+    summed = ev.seen.withColumn("_s", sums("_votes", "_words")).select(
+        *ev.carry, "_id", F.col("_votes").isNotNull().alias("_has"), "_s.junk", "_s.toxic")
+    labelled = _with_labels(summed, ev.labels)
+
+    def chance(aspect: str):
+        w, z = weights[aspect], F.col(aspect)
+        for column, labeller in (("_quality", _QUALITY), ("_toxic", _TOXIC)):
+            at = [float(w[i]) for i in _VOTE_FEATURES[labeller]]
+            z = z + F.when(F.col(column) == REJECT, at[REJECT]).when(F.col(column) == KEEP, at[KEEP]).otherwise(at[ABSTAIN])
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), z))))
+
+    out = labelled.select(*ev.carry, F.when(F.col("_has"), chance("junk")).otherwise(1.0).alias("junk"),
+                          F.when(F.col("_has"), chance("toxic")).otherwise(0.0).alias("toxic"))
+    return out.withColumn("keep", (F.col("junk") < 0.5) & (F.col("toxic") < 0.5))
 
 
 # --------------------------------------------------------------------------- query
