@@ -20,10 +20,10 @@ With 25 bands of 5 values a pair exactly at similarity 0.8 is missed with probab
 5e-5, and the chance falls fast above.
 
 Cases: a text with fewer than n words is one n-gram of all its words; null, empty and
-blank texts link with nothing and are their own class; repeated rows are documents of
-their own that link with each other (rows that share an id but not the text share its
-links); ties on the class id cannot occur, it is the
-smallest id; a row without an id links with nothing and is kept; an empty table gives no rows; extra columns are ignored.
+blank texts link with nothing and are their own class; repeated rows, and rows that share an
+id but not the text, are documents of their own (inside, a row has a number of its own; the
+class id is the smallest id, and of the rows that have it in a class one is kept); a row
+without an id links with nothing and is kept; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -172,11 +172,12 @@ def _verified(x: pd.DataFrame, threshold: float, needed: list[int]) -> pd.DataFr
 
 
 def jaccard_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, tolerance: float = 1e-4, id_col: str = "doc_id",
-                    text_col: str = "text", block_rows: int = 512) -> DataFrame:
+                    text_col: str = "text", block_rows: int = 512, with_hash: bool = False) -> DataFrame:
     """One row per document: ``id, class_id`` (smallest id reachable by links), ``n_links`` (documents with
-    similarity >= ``threshold``), ``kept`` (the class's representative)."""
+    similarity >= ``threshold``), ``kept`` (the class's representative). ``with_hash`` adds ``text_hash``, Spark's xxhash64
+    of the text."""
     needed = needed_matches(threshold, tolerance)
-    everyone = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    everyone = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     d = everyone.where("id IS NOT NULL")
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,13 +188,15 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, toleran
                 s = shingle(t)
                 sig.append(minhash(s).tobytes() if len(s) else None)
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            yield pd.DataFrame({"id": pdf["id"], "digest": digest, "sig": sig})
+            yield pd.DataFrame({"doc": pdf["id"], "h": pdf["h"], "digest": digest, "sig": sig})
 
-    sketches = cut_lineage(d.mapInPandas(sketch, "id long, digest binary, sig binary"))
+    # ``id`` is from here on a row's own number
+    sketches = cut_lineage(d.mapInPandas(sketch, "doc long, h long, digest binary, sig binary").withColumn("id", F.monotonically_increasing_id()))
     full = sketches.where("sig IS NOT NULL")
-    copies = full.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w"))
-    reps = cut_lineage(copies.join(full.select("digest", F.col("id").alias("rep"), "sig"), ["digest", "rep"])
-                       .dropDuplicates(["digest"]).select(F.col("rep").alias("id"), "w", "sig"))
+    copies = full.groupBy("digest").agg(F.min(F.struct("doc", "id")).alias("first"), F.count(F.lit(1)).alias("w")).select(
+        "digest", F.col("first.id").alias("rep"), "w")
+    reps = cut_lineage(copies.join(full.select("digest", F.col("id").alias("rep"), "doc", "h", "sig"), ["digest", "rep"])
+                       .select(F.col("rep").alias("id"), "doc", "h", "w", "sig"))
 
     def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -215,17 +218,17 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, toleran
 
     near = deal_buckets(shared, sizes, block_rows).mapInPandas(judge, "u long, v long").distinct()
     members = cut_lineage(connected_components(near).join(reps.withColumnRenamed("id", "node"), "node")
-                          .select(F.col("node").alias("id"), F.col("component").alias("bucket"), "w", "sig"))
+                          .select(F.col("node").alias("id"), F.col("component").alias("bucket"), "doc", "h", "w", "sig"))
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(n)
         for pdf in batches:
-            yield pdf.assign(grams=[shingle(t).tobytes() for t in pdf["text"]]).drop(columns="text")
+            yield pd.DataFrame({"id": pdf["id"], "grams": [shingle(t).tobytes() for t in pdf["text"]]})
 
-    ids = members.select("id")
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    sets = d.join(few, "id").mapInPandas(grams, "id long, grams binary").dropDuplicates(["id"])
-    rows = members.join(sets, "id")
+    own = members.select("id", "doc", "h")  # equal texts of one document are one member
+    few = F.broadcast(own) if own.count() <= BROADCAST_ROWS else own
+    sets = d.withColumnRenamed("id", "doc").join(few, ["doc", "h"]).mapInPandas(grams, "id long, grams binary").dropDuplicates(["id"])
+    rows = members.drop("doc", "h").join(sets, "id")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in whole_runs(batches, block_rows):
@@ -235,14 +238,19 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, toleran
                         .mapInPandas(verify, "id long, n long, root long"))
     links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("n").alias("n"))
     classes = connected_components(found.select(F.col("id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "rep")
-    own = sketches.join(copies, "digest", "left").select("id", F.coalesce("rep", "id").alias("rep"), F.coalesce("w", F.lit(1)).alias("w"))
-    out = own.join(links, "rep", "left").join(classes, "rep", "left").select(
-        "id", F.coalesce("component", "rep").alias("class_id"),
-        (F.coalesce("n", F.lit(0)) + F.col("w") - 1).cast("long").alias("n_links"),
-        (F.col("id") == F.coalesce("component", "rep")).alias("kept"))
+    own = sketches.select("doc", "h", "id", "digest").join(copies, "digest", "left").select(
+        "doc", "h", "id", F.coalesce("rep", "id").alias("rep"), F.coalesce("w", F.lit(1)).alias("w"))
+    linked = cut_lineage(own.join(links, "rep", "left").join(classes, "rep", "left").select(
+        "doc", "h", "id", F.coalesce("component", "rep").alias("class"), (F.coalesce("n", F.lit(0)) + F.col("w") - 1).cast("long").alias("n_links")))
+    # a row with links is in a class with others, whose first one is looked up; the rest are classes of their own
+    heads = linked.where("n_links > 0").groupBy("class").agg(F.min(F.struct("doc", "id")).alias("head"))
+    out = linked.join(heads, "class", "left").select(
+        F.col("doc").alias("id"), F.coalesce("head.doc", "doc").alias("class_id"), "n_links",
+        (F.col("id") == F.coalesce("head.id", "id")).alias("kept"), F.col("h").alias("text_hash"))
     nameless = everyone.where("id IS NULL").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
-                                                   F.lit(True).alias("kept"))
-    return out.unionByName(nameless).withColumnRenamed("id", id_col)
+                                                   F.lit(True).alias("kept"), F.col("h").alias("text_hash"))
+    out = out.unionByName(nameless).withColumnRenamed("id", id_col)
+    return out if with_hash else out.drop("text_hash")
 
 
 # --------------------------------------------------------------------------- query
