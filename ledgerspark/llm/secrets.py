@@ -2,8 +2,10 @@
 
 Two first-order character models are trained on labelled samples of the corpus itself:
 *random strings* from the values the fixed patterns find, *ordinary identifiers* from the
-text outside those matches and outside the tokens still to be judged. A token is one run of key characters; it is flagged when its
-log-likelihood ratio (random against ordinary) per character reaches ``threshold``.
+text outside those matches and outside tokens that mix letters and digits. A token is a run of
+``MIN_TOKEN`` or more key characters, or what a base span leaves of one; it is flagged when
+its log-likelihood ratio (random against ordinary) per character reaches ``threshold``,
+whatever characters it is made of.
 
 Training reads all documents: each task counts character pairs, the counts are summed in
 Spark, and only the two 67 x 67 tables reach the driver. The scan is one map over all
@@ -32,7 +34,8 @@ KINDS = ("assign", "access", "hex", "markov")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")          # maximal runs, 20 characters or more
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
+MIN_TOKEN = 16
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}" % MIN_TOKEN)
 
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 _K = len(_ALPHABET) + 1                              # the last class is everything else: a token's edge
@@ -112,16 +115,26 @@ def train(docs: DataFrame, text_col: str = "text", threshold: float = 2.2) -> Ma
     return MarkovModel(ratio.ravel(), threshold)
 
 
+def _outside(start: int, end: int, spans: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, int]]:
+    """The parts of [start, end) that no span covers."""
+    for s, _, e, _ in spans:  # sorted by start
+        if s >= end:
+            break
+        if s > start:
+            yield start, s
+        start = max(start, e)
+    if start < end:
+        yield start, end
+
+
 def find_spans(text: str, model: MarkovModel) -> list[tuple[int, int, int]]:
-    """All spans as (start, kind number, end); a token that a base span meets is not judged again."""
+    """All spans as (start, kind number, end)."""
     own = base_spans(text)
     out = [x[:3] for x in own]
     for m in _TOKEN.finditer(text):
-        t = m[0]
-        if any(s < m.end() and m.start() < e for s, _, e, _ in own):
-            continue
-        if _mixed(t) and model.score(t) >= model.threshold:
-            out.append((m.start(), 3, m.end()))
+        for a, z in _outside(m.start(), m.end(), own):
+            if z - a >= MIN_TOKEN and model.score(text[a:z]) >= model.threshold:
+                out.append((a, 3, z))
     return sorted(out)
 
 
