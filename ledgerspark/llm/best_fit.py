@@ -31,6 +31,7 @@ import json
 import os
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -46,8 +47,8 @@ from ledgerspark.llm.packing import place
 WINDOW, END_ID = 2048, 0
 ROUNDS = 100
 SHARES = (1.0, 0.75, 0.5, 0.25, 0.1)
-_CACHE_CHUNKS = 400_000
-_BATCH_BYTES = 8 << 20
+_CACHE_CHUNKS = 300_000
+_BATCH_BYTES = 4 << 20
 #: what byte-level pre-tokenisers split text by
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: characters with the Unicode property White_Space, and the end of a text
@@ -59,14 +60,19 @@ class Tokenizer:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer as Library
-        self.library = Library.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.fast = self._fast(spec)
         self.cache = IdCache(self._encode, _CACHE_CHUNKS)
 
+    @cached_property
+    def library(self):
+        """The file's own tokenizer, loaded where it is needed."""
+        from tokenizers import Tokenizer as Library
+        return Library.from_file(self.path)
+
     def _fast(self, spec: dict):
         """The same merges in the fast library, where the file is plain byte-level BPE."""
         model, pre = spec["model"], spec["pre_tokenizer"] or {}
@@ -190,6 +196,7 @@ def tokenize_pieces(docs: DataFrame, path: str, end_id: int = END_ID, window: in
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                      pa.array(length, pa.int64()), pa.array(own, pa.binary())], names=["id", "piece", "start", "length", "ids"])
+        tok.cache.trim()  # a worker may stay idle for long
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"id {id_type}, piece int, start long, length long, ids binary").withColumnRenamed("id", id_col)

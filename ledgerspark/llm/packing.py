@@ -25,6 +25,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -39,7 +40,7 @@ from ledgerspark.llm.id_cache import IdCache, byte_symbols
 
 WINDOW, UNIT, DEPTH = 2048, 8, 3
 _RANK_ROWS = 50_000       # pieces that one task numbers at a time
-_CACHE_CHUNKS = 250_000   # chunks of text, and pieces of chunks, whose ids a worker remembers
+_CACHE_CHUNKS = 120_000   # chunks of text, and pieces of chunks, whose ids a worker remembers
 _BATCH_BYTES = 4 << 20
 _WHOLE = re.compile("[^\x00-\u024f]|<\\||[\x1c-\x1f\x85]")
 _MARK, _END = "\x1f", "</w>"  # a word's end: in pieces, in the file
@@ -69,14 +70,23 @@ class _Tokenizer:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.lib = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             self.known = self._merges(json.load(f))
         self.chunks = IdCache(self._new_chunks, _CACHE_CHUNKS)
         self.pieces = IdCache(self._new_pieces, _CACHE_CHUNKS)
         self.pieces.hold("\n")  # parts the chunks
 
+    @cached_property
+    def lib(self):
+        """The file's own tokenizer, loaded where it is needed."""
+        from tokenizers import Tokenizer
+        return Tokenizer.from_file(self.path)
+
+    def trim(self) -> None:
+        self.chunks.trim()
+        self.pieces.trim()
+
     def _merges(self, spec: dict) -> bool:
         """The file's merges in the fast library, a word's end being a byte of its own that joins the letter before it
         ahead of all merges; False where the file is of another kind."""
@@ -149,8 +159,7 @@ class _Tokenizer:
         if not self.known:
             ids, size = self._whole(texts.to_pylist())
             return ids, np.concatenate([[0], np.cumsum(size)])
-        self.chunks.trim()
-        self.pieces.trim()
+        self.trim()
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         index = coded.indices.to_numpy()
@@ -197,6 +206,7 @@ def tokenize_pieces(docs: DataFrame, path: str, end_id: int = 1, window: int = W
                     [b.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
                      pa.array(own, pa.binary()), pa.array(total, pa.int64())],
                     names=["id", "start", "length", "ids", "doc_tokens"])
+        tok.trim()  # a worker may stay idle for long
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"id {id_type}, start long, length long, ids binary, doc_tokens long")
