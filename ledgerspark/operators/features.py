@@ -9,7 +9,7 @@ pin a single task.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -193,13 +193,14 @@ def clean_trades(df: DataFrame, cols: TradeColumns = REFERENCE_COLUMNS,
                  type_map: Mapping[str, str] = PRODUCT_NAME_TO_TYPE,
                  currency_map: Mapping[str, str] = CURRENCY_TO_REDUCED,
                  thresholds: ClientThresholds = ClientThresholds(), date_fmt: str = "dd/MM/yyyy",
-                 drop_extra: tuple[str, ...] = ()) -> CleanResult:
+                 drop_extra: tuple[str, ...] = (), store: Callable[[DataFrame], DataFrame] | None = None) -> CleanResult:
     """G5 in the reference's order: impute group, product type, date features, drop the
     superseded columns, quarantine incomplete rows, quarantine amounts below 0.01, log
     amount, currency lumping, client summary on the survivors, attach client classes.
 
-    Returns lazily defined frames; only a sink runs them. ``cols.keep`` columns
-    (business keys) are carried through and ignored by the null check.
+    Returns lazily defined frames; only a sink runs them. ``store`` writes the tagged rows and reads them
+    again, so that several sinks share the work before. ``cols.keep`` columns (business keys) are carried
+    through and ignored by the null check.
     """
     x = impute_group(df, cols.product_name, cols.product_group, group_map)
     x = product_type(x, cols.product_name, type_map)
@@ -208,6 +209,8 @@ def clean_trades(df: DataFrame, cols: TradeColumns = REFERENCE_COLUMNS,
     check = [c for c in x.columns if c not in cols.keep]
     bad = quality.any_null(check)
     tagged = x.withColumn("_incomplete", bad)
+    if store is not None:
+        tagged = store(tagged)
     incomplete = tagged.where("_incomplete").drop("_incomplete")
     complete = tagged.where(~F.col("_incomplete")).drop("_incomplete")
     zero = quality.zero_amount_rows(complete, cols.gbp)

@@ -1,4 +1,4 @@
-"""Model building on MLlib.
+"""Model building on MLlib.
 
 ``fit_suspicion_model`` reproduces the reference's modelling recipe:
 categories taken from the whole cleaned table (M4), one-hot without a dropped
@@ -8,27 +8,33 @@ entropy forest with sqrt feature subsets (M7). The fitted stages form one
 ``PipelineModel`` that can be saved and loaded (S11).
 
 All fitting is distributed by MLlib; the only values that reach the driver are
-fitted parameters (category labels, 2 x k scaling constants, trees).
+fitted parameters (category labels, 2 x k scaling constants, trees). What a fit scans many
+times is written to the shared folder first, spread over all cores, so a lost executor
+costs a read and not the preparation. Forests keep the node that each row has reached in
+each tree beside the rows, checkpointed in the same folder, instead of sending the grown
+forest to every task of every step.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+import math
+import random
+from dataclasses import dataclass, field, replace
 from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import (CountVectorizer, OneHotEncoder, RegexTokenizer, SQLTransformer, StopWordsRemover,
                                 StringIndexer, VectorAssembler)
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.stopwords import ENGLISH
-from ledgerspark.operators import evaluate as ev
-from ledgerspark.operators.split import stratified_folds
+from ledgerspark.operators.split import class_rank, stratified_folds
+from ledgerspark.session import checkpoint_dir, scratch_path
 
 
 @dataclass(frozen=True)
@@ -44,6 +50,7 @@ class FeatureSpec:
 
 REFERENCE_FEATURES = FeatureSpec()
 MISSING_LEVEL = "(missing)"
+SCORE_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -61,24 +68,47 @@ def _safe(name: str) -> str:
     return "".join(ch if ch.isalnum() else "_" for ch in name)
 
 
+def _scaling(constants: list[tuple[str, float | None, float | None]], suffix: str) -> SQLTransformer:
+    """``(x - mean) / deviation`` per (column, mean, deviation), as a stage that persists with the model."""
+    exprs = []
+    for c, m, s in constants:
+        m = 0.0 if m is None else float(m)
+        s = 1.0 if not s else float(s)  # a constant column scales to 0
+        exprs.append(f"(CAST(`{c}` AS DOUBLE) - ({m!r})) / ({s!r}) AS `{_safe(c)}{suffix}`")
+    return SQLTransformer(statement="SELECT *, " + ", ".join(exprs) + " FROM __THIS__")
+
+
 def population_scaler(train: DataFrame, cols: list[str], suffix: str = "_scaled") -> SQLTransformer:
     """M5: ``(x - mean) / stddev_pop`` with both taken from ``train``.
 
     MLlib's ``StandardScaler`` divides by the sample deviation; the reference uses
-    the population one. Fitting is one aggregate of 2 x len(cols) numbers; the
-    constants are baked into a ``SQLTransformer`` so the stage persists with the model.
+    the population one. Fitting is one aggregate of 2 x len(cols) numbers.
     """
+    row = train.agg(*[f(F.col(f"`{c}`")).alias(f"{k}{i}") for i, c in enumerate(cols)
+                      for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    return _scaling([(c, row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(cols)], suffix)
+
+
+def leave_one_out_scalers(folded: DataFrame, cols: list[str], fold: str = "fold", suffix: str = "_scaled") -> dict[int, SQLTransformer]:
+    """For every fold the scaler of all other folds, from one aggregate: count, mean and squared deviation of each
+    fold, merged over the others (one row per fold reaches the driver)."""
     aggs = []
     for i, c in enumerate(cols):
-        aggs += [F.avg(F.col(f"`{c}`")).alias(f"m{i}"), F.stddev_pop(F.col(f"`{c}`")).alias(f"s{i}")]
-    row = train.agg(*aggs).first()
-    exprs = []
-    for i, c in enumerate(cols):
-        m, s = row[f"m{i}"], row[f"s{i}"]
-        m = 0.0 if m is None else float(m)
-        s = 1.0 if not s else float(s)  # a constant column scales to 0
-        exprs.append(f"(CAST(`{c}` AS DOUBLE) - ({m!r})) / ({s!r}) AS `{_safe(c)}{suffix}`")
-    return SQLTransformer(statement="SELECT *, " + ", ".join(exprs) + " FROM __THIS__")
+        x = F.col(f"`{c}`").cast("double")
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), (F.var_pop(x) * F.count(x)).alias(f"d{i}")]
+    rows = folded.groupBy(fold).agg(*aggs).collect()
+
+    def others(f: int, i: int) -> tuple[float | None, float | None]:
+        n, mean, dev = 0, 0.0, 0.0
+        for r in rows:
+            if r[fold] != f and r[f"n{i}"]:
+                own, step = r[f"n{i}"], r[f"m{i}"] - mean
+                dev += r[f"d{i}"] + step * step * n * own / (n + own)
+                mean += step * own / (n + own)
+                n += own
+        return (mean, (dev / n) ** 0.5) if n else (None, None)
+
+    return {r[fold]: _scaling([(c, *others(r[fold], i)) for i, c in enumerate(cols)], suffix) for r in rows}
 
 
 def feature_stages(all_rows: DataFrame, train: DataFrame, spec: FeatureSpec) -> tuple[list, str]:
@@ -124,31 +154,41 @@ def scaled(df: DataFrame, train: DataFrame, spec: FeatureSpec) -> DataFrame:
 
 def forest(params: ForestParams, label: str, features: str = "features") -> RandomForestClassifier:
     """M7."""
+    growth = {"cacheNodeIds": True, "checkpointInterval": 5, "maxMemoryInMB": 512} | params.extra
     return RandomForestClassifier(labelCol=label, featuresCol=features, numTrees=params.num_trees,
                                   impurity=params.impurity, minInstancesPerNode=params.min_instances_per_node,
                                   featureSubsetStrategy=params.feature_subset, maxDepth=params.max_depth,
-                                  seed=params.seed, **params.extra)
+                                  seed=params.seed, **growth)
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder in at least as many files as there are cores, and read again."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    wide = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.repartition(wide).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fit_suspicion_model(all_rows: DataFrame, train: DataFrame, spec: FeatureSpec = REFERENCE_FEATURES,
                         params: ForestParams = ForestParams(), classifier=None) -> PipelineModel:
     """Fit encoders (categories from ``all_rows``), scaler and classifier (on ``train``)."""
+    checkpoint_dir(train.sparkSession)
     stages, feats = feature_stages(all_rows, train, spec)
-    prep = PipelineModel(stages)
     lbl = train.withColumn("_label", F.col(f"`{spec.label}`").cast("double"))
     clf = classifier if classifier is not None else forest(params, "_label", feats)
-    # iterative learners scan the matrix many times: materialise it once (spills to disk)
-    matrix = prep.transform(lbl).select("_label", feats, *([clf.getWeightCol()] if clf.hasParam("weightCol")
-                                                           and clf.isSet("weightCol") else []))
-    matrix = matrix.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = clf.fit(matrix)
-    finally:
-        matrix.unpersist()
-    return PipelineModel(stages + [model])
-
-
-def predict(model: PipelineModel, df: DataFrame, label: str | None = None) -> DataFrame:
+    weight = [clf.getWeightCol()] if clf.hasParam("weightCol") and clf.isSet("weightCol") else []
+    matrix = _kept(PipelineModel(stages).transform(lbl).select("_label", feats, *weight), "matrix")
+    return PipelineModel(stages + [clf.fit(matrix)])
+
+
+def for_scoring(rows: DataFrame) -> DataFrame:
+    """``rows`` in tasks of ``SCORE_ROWS`` or more: every task unpacks the whole forest first, so small parts should not be
+    spread over many. No shuffle."""
+    return rows.coalesce(max(1, -(-rows.count() // SCORE_ROWS)))
+
+
+def predict(model, df: DataFrame, label: str | None = None) -> DataFrame:
     """Adds ``prediction`` (int) and ``p1`` = probability of class 1 (NULL for margin models)."""
     out = model.transform(df)
     if "probability" in out.columns:
@@ -180,6 +220,16 @@ def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     return df.join(w, F.col(f"`{label}`").eqNullSafe(F.col("_lbl"))).drop("_lbl")
 
 
+def balance_rows(df: DataFrame, label: str, target: str = "min", keys: list[str] | None = None, seed: int = 42) -> DataFrame:
+    """Exactly as many rows of every class as the smallest (``target="min"``: the first by a seeded hash of ``keys``) or
+    the largest class has (``target="max"``: whole copies, and one more of the first rows). Adds ``copy``, 0 for a row itself."""
+    ranked = class_rank(df, label, keys or [c for c in df.columns if c != label], seed)
+    goal = ranked.select((F.min if target == "min" else F.max)("_n")).scalar()
+    # rank r of n appears goal div n times, and once more up to rank goal mod n
+    times = F.floor(goal / F.col("_n")) + (F.col("_crank") <= goal % F.col("_n")).cast("long")
+    return ranked.withColumn("copy", F.explode(F.when(times > 0, F.sequence(F.lit(0), (times - 1).cast("int"))))).drop("_crank", "_n")
+
+
 def alternative_classifier(kind: str, label: str = "_label", weight: str | None = None, seed: int = 42):
     """Logistic regression, linear SVM or a single tree (``weightCol`` for M21)."""
     kw = {"labelCol": label, "featuresCol": "features"}
@@ -194,42 +244,58 @@ def alternative_classifier(kind: str, label: str = "_label", weight: str | None
     raise ValueError(kind)
 
 
-def cross_validate(df: DataFrame, spec: FeatureSpec, params: ForestParams, k: int = 15, seed: int = 42,
-                   key_cols: list[str] | None = None, parallelism: int = 3) -> DataFrame:
-    """Stratified k-fold scores ``fold, accuracy, macro_f1`` (one model per fold).
+class FoldedMatrix:
+    """Encoded rows with their fold, stored once; every fold's training rows are a mask over them.
 
-    Category encoders depend on the whole table only, so they are fitted once and
-    the encoded rows are kept; per fold only the scaler (train part) and the
-    forest are fitted. The fold loop runs on the driver over k plans, ``parallelism`` at
-    a time; each fit and score is distributed.
+    Category encoders depend on the whole table only. Per fold only the scaler of the other folds differs, and all
+    folds' scalers come from one aggregate.
     """
-    folded = stratified_folds(df, spec.label, k, seed, key_cols)
-    stages, feats = feature_stages(folded, folded, spec)
-    named, indexer, encoder, _, bools, assembler = stages
-    encoded = PipelineModel([named, indexer, encoder, bools]).transform(folded).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def score_fold(f: int) -> tuple:
-        train, test = encoded.where(F.col("fold") != f), encoded.where(F.col("fold") == f)
-        scaler = population_scaler(train, list(spec.continuous))
-        matrix = PipelineModel([scaler, assembler]).transform(
-            train.withColumn("_label", F.col(f"`{spec.label}`").cast("double"))).select("_label", feats).persist(
-            StorageLevel.MEMORY_AND_DISK)
-        try:
-            model = forest(params, "_label", feats).fit(matrix)
-        finally:
-            matrix.unpersist()
-        pred = predict(PipelineModel([scaler, assembler, model]), test, spec.label)
-        r = ev.classification_report(pred).agg(F.max(F.when(F.col("row") == "accuracy", F.col("f1"))).alias("accuracy"),
-                                               F.max(F.when(F.col("row") == "macro avg", F.col("f1"))).alias("macro_f1")).first()
-        return f, r["accuracy"], r["macro_f1"]
-
-    try:  # a few folds at a time share the cluster; one row per fold comes back
+
+    def __init__(self, df: DataFrame, spec: FeatureSpec, k: int, seed: int = 42, key_cols: list[str] | None = None,
+                 keep: tuple[str, ...] = ()):
+        checkpoint_dir(df.sparkSession)
+        folded = stratified_folds(df, spec.label, k, seed, key_cols)
+        (named, indexer, encoder, _, bools, assembler), self.features = feature_stages(df, df, spec)
+        scaled = {f"{_safe(c)}_scaled" for c in spec.continuous}
+        fixed = [c for c in assembler.getInputCols() if c not in scaled]
+        rows = PipelineModel([named, indexer, encoder, bools, VectorAssembler(inputCols=fixed, outputCol="_fixed")]).transform(folded)
+        self.rows = _kept(rows.select("fold", F.col(f"`{spec.label}`").cast("double").alias("_label"), "_fixed",
+                                      *[F.col(f"`{c}`") for c in dict.fromkeys((*spec.continuous, *keep))]), "folds")
+        self.keep, self.k = keep, k
+        self.scalers = leave_one_out_scalers(self.rows, list(spec.continuous))
+        self.assembler = VectorAssembler(inputCols=["_fixed", *[f"{_safe(c)}_scaled" for c in spec.continuous]], outputCol=self.features)
+
+    def scores(self, params: ForestParams, parallelism: int = 2) -> DataFrame:
+        """``keep`` columns, ``fold, label, prediction, p1`` of every row, each scored by the model of the other folds. The
+        loop runs over the k folds, a few at a time; each fit and each score is distributed and stored."""
+        path = scratch_path(self.rows.sparkSession, "out-of-fold")
+
+        def one(f: int) -> None:
+            prepare = PipelineModel([self.scalers[f], self.assembler]).transform
+            model = forest(params, "_label", self.features).fit(prepare(self.rows.where(F.col("fold") != f)).select("_label", self.features))
+            own = predict(model, prepare(for_scoring(self.rows.where(F.col("fold") == f))))
+            own.select(*self.keep, "fold", F.col("_label").cast("int").alias("label"), "prediction", "p1").write.mode(
+                "append").parquet(f"{path}/of={f}")
+
         with ThreadPool(parallelism) as pool:
-            result = df.sparkSession.createDataFrame(pool.map(score_fold, range(k), chunksize=1),
-                                                     "fold int, accuracy double, macro_f1 double")
-    finally:
-        encoded.unpersist()
-    return result
+            pool.map(one, sorted(self.scalers), chunksize=1)
+        return self.rows.sparkSession.read.parquet(path).drop("of")
+
+
+def fold_scores(predictions: DataFrame, by: tuple[str, ...] = ("fold",)) -> DataFrame:
+    """Accuracy and macro-F1 per fold, from the confusion counts of all folds in one aggregate."""
+    cells = predictions.groupBy(*by, "label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    sides = cells.select(*by, F.explode(F.array(F.struct(F.col("label").alias("class"), F.lit(0).alias("side")),
+                                                F.struct(F.col("prediction").alias("class"), F.lit(1).alias("side")))).alias("s"), "label", "prediction", "n")
+    per_class = sides.groupBy(*by, "s.class").agg(
+        F.sum("n").alias("both"), F.sum(F.when((F.col("label") == F.col("prediction")) & (F.col("s.side") == 0), F.col("n")).otherwise(0)).alias("hits"))
+    return per_class.groupBy(*by).agg((F.sum("hits") * 2 / F.sum("both")).alias("accuracy"), F.avg(2 * F.col("hits") / F.col("both")).alias("macro_f1"))
+
+
+def cross_validate(df: DataFrame, spec: FeatureSpec, params: ForestParams, k: int = 15, seed: int = 42,
+                   key_cols: list[str] | None = None, parallelism: int = 2) -> DataFrame:
+    """Stratified k-fold scores ``fold, accuracy, macro_f1`` (one model per fold)."""
+    return fold_scores(FoldedMatrix(df, spec, k, seed, key_cols).scores(params, parallelism))
 
 
 def cv_summary(scores: DataFrame) -> DataFrame:
@@ -238,32 +304,37 @@ def cv_summary(scores: DataFrame) -> DataFrame:
                       (2 * F.stddev_pop("macro_f1")).alias("macro_f1_2std"))
 
 
-def parameter_search(df: DataFrame, train: DataFrame, spec: FeatureSpec, grid: list[dict], seed: int = 42,
-                     train_ratio: float = 0.8, parallelism: int = 2) -> DataFrame:
-    """Sampled grid of forest parameters scored on a validation split (TrainValidationSplit).
+def sample_parameters(space: dict[str, list | tuple[float, float]], n: int, seed: int = 42) -> list[dict]:
+    """``n`` different parameter sets. A list is a set of choices, drawn without replacement over the product of all
+    lists (all of it, where ``n`` is larger); a pair of numbers is a range that every set draws from evenly."""
+    rng = random.Random(seed)
+    lists = {name: v for name, v in space.items() if isinstance(v, list)}
+    ranges = {name: v for name, v in space.items() if not isinstance(v, list)}
+    size = math.prod(len(v) for v in lists.values())
+    picks = rng.sample(range(size), min(n, size)) if not ranges else [rng.randrange(size) for _ in range(n)]
+    out = []
+    for at in picks:
+        chosen = {}
+        for name, v in lists.items():
+            at, i = divmod(at, len(v))
+            chosen[name] = v[i]
+        out.append(chosen | {name: rng.uniform(*v) if any(isinstance(x, float) for x in v) else rng.randint(*v) for name, v in ranges.items()})
+    return out
 
-    Returns one row per parameter set with its validation F1, best first.
-    """
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-
-    stages, feats = feature_stages(df, train, spec)
-    prep = PipelineModel(stages)
-    data = prep.transform(train.withColumn("_label", F.col(f"`{spec.label}`").cast("double")))
-    rf = RandomForestClassifier(labelCol="_label", featuresCol=feats, seed=seed, impurity="entropy")
-    maps = []
-    for g in grid:
-        b = ParamGridBuilder()
-        for k, v in g.items():
-            b = b.addGrid(rf.getParam(k), [v])
-        maps += b.build()
-    tvs = TrainValidationSplit(estimator=rf, estimatorParamMaps=maps, trainRatio=train_ratio, seed=seed,
-                               parallelism=parallelism,
-                               evaluator=MulticlassClassificationEvaluator(labelCol="_label", metricName="f1"))
-    fitted = tvs.fit(data)
-    spark = df.sparkSession
-    out = [(str({p.name: v for p, v in m.items()}), float(s)) for m, s in zip(maps, fitted.validationMetrics)]
-    return spark.createDataFrame(out, "params string, validation_f1 double").orderBy(F.desc("validation_f1"))
+
+def parameter_search(df: DataFrame, spec: FeatureSpec, space: dict[str, list | tuple[float, float]], n: int, k: int = 3, seed: int = 42,
+                     base: ForestParams = ForestParams(), key_cols: list[str] | None = None, parallelism: int = 2) -> DataFrame:
+    """``n`` sampled parameter sets (fields of ``ForestParams``), each scored over the same k folds of one stored
+    matrix: ``params`` (JSON), mean accuracy and macro-F1, its deviation over the folds, and the rank by macro-F1."""
+    matrix = FoldedMatrix(df, spec, k, seed, key_cols)
+    found = None
+    for i, chosen in enumerate(sample_parameters(space, n, seed)):
+        own = fold_scores(matrix.scores(replace(base, **chosen), parallelism)).agg(
+            F.avg("accuracy").alias("mean_accuracy"), F.avg("macro_f1").alias("mean_macro_f1"), F.stddev_pop("macro_f1").alias("std_macro_f1"))
+        own = own.select(F.lit(i).alias("candidate"), F.lit(json.dumps(chosen, sort_keys=True)).alias("params"), "*")
+        found = own if found is None else found.unionByName(own)
+    order = Window.orderBy(F.desc("mean_macro_f1"), "candidate")  # one row per parameter set
+    return found.withColumn("rank", F.row_number().over(order))
 
 
 # --------------------------------------------------------------------------- text

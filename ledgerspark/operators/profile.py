@@ -1,9 +1,10 @@
 """Profiling (A1-A25, O2, O5-O7): summaries, frequency and contingency tables,
 describe, histograms, quantiles, calendar coverage, top-k and sampling.
 
-All aggregates are mergeable (partial aggregation before the shuffle). Exact
-quantiles use a distributed sort (``ranking.exact_quantiles``) instead of an
-in-memory percentile buffer, so no single task has to hold a whole column.
+All aggregates are mergeable (partial aggregation before the shuffle). Distinct days are
+counted in bitmaps over day numbers (4 KB for 89 years), which merge like sums, so rows are
+not expanded once per distinct column. Exact quantiles are selected by narrowing
+(``ranking.quantiles_by_column``), so no task holds or sorts a whole column.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 from ledgerspark.operators.ranking import exact_quantiles, quantiles_by_column
 
 
+MAX_PIVOT = 1000
+
+
 def _cnt() -> Column:
     return F.count(F.lit(1))
 
@@ -21,32 +25,45 @@ def _cnt() -> Column:
 # --------------------------------------------------------------------------- A1-A9
 
 
-def global_summary(df: DataFrame, key: str, date: str, first_name: str = "earliest",
-                   last_name: str = "latest") -> DataFrame:
-    """A1 + A6: rows, distinct keys, distinct dates, first / last date and span in days."""
-    return df.agg(_cnt().alias("num_rows"),
-                  F.count_distinct(key).alias("num_currencies"),
-                  F.count_distinct(date).alias("num_dates"),
-                  F.min(date).alias(first_name), F.max(date).alias(last_name),
-                  F.date_diff(F.max(date), F.min(date)).alias("range_days"))
+def _per_bitmap(df: DataFrame, keys: list[str], date: str, *more: Column) -> DataFrame:
+    """``keys``, rows, first and last day and the days' bitmap, one row per key and bitmap of 32,768 days."""
+    day = F.unix_date(date)
+    return df.groupBy(*keys, F.bitmap_bucket_number(day).alias("_bitmap")).agg(
+        _cnt().alias("rows"), F.min(date).alias("first_day"), F.max(date).alias("last_day"),
+        F.bitmap_construct_agg(F.bitmap_bit_position(day)).alias("_days"), *more)
+
+
+def _span() -> list[Column]:
+    return [F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"),
+            F.date_diff(F.max("last_day"), F.min("first_day")).alias("span_days")]
+
+
+def table_coverage(df: DataFrame, key: str, date: str) -> DataFrame:
+    """A1 + A6: rows, distinct keys and days, first and last day, the days between them, and the mean rows of a day."""
+    per = _per_bitmap(df, [key], date)
+    days = per.groupBy("_bitmap").agg(F.bitmap_or_agg("_days").alias("_days")).agg(F.sum(F.bitmap_count("_days")).alias("days"))
+    return per.agg(F.sum("rows").alias("rows"), F.count_distinct(key).alias("keys"), *_span()).crossJoin(days).withColumn(
+        "rows_per_day", F.try_divide(F.col("rows"), F.col("days")))  # one row each
 
 
 def coverage_by_key(df: DataFrame, key: str, date: str) -> DataFrame:
     """A2: per key ``rows, days`` (distinct dates), first and last day and the days between them."""
-    return df.groupBy(key).agg(_cnt().alias("rows"), F.count_distinct(date).alias("days"),
-                               F.min(date).alias("first_day"), F.max(date).alias("last_day"),
-                               F.date_diff(F.max(date), F.min(date)).alias("span_days"))
+    return _per_bitmap(df, [key], date).groupBy(key).agg(F.sum("rows").alias("rows"), F.sum(F.bitmap_count("_days")).alias("days"), *_span())
 
 
 def value_stats_by_key(df: DataFrame, key: str, date: str, value: str) -> DataFrame:
     """A3 + A4: ``coverage_by_key`` with least, greatest and mean value, population deviation and the
     deviation relative to the mean."""
-    mean, dev = F.avg(value), F.stddev_pop(value)
-    return df.groupBy(key).agg(_cnt().alias("rows"), F.count_distinct(date).alias("days"),
-                               F.min(date).alias("first_day"), F.max(date).alias("last_day"),
-                               F.date_diff(F.max(date), F.min(date)).alias("span_days"),
-                               F.min(value).alias("least"), F.max(value).alias("greatest"), mean.alias("mean"),
-                               dev.alias("deviation"), F.try_divide(dev, mean).alias("relative_deviation"))
+    per = _per_bitmap(df, [key], date, F.count(value).alias("_n"), F.avg(value).alias("_m"), F.var_pop(value).alias("_v"),
+                      F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    merged = per.groupBy(key).agg(
+        F.sum("rows").alias("rows"), F.sum(F.bitmap_count("_days")).alias("days"), *_span(), F.min("_lo").alias("least"), F.max("_hi").alias("greatest"),
+        F.try_divide(F.sum(F.col("_n") * F.col("_m")), F.sum("_n")).alias("mean"),
+        F.collect_list(F.struct("_n", "_m", "_v")).alias("_parts"))  # one a bitmap
+    total = F.aggregate("_parts", F.lit(0.0), lambda at, p: at + F.coalesce(p["_n"] * (p["_v"] + (p["_m"] - F.col("mean")) ** 2), F.lit(0.0)))
+    n = F.aggregate("_parts", F.lit(0).cast("long"), lambda at, p: at + p["_n"])
+    return merged.withColumn("deviation", F.when(n > 0, F.sqrt(total / n))).withColumn(
+        "relative_deviation", F.try_divide("deviation", "mean")).drop("_parts")
 
 
 def repeated_day_report(df: DataFrame, key: str, date: str, value: str) -> DataFrame:
@@ -57,7 +74,7 @@ def repeated_day_report(df: DataFrame, key: str, date: str, value: str) -> DataF
 
 def grid_shape(grid: DataFrame, key: str, date: str) -> DataFrame:
     """Rows against distinct keys times distinct dates; ``missing`` is 0 for a complete grid."""
-    g = grid.agg(F.count_distinct(key).alias("keys"), F.count_distinct(date).alias("days"), _cnt().alias("rows"))
+    g = table_coverage(grid, key, date).select("keys", "days", "rows")
     return g.withColumn("missing", F.col("keys") * F.col("days") - F.col("rows"))
 
 
@@ -83,13 +100,15 @@ def crosstab_pivot(df: DataFrame, row: str, col: str, values: list | None = None
                    null_name: str = "null", other_name: str = "other") -> DataFrame:
     """Row x col counts as a wide table; zero cells shown as 0.
 
-    Without ``values`` the columns are found by a distinct aggregate (the table's width, so
-    bounded by what a table can hold). NULL has a column of its own, and with given
+    Without ``values`` the columns are found by a distinct aggregate; more than ``MAX_PIVOT`` of them
+    are an error (use ``crosstab_margins``, which is long). NULL has a column of its own, and with given
     ``values`` everything else is counted under ``other_name``: no row is lost.
     """
     if values is None:
         found = df.select(F.col(col).alias("v")).where("v IS NOT NULL").distinct()
-        values = sorted(r["v"] for r in found.collect())
+        values = sorted(r["v"] for r in found.limit(MAX_PIVOT + 1).collect())
+        if len(values) > MAX_PIVOT:
+            raise ValueError(f"{col} has more than {MAX_PIVOT} values: too many for columns")
         rest = []
     else:
         rest = [F.count_if(F.col(col).isNotNull() & ~F.col(col).isin(list(values))).alias(f"{prefix}{other_name}")]
@@ -203,11 +222,12 @@ def tail(df: DataFrame, order: list[Column | str], n: int = 5) -> DataFrame:
 def sample_rows(df: DataFrame, n: int, seed: int = 42, key_cols: list[str] | None = None) -> DataFrame:
     """Simple random sample of exactly ``n`` rows, reproducible for a seed.
 
-    Rows are ranked by a seeded hash of ``key_cols`` (all columns by default), so
-    the pick does not depend on partitioning and survives recomputation.
+    Rows are ranked by MD5 of the seed and ``key_cols`` as text (all columns by default), so
+    the pick does not depend on partitioning, survives recomputation and is the same in any engine.
     """
     cols = key_cols or df.columns
-    return df.orderBy(F.xxhash64(F.lit(seed), *cols), *cols).limit(n)
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in cols])
+    return df.orderBy(F.md5(text), *cols, *[c for c in df.columns if c not in cols]).limit(n)
 
 
 def shape(df: DataFrame) -> DataFrame:

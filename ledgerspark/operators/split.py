@@ -29,7 +29,7 @@ def _range_shift(df: DataFrame) -> int:
     return 64 - min(40, max(1, math.ceil(math.log2(max(2, df.count() / RANGE_ROWS)))))
 
 
-def _class_rank(df: DataFrame, label: str, key_cols: list[str], seed: int, out: str = "_crank") -> DataFrame:
+def class_rank(df: DataFrame, label: str, key_cols: list[str], seed: int, out: str = "_crank") -> DataFrame:
     """Rank inside each class by a seeded hash of ``key_cols`` (ties: the key columns), by (class, hash
     range) plus the sizes of the class's earlier ranges. Adds the class size as ``_n``."""
     keys = [F.col(f"`{c}`") for c in key_cols]
@@ -92,5 +92,5 @@ def stratified_folds(df: DataFrame, label: str, k: int = 15, seed: int = 42, key
     """Fold id in ``[0, k)``, dealt round-robin inside each class in seeded hash order,
     so every fold holds ``n_class // k`` or one more rows of each class."""
     keys = key_cols or [c for c in df.columns if c != label]
-    r = _class_rank(df, label, keys, seed)
+    r = class_rank(df, label, keys, seed)
     return r.withColumn(out, ((F.col("_crank") - 1) % k).cast("int")).drop("_crank", "_n")

@@ -10,9 +10,14 @@ next bucket is copied into that bucket as well, so every target still sees its
 whole look-back and a hot key is spread over ``span / bucket_days`` tasks. The
 copies are observation rows only and are never emitted.
 
-Row-bounded fills (the sparse PostgreSQL variant) first give every row its exact
-rank inside its key (per-bucket counts + prefix sums over the small count table)
-and then use the same copy trick on blocks of ranks.
+Probes are first reduced to distinct (key, day), combined before the shuffle, filled once
+and joined back. With one reading and one probe per (key, day) a window holds at most
+``2 x bucket_days + max_days`` rows, however many probes a key or a day has.
+
+Row-bounded fills (the sparse PostgreSQL variant) first give every row its exact rank
+inside its key. Its range of days is equi-depth: counts per (key, day) are summed up, and a
+range ends once it holds ``RANGE_ROWS`` rows, so a window orders that many and one day's.
+Blocks of ranks then use the same copy trick.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKET_DAYS = 64
+RANGE_ROWS = 100_000
 
 
 def _day(c: str | Column) -> Column:
@@ -128,6 +134,16 @@ def _carried(u: DataFrame, w, marker: Column, seen: Column, tcols: list[str], ou
     return x.select(*tcols, got["v"].alias(out_value), F.date_from_unix_date(got["d"]).alias(out_source))
 
 
+def _fill_probes(obs: DataFrame, probes: DataFrame, key: str, date: str, value: str, max_days: int | None,
+                 bucket_days: int | None, out_value: str, out_source: str) -> DataFrame:
+    """``_bounded_last`` for probes that repeat: every distinct (key, day) is filled once."""
+    once = probes.select(F.col(key).alias("_fk"), F.col(date).alias("_fd")).distinct()
+    o = obs.select(F.col(key).alias("_fk"), F.col(date).alias("_fd"), F.col(value))
+    filled = _bounded_last(o, once, "_fk", "_fd", value, max_days, bucket_days, "_fv", "_fs")
+    j = probes.join(filled, F.col(key).eqNullSafe(F.col("_fk")) & F.col(date).eqNullSafe(F.col("_fd")), "left")
+    return j.select(*probes.columns, F.col("_fv").alias(out_value), F.col("_fs").alias(out_source))
+
+
 def fill_forward_grid(daily: DataFrame, key: str = "currency", date: str = "exchange_date",
                       value: str = "exchange_rate", max_days: int = 7, default: float | None = -1.0,
                       bucket_days: int | None = None) -> DataFrame:
@@ -160,8 +176,7 @@ def asof_join(probes: DataFrame, obs: DataFrame, probe_key: str, probe_date: str
     never with keys x days.
     """
     o = obs.select(F.col(obs_key).alias(probe_key), F.col(obs_date).alias(probe_date), F.col(value))
-    return _bounded_last(o, probes, probe_key, probe_date, value, max_days, bucket_days,
-                         out_value, out_source)
+    return _fill_probes(o, probes, probe_key, probe_date, value, max_days, bucket_days, out_value, out_source)
 
 
 def augment_transactions(transactions: DataFrame, daily: DataFrame, strategy: str = "asof",
@@ -202,28 +217,27 @@ def augment_transactions(transactions: DataFrame, daily: DataFrame, strategy: st
 # --------------------------------------------------------------------------- W5 rows bound
 
 
-def rank_within_key(df: DataFrame, key: str, date: str, order_cols: list[str] | None = None,
-                    out: str = "_rank", bucket_days: int = DEFAULT_BUCKET_DAYS) -> DataFrame:
+def rank_within_key(df: DataFrame, key: str, date: str, order_cols: list[str] | None = None, out: str = "_rank",
+                    range_rows: int | None = None) -> DataFrame:
     """Exact 1-based rank of each row inside its key by (date, *order_cols).
 
-    Equivalent to ``row_number() OVER (PARTITION BY key ORDER BY date, ...)`` but the
-    row-level window runs per (key, day bucket); a prefix sum over the small
-    (key, bucket) count table supplies each bucket's offset.
+    Equivalent to ``row_number() OVER (PARTITION BY key ORDER BY date, ...)``, but the row-level window
+    runs per (key, range of days). A range ends with the day that brings it to ``range_rows`` rows; the
+    counts per (key, day), at most one row per day of the calendar, give the ranges and their offsets.
     """
-    order_cols = order_cols or []
-    x = df.withColumn("_rb", F.floor(_day(date) / bucket_days))  # NULL dates share the first bucket of their key
-    counts = x.groupBy(F.col(key).alias("_k"), F.col("_rb").alias("_cb")).agg(F.count(F.lit(1)).alias("_n"))
-    wk = Window.partitionBy("_k").orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select("_k", "_cb", F.coalesce(F.sum("_n").over(wk), F.lit(0)).alias("_off"))
-    wr = Window.partitionBy(key, "_rb").orderBy(date, *order_cols)
-    x = x.withColumn("_i", F.row_number().over(wr))
-    return x.join(offs, x[key].eqNullSafe(offs["_k"]) & x["_rb"].eqNullSafe(offs["_cb"])).withColumn(
-        out, F.col("_off") + F.col("_i")).drop("_rb", "_off", "_i", "_k", "_cb")
+    order_cols, most = order_cols or [], range_rows or RANGE_ROWS
+    counts = df.groupBy(F.col(key).alias("_k"), F.col(date).alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    wk = Window.partitionBy("_k").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)  # NULL dates first
+    days = counts.withColumn("_before", F.coalesce(F.sum("_n").over(wk), F.lit(0))).withColumn("_range", F.floor(F.col("_before") / most))
+    days = days.withColumn("_off", F.min("_before").over(Window.partitionBy("_k", "_range"))).drop("_n", "_before")
+    x = df.join(days, F.col(key).eqNullSafe(F.col("_k")) & F.col(date).eqNullSafe(F.col("_d")))
+    i = F.row_number().over(Window.partitionBy(key, "_range").orderBy(date, *order_cols))
+    return x.withColumn(out, F.col("_off") + i).drop("_k", "_d", "_range", "_off")
 
 
 def fill_forward_rows(df: DataFrame, key: str, date: str, value: str, n: int = 7,
                       out_value: str = "the_rate", order_cols: list[str] | None = None,
-                      block_rows: int = 4096, bucket_days: int = DEFAULT_BUCKET_DAYS) -> DataFrame:
+                      block_rows: int = 4096, range_rows: int | None = None) -> DataFrame:
     """``COALESCE(v, LAG(v,1), ..., LAG(v,n)) OVER (PARTITION BY key ORDER BY date)``.
 
     The bound counts existing rows, not days; no default; rows with a NULL key or date take
@@ -235,7 +249,7 @@ def fill_forward_rows(df: DataFrame, key: str, date: str, value: str, n: int = 7
     ahead = (F.col("_rank") - 1) % R >= R - n
     here = F.struct(blk.alias("b"), F.lit(True).alias("main"))
     nxt = F.struct((blk + 1).alias("b"), F.lit(False).alias("main"))
-    u = rank_within_key(df, key, date, order_cols, "_rank", bucket_days).withColumn(
+    u = rank_within_key(df, key, date, order_cols, "_rank", range_rows).withColumn(
         "_at", F.explode(F.when(ahead, F.array(here, nxt)).otherwise(F.array(here))))
     w = Window.partitionBy(key, F.col("_at.b")).orderBy("_rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = F.last(F.when(F.col(value).isNotNull(), F.struct(F.col("_rank").alias("r"), F.col(value).alias("v"))), ignorenulls=True).over(w)
@@ -250,13 +264,13 @@ def fill_forward_rows(df: DataFrame, key: str, date: str, value: str, n: int = 7
 def _prev_next(obs: DataFrame, targets: DataFrame, key: str, date: str, value: str,
                max_days: int | None, bucket_days: int | None) -> DataFrame:
     """Previous and next non-null reading (value and day) of each target, within ``max_days`` if given."""
-    prev = _bounded_last(obs, targets, key, date, value, max_days, bucket_days, "_pv", "_pd")
+    prev = _fill_probes(obs, targets, key, date, value, max_days, bucket_days, "_pv", "_pd")
     # the next reading is the previous one on the mirrored time axis
     mirror = lambda c: F.date_from_unix_date(-_day(c))
     o2 = obs.select(F.col(key), mirror(date).alias(date), F.col(value))
     t_cols = prev.columns
     t2 = prev.withColumn("_orig", F.col(date)).withColumn(date, mirror(date))
-    nxt = _bounded_last(o2, t2, key, date, value, max_days, bucket_days, "_nv", "_nd")
+    nxt = _fill_probes(o2, t2, key, date, value, max_days, bucket_days, "_nv", "_nd")
     return (nxt.withColumn(date, F.col("_orig"))
                .withColumn("_nd", F.when(F.col("_nd").isNotNull(), mirror("_nd")))
                .select(*t_cols, "_nv", "_nd"))

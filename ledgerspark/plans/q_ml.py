@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerspark.functions.stopwords import ENGLISH
 from ledgerspark.operators import evaluate as ev
 from ledgerspark.operators import split
+from ledgerspark.operators.ml import ForestParams
 from ledgerspark.plans import trade_fixture as tf
 from ledgerspark.plans.catalog import register
 from ledgerspark.plans.oracle import with_fixtures
@@ -190,6 +191,11 @@ def _spec():
     return FeatureSpec(**SPEC)
 
 
+#: the reference's parameters; tests grow fewer trees through the same queries
+FOREST = ForestParams()
+FOLDS, SEARCHED = 15, 4
+
+
 def _clean_stored(spark, sf):
     """The cleaned table, written once to the shared folder: fits scan their input many times."""
     path = scratch_path(spark, "clean")
@@ -201,11 +207,12 @@ _TRAINED: dict = {}
 
 
 def _trained(spark, sf):
-    """Trained once per application and input; the queries reload the saved model and the stored parts."""
+    """Trained once per application and state of the input files; the queries reload the saved model and the stored parts."""
     from ledgerspark.plans import jobs
-    key = (spark.sparkContext.applicationId, sf)
+    from ledgerspark.sources.readers import table_state
+    key = (spark.sparkContext.applicationId, sf, table_state(spark, sf, "lineitem", "orders", "customer", "nation", "part"))
     if key not in _TRAINED:
-        _TRAINED[key] = jobs.train_and_validate(_clean_stored(spark, sf), _spec(), scratch_path(spark, "trained"), KEYS)
+        _TRAINED[key] = jobs.train_and_validate(_clean_stored(spark, sf), _spec(), scratch_path(spark, "trained"), KEYS, FOREST)
     return _TRAINED[key]
 
 
@@ -241,11 +248,53 @@ def q_validation_report(spark, sf):
     return _trained(spark, sf).validation
 
 
-@register("holdout_report", "G7 M9 M13 M14 M15 S11")
+@register("holdout_report", "G7 M9 M10 M12 M13 M14 M15 M16 M23 S11")
 def q_holdout_report(spark, sf):
     from ledgerspark.plans import jobs
     t = _trained(spark, sf)
-    return ev.classification_report(jobs.holdout_predictions(spark, t.model_path, t.parts_path, "flag"))
+    return jobs.holdout_evaluation(spark, t.model_path, t.parts_path, "flag").withColumn("value", F.round("value", 6))
+
+
+@register("review_list", "M23 G7")
+def q_review_list(spark, sf):
+    from ledgerspark.plans import jobs
+    t = _trained(spark, sf)
+    return jobs.review_list(spark, t.model_path, t.parts_path, "flag", KEYS)
+
+
+#: classes with the sizes that the nested split gives their holdout, validation and training parts
+_PARTS_SQL = """parts AS (
+  SELECT flag, n, t, CAST(ceil(0.2 * (n - t)) AS BIGINT) AS v FROM (
+    SELECT flag, count(*) AS n, CAST(ceil(0.2 * count(*)) AS BIGINT) AS t FROM clean GROUP BY flag))"""
+
+
+@register("model_round_trip", "S11 M8 G6", with_fixtures("WITH " + tf.CLEAN_SQL + "," + _PARTS_SQL + """
+SELECT flag AS label, t AS scored, CAST(0 AS BIGINT) AS different, CAST(0 AS BIGINT) AS without_score FROM parts""", "trades"))
+def q_model_round_trip(spark, sf):
+    """The holdout's rows per class, and those that the saved and reloaded model scores otherwise than the one in memory."""
+    from ledgerspark.operators import ml
+    from ledgerspark.plans import jobs
+    t = _trained(spark, sf)
+    saved = jobs.holdout_predictions(spark, t.model_path, t.parts_path, "flag")
+    kept = ml.predict(t.model, ml.for_scoring(spark.read.parquet(t.parts_path).where("part = 'test'")), "flag")
+    cols = [*KEYS, "label", "prediction", "p1"]
+    both = saved.select(*cols, F.lit(1).alias("side")).unionByName(kept.select(*cols, F.lit(-1).alias("side")))
+    net = both.groupBy(*cols).agg(F.sum("side").alias("net"), F.count_if(F.col("side") == 1).alias("scored"))
+    return net.groupBy("label").agg(F.sum("scored").alias("scored"), F.sum(F.abs("net")).alias("different"),
+                                    F.sum(F.when(F.col("p1").isNull(), F.col("scored")).otherwise(0)).alias("without_score"))
+
+
+@register("review_invariants", "M23", with_fixtures("WITH " + tf.CLEAN_SQL + "," + _PARTS_SQL + """
+SELECT sum(t) AS n, CAST(1 AS BIGINT) AS first_rank, sum(t) AS last_rank, sum(t) AS ranks, CAST(0 AS BIGINT) AS rising,
+       CAST(0 AS BIGINT) AS flagged_below_unflagged FROM parts""", "trades"))
+def q_review_invariants(spark, sf):
+    """Ranks are 1 .. n, scores never rise along them, and no flagged row has a lower score than one that is not flagged."""
+    r = q_review_list(spark, sf)
+    by_score = r.groupBy("score").agg(F.min("review_rank").alias("a"), F.max("review_rank").alias("z"), F.count(F.lit(1)).alias("n"))
+    return r.agg(F.count(F.lit(1)).alias("n"), F.min("review_rank").cast("long").alias("first_rank"), F.max("review_rank").cast("long").alias("last_rank"),
+                 F.count_distinct("review_rank").alias("ranks")).crossJoin(by_score.agg(
+        F.sum((F.col("z") - F.col("a") + 1 != F.col("n")).cast("long")).alias("rising"))).crossJoin(r.agg(F.coalesce((
+            F.min(F.when(F.col("review"), F.col("score"))) <= F.max(F.when(~F.col("review"), F.col("score")))).cast("long"), F.lit(0)).alias("flagged_below_unflagged")))
 
 
 @register("review_ranking", "M23", with_fixtures("""
@@ -279,18 +328,84 @@ def q_weighted_alternatives(spark, sf):
     return reduce(lambda a, b: a.unionByName(b), outs)
 
 
+def _training_part(spark, sf):
+    """The training part of the nested split, as the reference validates and searches on it."""
+    clean = _clean_stored(spark, sf)
+    path = scratch_path(spark, "training")
+    split.nested_split(clean, "flag", 0.2, 0.2, seed=42, key_cols=KEYS).where("part = 'train'").drop("part").write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @register("cross_validation", "M17 M12")
 def q_cross_validation(spark, sf):
+    """Scores per fold, and their summary in the row without a fold."""
     from ledgerspark.operators import ml
-    return ml.cross_validate(_clean_stored(spark, sf), _spec(), ml.ForestParams(), k=15, key_cols=KEYS)
+    path = scratch_path(spark, "cv")
+    ml.cross_validate(_training_part(spark, sf), _spec(), FOREST, k=FOLDS, key_cols=KEYS).write.parquet(path)
+    scores = spark.read.parquet(path)
+    return scores.withColumn("macro_f1_2std", F.lit(None).cast("double")).unionByName(ml.cv_summary(scores).select(
+        F.lit(None).cast("int").alias("fold"), F.col("mean_accuracy").alias("accuracy"), F.col("mean_macro_f1").alias("macro_f1"), "macro_f1_2std"))
+
+
+@register("leave_one_out_scaling", "M17 M5", with_fixtures("WITH " + tf.CLEAN_SQL + f""",
+k AS (SELECT *, l_orderkey % {FOLDS} AS fold FROM clean),
+f AS (SELECT CAST(unnest(range({FOLDS})) AS BIGINT) AS fold)
+SELECT f.fold, """ + ", ".join(f"round(avg({c}), 5) AS {c}_mean, round(stddev_pop({c}), 5) AS {c}_dev" for c in _CONT) + """
+FROM f JOIN k ON k.fold <> f.fold GROUP BY f.fold""", "trades"))
+def q_leave_one_out_scaling(spark, sf):
+    """The constants of every fold's scaler, read back from the stages: x scales to 0 at the mean and to 1 a deviation above."""
+    from functools import reduce
+
+    from ledgerspark.operators import ml
+    folded = _clean_stored(spark, sf).withColumn("fold", F.col("l_orderkey") % FOLDS)
+    probe = spark.createDataFrame([tuple([0.0] * len(_CONT)), tuple([1.0] * len(_CONT))], ", ".join(f"{c} double" for c in _CONT))
+
+    def constants(fold: int, stage):
+        at = stage.transform(probe).agg(*[x for c in _CONT for x in (
+            F.max(F.when(F.col(c) == 0, F.col(f"{c}_scaled"))).alias(f"{c}_0"), F.max(F.when(F.col(c) == 1, F.col(f"{c}_scaled"))).alias(f"{c}_1"))])
+        step = {c: F.col(f"{c}_1") - F.col(f"{c}_0") for c in _CONT}
+        return at.select(F.lit(fold).cast("long").alias("fold"), *[x for c in _CONT for x in (
+            F.round(-F.col(f"{c}_0") / step[c], 5).alias(f"{c}_mean"), F.round(1 / step[c], 5).alias(f"{c}_dev"))])
+
+    return reduce(lambda a, b: a.unionByName(b), [constants(f, s) for f, s in ml.leave_one_out_scalers(folded, list(_CONT)).items()])
 
 
 @register("parameter_search", "M18")
 def q_parameter_search(spark, sf):
     from ledgerspark.operators import ml
-    clean = _clean_stored(spark, sf)
-    grid = [{"numTrees": [200], "maxDepth": [30], "minInstancesPerNode": [m]} for m in (1, 3)]
-    return ml.parameter_search(clean, clean, _spec(), grid)
+    space = {"min_instances_per_node": [1, 2, 3, 5, 8], "impurity": ["entropy", "gini"], "max_depth": [10, 20, 30], "feature_subset": ["sqrt", "log2", "onethird"]}
+    return ml.parameter_search(_training_part(spark, sf), _spec(), space, n=SEARCHED, k=3, base=FOREST, key_cols=KEYS)
+
+
+_WEIGHT_SQL = """counts AS (SELECT flag, count(*) AS n FROM clean GROUP BY flag)"""
+
+
+@register("class_weight_totals", "M21", with_fixtures("WITH " + tf.CLEAN_SQL + "," + _WEIGHT_SQL + """
+SELECT flag, n, round((SELECT sum(n) FROM counts) / (2.0 * n), 6) AS weight, round((SELECT sum(n) FROM counts) / 2.0, 3) AS total FROM counts""", "trades"))
+def q_class_weight_totals(spark, sf):
+    """Balanced weights: every class weighs as much as any other."""
+    from ledgerspark.operators import ml
+    w = ml.class_weights(_clean_stored(spark, sf), "flag")
+    return w.groupBy("flag").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("weight"), 6).alias("weight"), F.round(F.sum("weight"), 3).alias("total"))
+
+
+@register("balanced_class_rows", "M21", with_fixtures("WITH " + tf.CLEAN_SQL + "," + _WEIGHT_SQL + """
+SELECT 'down' AS direction, flag, (SELECT min(n) FROM counts) AS n, (SELECT min(n) FROM counts) AS different_rows, CAST(1 AS BIGINT) AS most FROM counts
+UNION ALL SELECT 'up', flag, (SELECT max(n) FROM counts), n, CAST(ceil((SELECT max(n) FROM counts) / n) AS BIGINT) FROM counts""", "trades"))
+def q_balanced_class_rows(spark, sf):
+    """Exact resampling, down to the smallest class and up to the largest: rows, different rows and the most often one appears."""
+    from ledgerspark.operators import ml
+    # the fixture's keys repeat: a number tells the rows of the stored table apart
+    path = scratch_path(spark, "numbered")
+    _clean_stored(spark, sf).withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    clean = spark.read.parquet(path)
+
+    def sizes(direction: str, target: str):
+        rows = ml.balance_rows(clean, "flag", target, ["_row"]).groupBy("flag", "_row").agg(F.count(F.lit(1)).alias("n"))
+        return rows.groupBy("flag").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("different_rows"), F.max("n").alias("most")).withColumn(
+            "direction", F.lit(direction))
+
+    return sizes("down", "min").unionByName(sizes("up", "max"))
 
 
 @register("text_model", "M20 M7")

@@ -239,7 +239,11 @@ def q_tail_rows(spark, sf):
     return profile.tail(t, t.columns, 3)
 
 
-@register("sample_rows", "O7")
+_SAMPLE = ["l_orderkey", "l_linenumber", "client", "currency", "notional", "gbp", "flag"]
+
+
+@register("sample_rows", "O7", with_fixtures(f"""
+SELECT {", ".join(_SAMPLE)} FROM trades
+ORDER BY md5('7|' || l_orderkey || '|' || l_linenumber), {", ".join(c + " NULLS FIRST" for c in _SAMPLE)} LIMIT 15""", "trades"))
 def q_sample_rows(spark, sf):
-    # seeded hash order: a reproducible simple random sample (no SQL twin: hash differs per engine)
-    return profile.sample_rows(_t(spark, sf), 15, seed=7)
+    return profile.sample_rows(_t(spark, sf).select(*_SAMPLE), 15, seed=7, key_cols=["l_orderkey", "l_linenumber"])

@@ -32,9 +32,9 @@ def trades(spark: SparkSession, sf: str) -> DataFrame:
     return fx.trades(spark, sf)
 
 
-def clean(spark: SparkSession, sf: str) -> CleanResult:
+def clean(spark: SparkSession, sf: str, store=None) -> CleanResult:
     return clean_trades(trades(spark, sf), COLS, GROUP_MAP, TYPE_MAP, CURRENCY_MAP, THRESHOLDS,
-                        drop_extra=("d",))
+                        drop_extra=("d",), store=store)
 
 
 def values_sql(mapping: dict[str, str], name: str) -> str:

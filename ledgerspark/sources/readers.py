@@ -70,3 +70,11 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def table_state(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """What tells one state of some tables from another: their files, with size and time of writing."""
+    rows = []
+    for n in names:
+        rows += table(spark, sf_dir, n).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect()
+    return tuple(sorted(map(tuple, rows)))

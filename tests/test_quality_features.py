@@ -112,3 +112,33 @@ def test_constant_columns_and_fd(spark):
     df = spark.createDataFrame([("a", "x", 1), ("a", "y", 1), ("b", "y", None)], "n string, g string, c int")
     assert {r.column for r in quality.constant_columns(df).collect()} == {"c"}
     assert [r.n for r in quality.fd_violations(df, "n", "g").collect()] == ["a"]
+
+
+def test_bitmap_coverage_equals_distinct_counts(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from ledgerspark.operators import profile
+    df = spark.range(4000).selectExpr("CASE WHEN id % 9 = 0 THEN NULL ELSE id % 4 END AS k", "CASE WHEN id % 13 = 0 THEN NULL ELSE date_add(DATE'1890-01-01', CAST(id * 37 % 60000 AS INT)) END AS d",
+                                      "CASE WHEN id % 5 = 0 THEN NULL ELSE CAST(id * 1.5 AS DOUBLE) END AS v")
+    want = {r.k: r for r in df.groupBy("k").agg(F.count("*").alias("rows"), F.count_distinct("d").alias("days"), F.min("d").alias("a"), F.max("d").alias("z"),
+                                               F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.min("v").alias("lo")).collect()}
+    for r in profile.value_stats_by_key(df, "k", "d", "v").collect():
+        w = want[r.k]
+        assert (r.rows, r.days, r.first_day, r.last_day, r.least) == (w.rows, w.days, w.a, w.z, w.lo) and w.a < dt.date(1970, 1, 1) < w.z
+        assert abs(r["mean"] - w.m) < 1e-9 * w.m and abs(r.deviation - w.s) < 1e-9 * w.s
+    t = profile.table_coverage(df, "k", "d").first()
+    every = df.agg(F.count_distinct("k").alias("k"), F.count_distinct("d").alias("d")).first()
+    assert (t.rows, t["keys"], t.days) == (4000, every.k, every.d)
+    assert profile.table_coverage(df.limit(0), "k", "d").first().rows in (None, 0)
+    plan = profile.value_stats_by_key(df, "k", "d", "v")._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+
+
+def test_pivot_refuses_too_many_columns(spark):
+    import pytest
+
+    from ledgerspark.operators import profile
+    with pytest.raises(ValueError):
+        profile.crosstab_pivot(spark.range(2000).selectExpr("id % 3 AS a", "id AS b"), "a", "b")

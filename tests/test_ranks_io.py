@@ -77,7 +77,7 @@ def _rows(spark):
 def test_row_fill_keeps_null_keys_and_dates(spark):
     rows, df = _rows(spark)
     for block in (8, 4096):
-        got = {(r.k, r.d): r.the_rate for r in ts.fill_forward_rows(df, "k", "d", "v", n=3, block_rows=block, bucket_days=16).collect()}
+        got = {(r.k, r.d): r.the_rate for r in ts.fill_forward_rows(df, "k", "d", "v", n=3, block_rows=block, range_rows=16).collect()}
         assert len(got) == len(rows)
         for key in ("a", "b", None):
             own = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or dt.date.min))
@@ -153,7 +153,109 @@ def test_saved_model_scores_the_holdout(spark):
     t = jobs.train_and_validate(df, spec, scratch_path(spark, "model"), ["id"], ml.ForestParams(num_trees=5))
     pred = jobs.holdout_predictions(spark, t.model_path, t.parts_path, "y")
     assert pred.count() == 80 and pred.where("label <> prediction").count() == 0
-    cv = ml.cross_validate(df, spec, ml.ForestParams(num_trees=3), k=3, key_cols=["id"]).collect()
-    assert sorted(r.fold for r in cv) == [0, 1, 2] and all(r.accuracy == 1 for r in cv)
+    cv = ml.cross_validate(df, spec, ml.ForestParams(num_trees=3), k=3, key_cols=["id"])
+    assert sorted(r.fold for r in cv.collect()) == [0, 1, 2] and all(r.accuracy == 1 and r.macro_f1 == 1 for r in cv.collect())
+    assert tuple(ml.cv_summary(cv).first()) == (1.0, 1.0, 0.0)
+    found = ml.parameter_search(df, spec, {"min_instances_per_node": [1, 200], "max_depth": [2, 5]}, n=3, k=2, base=ml.ForestParams(num_trees=3), key_cols=["id"]).collect()
+    assert sorted(r["rank"] for r in found) == [1, 2, 3] and len({r.params for r in found}) == 3
+    assert [r.mean_macro_f1 for r in sorted(found, key=lambda r: r["rank"])] == sorted((r.mean_macro_f1 for r in found), reverse=True)
+    facts = jobs.holdout_evaluation(spark, t.model_path, t.parts_path, "y").collect()
+    got = {(r.section, r.item, r.measure): r.value for r in facts}
+    assert got["metrics", "holdout", "recall"] == 1 and got["matrix", "1 as 1", "n"] + got["matrix", "0 as 0", "n"] == 80
+    assert {r.section for r in facts} == {"matrix", "metrics", "report", "pr_curve", "review"} and got["review", "holdout", "flagged"] >= 0.9 * got["report", "1", "support"]
+    listed = jobs.review_list(spark, t.model_path, t.parts_path, "y", ["id"]).collect()
+    assert sorted(r.review_rank for r in listed) == list(range(1, 81))
     with pytest.raises(Exception):  # a level that the fit has not seen
         jobs.ml.PipelineModel.load(t.model_path).transform(df.withColumn("cat", F.lit("new"))).collect()
+
+
+def test_sampled_parameters_are_different_and_reproducible():
+    from ledgerspark.operators.ml import sample_parameters
+    space = {"a": [1, 2, 3], "b": ["x", "y"]}
+    every = sample_parameters(space, 10)
+    assert len(every) == 6 and len({tuple(sorted(p.items())) for p in every}) == 6
+    assert sample_parameters(space, 4, seed=1) == sample_parameters(space, 4, seed=1) != sample_parameters(space, 4, seed=2)
+    mixed = sample_parameters({"a": [1, 2], "c": (0.0, 1.0), "d": (3, 9)}, 20)
+    assert len(mixed) == 20 and all(0 <= p["c"] <= 1 and 3 <= p["d"] <= 9 for p in mixed)
+
+
+def test_out_of_fold_scalers_leave_their_fold_out(spark):
+    import numpy as np
+
+    from ledgerspark.operators import ml
+    df = spark.range(300).selectExpr("CAST(id % 4 AS INT) AS fold", "CASE WHEN id % 7 = 0 THEN NULL ELSE 1e6 + id * id END AS x", "5.0 AS same")
+    rows = df.collect()
+    for f, stage in ml.leave_one_out_scalers(df, ["x", "same"]).items():
+        x = np.array([r.x for r in rows if r.fold != f and r.x is not None])
+        got = stage.transform(spark.createDataFrame([(float(x.mean()), 5.0), (float(x.mean() + x.std()), 5.0)], "x double, same double")).collect()
+        assert [r.x_scaled for r in got] == pytest.approx([0, 1], abs=1e-6) and got[0].same_scaled == 0
+
+
+def test_fold_scores_against_the_report(spark):
+    from ledgerspark.operators import ml
+    p = spark.range(900).selectExpr("CAST(id % 3 AS INT) AS fold", "CAST(id % 5 = 0 AS INT) AS label", "CAST(id % 7 = 0 AS INT) AS prediction")
+    got = {r.fold: r for r in ml.fold_scores(p).collect()}
+    for f in range(3):
+        rep = {r.row: r for r in ev.classification_report(p.where(f"fold = {f}")).collect()}
+        assert got[f].accuracy == pytest.approx(rep["accuracy"].f1) and got[f].macro_f1 == pytest.approx(rep["macro avg"].f1)
+
+
+def test_weighted_measures_equal_rows(spark):
+    rows = spark.range(3000).selectExpr("CAST(id % 5 = 0 AS INT) AS label", "CAST(id % 4 = 0 AS INT) AS prediction", "CAST((id % 13) / 13.0 AS DOUBLE) AS score")
+    cells = ev.scored_cells(rows)
+    assert cells.count() < 60
+    for f in (ev.confusion_matrix, ev.confusion_share, ev.binary_metrics, ev.classification_report):
+        assert sorted(map(str, f(rows).collect())) == sorted(map(str, f(cells, weight="n").collect()))
+    a, b = (sorted((round(r.threshold, 6), r.tp, r.fp, round(r.precision, 9), round(r.recall, 9)) for r in c.collect()) for c in (ev.pr_curve(rows), ev.pr_curve(cells, weight="n")))
+    assert a == b and ev.recall_threshold(rows, 0.5) == pytest.approx(ev.recall_threshold(cells, 0.5, weight="n"), abs=1e-6)
+
+
+def test_two_levels_of_cuts_bound_a_bucket(spark, wide, monkeypatch):
+    monkeypatch.setattr(ranking, "COARSE", 16)
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 100)
+    b = ranking.range_bucket(wide, ["v", "u"], 4)
+    sizes = [r["count"] for r in b.groupBy("_rb").count().collect()]
+    assert sum(sizes) == 20_000 and len(sizes) > 100 and max(sizes) <= 500
+    test_ranks_are_one_to_n_in_order(spark, wide)
+    rows = sorted((x.v, x.u, x._rb) for x in b.select("v", "u", "_rb").collect())
+    assert [r[2] for r in rows] == sorted(r[2] for r in rows)
+    null = spark.range(3000).selectExpr("CASE WHEN id % 2 = 0 THEN NULL ELSE id END AS a", "id AS b")
+    got = sorted((r.r, r.a is not None, r.a or 0, r.b) for r in ranking.global_row_number(null, ["a", "b"], "r").collect())
+    assert [g[0] for g in got] == list(range(1, 3001)) and [g[1:] for g in got] == sorted(g[1:] for g in got)
+
+
+@pytest.mark.parametrize("most", [5, 100_000])
+def test_quantiles_by_narrowing(spark, monkeypatch, most):
+    import numpy as np
+    monkeypatch.setattr(ranking, "BRACKET_ROWS", most)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=30_000), np.full(9000, 0.25), rng.pareto(0.5, 3000)])
+    df = spark.createDataFrame([(float(v), float(i % 3), None if i % 2 else float(v)) for i, v in enumerate(x)], "x double, ties double, half double").repartition(7)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.77, 0.99, 0.9999, 1.0]
+    got = {r["column"]: r for r in ranking.quantiles_by_column(df, ["x", "ties", "half"], probs, [f"q{i}" for i in range(8)]).collect()}
+    for c, v in (("x", x), ("ties", np.arange(len(x)) % 3), ("half", x[::2])):
+        assert [got[c][f"q{i}"] for i in range(8)] == pytest.approx(np.quantile(v, probs).tolist(), rel=1e-12, abs=1e-12), c
+
+
+def test_balanced_rows_are_exact(spark):
+    from ledgerspark.operators import ml
+    df = spark.range(1000).selectExpr("id", "CASE WHEN id % 10 = 0 THEN 'a' WHEN id % 10 < 4 THEN 'b' ELSE 'c' END AS y")
+    down = ml.balance_rows(df, "y", "min", ["id"]).collect()
+    assert {y: sum(r.y == y for r in down) for y in "abc"} == {"a": 100, "b": 100, "c": 100} and len({r.id for r in down}) == 300
+    up = ml.balance_rows(df, "y", "max", ["id"]).collect()
+    assert {y: sum(r.y == y for r in up) for y in "abc"} == {"a": 600, "b": 600, "c": 600}
+    times = {}
+    for r in up:
+        times[r.id] = times.get(r.id, 0) + 1
+    assert len(times) == 1000 and {times[r.id] for r in up if r.y == "a"} == {6} and sorted({times[r.id] for r in up if r.y == "b"}) == [2]
+
+
+def test_a_failed_replacement_leaves_the_old_table(spark):
+    df = spark.range(20).selectExpr("id", "id * 2 AS x")
+    t = writers.replace_table(df, "ls_staged", scratch_path(spark, "staged"))
+    with pytest.raises(Exception):
+        writers.replace_table(df.selectExpr("id", "CAST(raise_error('stop') AS BIGINT) AS x"), "ls_staged", scratch_path(spark, "staged"))
+    assert spark.table("ls_staged").agg(F.sum("x")).first()[0] == 380 and t.count() == 20
+    assert writers.replace_table(df.limit(3), "ls_staged").count() == 3
+    other = writers.replace_table(df.selectExpr("id", "'text' AS y"), "ls_staged")
+    assert other.columns == ["id", "y"] and spark.table("ls_staged").count() == 20

@@ -105,7 +105,7 @@ def test_rows_bound_matches_pandas_lag(spark):
     random.seed(5)
     data = [("K", day(d), (None if random.random() < 0.4 else float(d))) for d in sorted(random.sample(range(400), 150))]
     df = spark.createDataFrame(data, "k string, d date, v double")
-    got = {r.d: r.the_rate for r in ts.fill_forward_rows(df, "k", "d", "v", n=7, block_rows=8, bucket_days=16).collect()}
+    got = {r.d: r.the_rate for r in ts.fill_forward_rows(df, "k", "d", "v", n=7, block_rows=8, range_rows=16).collect()}
     pdf = pd.DataFrame(data, columns=["k", "d", "v"]).sort_values("d")
     vals = pdf["v"].tolist()
     for i, d in enumerate(pdf["d"]):
@@ -150,3 +150,51 @@ def test_plan_has_no_cartesian_or_python(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
         assert "EvalPython" not in plan
+
+
+def test_as_of_with_a_third_of_the_probes_in_one_key_and_day(spark):
+    """Every window of the fill is bounded, however many probes one key and one day hold."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from ledgerspark.operators import timeseries as ts
+    day = dt.date(2020, 1, 1)
+    obs = spark.range(400).selectExpr("'hot' AS k", "date_add(DATE'2020-01-01', CAST(id * 3 AS INT)) AS d", "CAST(id AS DOUBLE) AS v")
+    probes = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 50 = 1 THEN NULL ELSE concat('k', id % 40) END AS k",
+                                            "date_add(DATE'2020-01-01', CAST(CASE WHEN id % 6 = 0 THEN 100 ELSE id % 1300 END AS INT)) AS d", "id")
+    rows = {r.id: r for r in ts.asof_join(probes, obs, "k", "d", "k", "d", "v", max_days=1).collect()}
+    assert len(rows) == 30_000
+    for r in rows.values():
+        n = (r.d - day).days
+        want = n // 3 if r.k == "hot" and n % 3 <= 1 and n // 3 < 400 else None
+        assert r.the_rate == want
+    seen = {}
+    real = ts._bounded_last
+
+    def counted(o, targets, key, date, *rest):
+        both = o.select(F.col(key).alias("k"), F.col(date).alias("d")).unionByName(targets.select(F.col(key).alias("k"), F.col(date).alias("d")))
+        seen["most"] = both.groupBy("k", F.floor(F.unix_date("d") / ts.DEFAULT_BUCKET_DAYS)).count().agg(F.max("count")).first()[0]
+        return real(o, targets, key, date, *rest)
+
+    ts._bounded_last = counted
+    try:
+        ts.asof_join(probes, obs, "k", "d", "k", "d", "v", max_days=7).count()
+    finally:
+        ts._bounded_last = real
+    assert seen["most"] <= 2 * ts.DEFAULT_BUCKET_DAYS + 7
+
+
+def test_ranks_within_a_key_by_equal_ranges(spark):
+    from ledgerspark.operators import timeseries as ts
+    x = spark.range(6000).selectExpr("CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 7 = 0 THEN NULL ELSE 'b' END AS k",
+                                     "CASE WHEN id % 11 = 0 THEN NULL ELSE date_add(DATE'2021-01-01', CAST(id * 37 % 500 AS INT)) END AS d", "id")
+    for most in (50, 100_000):
+        got = ts.rank_within_key(x, "k", "d", ["id"], "r", range_rows=most).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r.k, []).append(r)
+        assert len(got) == 6000
+        for rows in by.values():
+            rows.sort(key=lambda r: (r.d is not None, r.d or 0, r.id) if r.d is not None else (False, 0, r.id))
+            assert [r.r for r in rows] == list(range(1, len(rows) + 1))
