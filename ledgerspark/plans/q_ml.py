@@ -19,6 +19,8 @@ from ledgerspark.plans.oracle import with_fixtures
 from ledgerspark.session import scratch_path
 
 KEYS = ["l_orderkey", "l_linenumber"]
+#: the fixture's keys repeat: the number of a stored row tells such rows apart, so that parts have their exact sizes
+ROW_KEYS = [*KEYS, "_row"]
 
 
 def _r(c, n=6):
@@ -199,7 +201,7 @@ FOLDS, SEARCHED = 15, 4
 def _clean_stored(spark, sf):
     """The cleaned table, written once to the shared folder: fits scan their input many times."""
     path = scratch_path(spark, "clean")
-    tf.clean(spark, sf).clean.write.parquet(path)
+    tf.clean(spark, sf).clean.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -212,7 +214,7 @@ def _trained(spark, sf):
     from ledgerspark.sources.readers import table_state
     key = (spark.sparkContext.applicationId, sf, table_state(spark, sf, "lineitem", "orders", "customer", "nation", "part"))
     if key not in _TRAINED:
-        _TRAINED[key] = jobs.train_and_validate(_clean_stored(spark, sf), _spec(), scratch_path(spark, "trained"), KEYS, FOREST)
+        _TRAINED[key] = jobs.train_and_validate(_clean_stored(spark, sf), _spec(), scratch_path(spark, "trained"), ROW_KEYS, FOREST)
     return _TRAINED[key]
 
 
@@ -259,7 +261,7 @@ def q_holdout_report(spark, sf):
 def q_review_list(spark, sf):
     from ledgerspark.plans import jobs
     t = _trained(spark, sf)
-    return jobs.review_list(spark, t.model_path, t.parts_path, "flag", KEYS)
+    return jobs.review_list(spark, t.model_path, t.parts_path, "flag", ROW_KEYS).drop("_row")
 
 
 #: classes with the sizes that the nested split gives their holdout, validation and training parts
@@ -316,7 +318,7 @@ def q_weighted_alternatives(spark, sf):
 
     from ledgerspark.operators import ml
     clean = _clean_stored(spark, sf)
-    parts = split.nested_split(clean, "flag", 0.2, 0.2, seed=42, key_cols=KEYS)
+    parts = split.nested_split(clean, "flag", 0.2, 0.2, seed=42, key_cols=ROW_KEYS)
     train = ml.class_weights(parts.where(F.col("part") == "train"), "flag")
     valid = parts.where(F.col("part") == "valid")
     outs = []
@@ -332,7 +334,7 @@ def _training_part(spark, sf):
     """The training part of the nested split, as the reference validates and searches on it."""
     clean = _clean_stored(spark, sf)
     path = scratch_path(spark, "training")
-    split.nested_split(clean, "flag", 0.2, 0.2, seed=42, key_cols=KEYS).where("part = 'train'").drop("part").write.parquet(path)
+    split.nested_split(clean, "flag", 0.2, 0.2, seed=42, key_cols=ROW_KEYS).where("part = 'train'").drop("part").write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -341,7 +343,7 @@ def q_cross_validation(spark, sf):
     """Scores per fold, and their summary in the row without a fold."""
     from ledgerspark.operators import ml
     path = scratch_path(spark, "cv")
-    ml.cross_validate(_training_part(spark, sf), _spec(), FOREST, k=FOLDS, key_cols=KEYS).write.parquet(path)
+    ml.cross_validate(_training_part(spark, sf), _spec(), FOREST, k=FOLDS, key_cols=ROW_KEYS).write.parquet(path)
     scores = spark.read.parquet(path)
     return scores.withColumn("macro_f1_2std", F.lit(None).cast("double")).unionByName(ml.cv_summary(scores).select(
         F.lit(None).cast("int").alias("fold"), F.col("mean_accuracy").alias("accuracy"), F.col("mean_macro_f1").alias("macro_f1"), "macro_f1_2std"))
@@ -374,7 +376,7 @@ def q_leave_one_out_scaling(spark, sf):
 def q_parameter_search(spark, sf):
     from ledgerspark.operators import ml
     space = {"min_instances_per_node": [1, 2, 3, 5, 8], "impurity": ["entropy", "gini"], "max_depth": [10, 20, 30], "feature_subset": ["sqrt", "log2", "onethird"]}
-    return ml.parameter_search(_training_part(spark, sf), _spec(), space, n=SEARCHED, k=3, base=FOREST, key_cols=KEYS)
+    return ml.parameter_search(_training_part(spark, sf), _spec(), space, n=SEARCHED, k=3, base=FOREST, key_cols=ROW_KEYS)
 
 
 _WEIGHT_SQL = """counts AS (SELECT flag, count(*) AS n FROM clean GROUP BY flag)"""
@@ -395,10 +397,7 @@ UNION ALL SELECT 'up', flag, (SELECT max(n) FROM counts), n, CAST(ceil((SELECT m
 def q_balanced_class_rows(spark, sf):
     """Exact resampling, down to the smallest class and up to the largest: rows, different rows and the most often one appears."""
     from ledgerspark.operators import ml
-    # the fixture's keys repeat: a number tells the rows of the stored table apart
-    path = scratch_path(spark, "numbered")
-    _clean_stored(spark, sf).withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
-    clean = spark.read.parquet(path)
+    clean = _clean_stored(spark, sf)
 
     def sizes(direction: str, target: str):
         rows = ml.balance_rows(clean, "flag", target, ["_row"]).groupBy("flag", "_row").agg(F.count(F.lit(1)).alias("n"))
