@@ -37,12 +37,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import cut_lineage, table
+from ledgerspark.llm.common import cut_lineage, small_batches, table
 from ledgerspark.llm.pairs import (BROADCAST_ROWS, connected_components, deal_buckets, local_roots, run_numbers, run_pairs,
                                    whole_runs)
 
 BANDS, ROWS, VALUES, BLOCK = 25, 5, 128, 16
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 150_000
 _RNG = np.random.default_rng(77)
 _MUL = _RNG.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, VALUES, dtype=np.uint64)
@@ -191,7 +191,8 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, toleran
             yield pd.DataFrame({"doc": pdf["id"], "h": pdf["h"], "digest": digest, "sig": sig})
 
     # ``id`` is from here on a row's own number
-    sketches = cut_lineage(d.mapInPandas(sketch, "doc long, h long, digest binary, sig binary").withColumn("id", F.monotonically_increasing_id()))
+    with small_batches(docs.sparkSession):
+        sketches = cut_lineage(d.mapInPandas(sketch, "doc long, h long, digest binary, sig binary").withColumn("id", F.monotonically_increasing_id()))
     full = sketches.where("sig IS NOT NULL")
     copies = full.groupBy("digest").agg(F.min(F.struct("doc", "id")).alias("first"), F.count(F.lit(1)).alias("w")).select(
         "digest", F.col("first.id").alias("rep"), "w")

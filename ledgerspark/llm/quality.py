@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import cut_lineage, stored, table
+from ledgerspark.llm.common import cut_lineage, small_batches, stored, table
 
 ASPECTS = {"junk": ("symbols", "shouting", "bars", "repeats", "plain", "label"),
            "toxic": ("insults", "learned", "civil", "label")}
@@ -44,7 +44,7 @@ REJECT, ABSTAIN, KEEP = 0, 1, 2
 INSULTS = frozenset("idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown "
                     "imbecile dumb filthy bastard".split())
 DIMS = 1 << 18
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 100_000
 _EDGE = ".,;:!?\"'()[]{}*&$%#|"
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
@@ -253,7 +253,8 @@ def evidence(docs: DataFrame, labels: DataFrame | None = None, id_col: str = "do
         F.col("_e.words").alias("_words"))
     own = None if labels is None else labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_given")).agg(
         F.min("quality").alias("_q"), F.max("toxic").alias("_t"))
-    return Evidence(stored(seen), own, carry)
+    with small_batches(docs.sparkSession):
+        return Evidence(stored(seen), own, carry)
 
 
 def _unpacked(votes: np.ndarray, quality: np.ndarray, toxic: np.ndarray) -> np.ndarray:
