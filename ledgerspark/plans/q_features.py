@@ -77,7 +77,7 @@ SELECT l_orderkey, l_linenumber, round(gbp, 6) AS gbp,
        CAST((gbp >= q0)::INT + (gbp >= q1)::INT + (gbp >= q2)::INT + (gbp >= q3)::INT AS INTEGER) AS amount_bucket
 FROM trades, cuts""".replace("\n, cuts", ",\ncuts", 1)))
 def q_amount_bucket(spark, sf):
-    t = fe.amount_bucket(tf.trades(spark, sf), "gbp")
+    t = fe.amount_bucket(tf.stored_trades(spark, sf, *KEYS, "gbp"), "gbp")
     return t.select(*KEYS, _r("gbp").alias("gbp"), F.col("amount_bucket").cast("int").alias("amount_bucket"))
 
 
