@@ -73,7 +73,7 @@ SELECT risk, flag, CAST(n AS BIGINT) AS n, CAST(gr AS INTEGER) AS is_row_margin,
        round(n / (SELECT count(*) FROM trades), 6) AS share
 FROM c""", "trades"))
 def q_crosstab_share(spark, sf):
-    return profile.crosstab_share(_t(spark, sf), "risk", "flag").withColumn("share", _r("share"))
+    return profile.crosstab_share(tf.stored_trades(spark, sf, "risk", "flag"), "risk", "flag").withColumn("share", _r("share"))
 
 
 @register("crosstab_by_office", "A17", with_fixtures("""
@@ -95,7 +95,7 @@ SELECT '{c}' AS column, CAST(count({c}) AS BIGINT) AS count, round(avg({c}), 5)
        round(quantile_cont({c}, 0.75), 6) AS p75, round(max({c}), 6) AS max FROM trades""" for c in _NUM),
                                                    "trades"))
 def q_describe_numeric(spark, sf):
-    d = profile.describe_numeric(_t(spark, sf), _NUM)
+    d = profile.describe_numeric(tf.stored_trades(spark, sf, *_NUM), _NUM)
     # the mean is shown to 5 places: a sum of many doubles is exact only to ~1e-12,
     # which can flip a 6th-place tie between engines
     return d.select("column", "count", _r("mean", 5).alias("mean"),
@@ -143,7 +143,7 @@ FROM h GROUP BY bin"""
 
 @register("histogram", "A23", with_fixtures(_hist_sql("gbp", 10), "trades"))
 def q_histogram(spark, sf):
-    return profile.histogram(_t(spark, sf), "gbp", 10).withColumn("lower", _r("lower"))
+    return profile.histogram(tf.stored_trades(spark, sf, "gbp"), "gbp", 10).withColumn("lower", _r("lower"))
 
 
 @register("client_histogram", "A23 E6", with_fixtures("""
