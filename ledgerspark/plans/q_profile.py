@@ -160,7 +160,7 @@ SELECT round(quantile_cont(gbp, 0.10), 6) AS p10, round(quantile_cont(gbp, 0.80)
        round(quantile_cont(gbp, 0.95), 6) AS p95, round(quantile_cont(gbp, 0.99), 6) AS p99 FROM trades""",
                                                   "trades"))
 def q_percentile_cuts(spark, sf):
-    p = profile.percentile_cuts(_t(spark, sf), "gbp")
+    p = profile.percentile_cuts(tf.stored_trades(spark, sf, "gbp"), "gbp")
     return p.select(*[_r(c).alias(c) for c in p.columns])
 
 
