@@ -126,7 +126,7 @@ SELECT CAST(count(day) AS BIGINT) AS count, round(avg(day), 6) AS mean_day, CAST
        round(quantile_cont(day, 0.5), 6) AS p50_day, round(quantile_cont(day, 0.75), 6) AS p75_day FROM x""",
                                                "trades"))
 def q_describe_dates(spark, sf):
-    d = profile.describe_dates(_t(spark, sf), "d")
+    d = profile.describe_dates(tf.stored_trades(spark, sf, "d"), "d")
     return d.select("count", _r("mean_day").alias("mean_day"), "min_day", "max_day",
                     *[_r(c).alias(c) for c in ("p25_day", "p50_day", "p75_day")])
 
