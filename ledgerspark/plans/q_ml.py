@@ -53,7 +53,7 @@ SELECT flag, 'test' AS part, CAST(t AS BIGINT) AS n FROM c
 UNION ALL SELECT flag, 'valid' AS part, CAST(ceil(0.2 * (n - t)) AS BIGINT) AS n FROM c
 UNION ALL SELECT flag, 'train' AS part, CAST(n - t - ceil(0.2 * (n - t)) AS BIGINT) AS n FROM c""", "trades"))
 def q_nested_split_counts(spark, sf):
-    s = split.nested_split(tf.trades(spark, sf), "flag", 0.2, 0.2, seed=42)
+    s = split.nested_split(tf.stored_trades(spark, sf), "flag", 0.2, 0.2, seed=42)
     return s.groupBy("flag", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -78,7 +78,7 @@ f AS (SELECT CAST(unnest(generate_series(0, 14)) AS INTEGER) AS fold)
 SELECT c.flag, f.fold, CAST(n // 15 + CASE WHEN f.fold < n % 15 THEN 1 ELSE 0 END AS BIGINT) AS n
 FROM c, f""", "trades"))
 def q_stratified_fold_counts(spark, sf):
-    s = split.stratified_folds(tf.trades(spark, sf), "flag", k=15, seed=42)
+    s = split.stratified_folds(tf.stored_trades(spark, sf), "flag", k=15, seed=42)
     return s.groupBy("flag", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
