@@ -43,7 +43,7 @@ SELECT flag, 'test' AS part, CAST(ceil(0.2 * n) AS BIGINT) AS n FROM c
 UNION ALL
 SELECT flag, 'train' AS part, CAST(n - ceil(0.2 * n) AS BIGINT) AS n FROM c""", "trades"))
 def q_stratified_split_counts(spark, sf):
-    s = split.stratified_split(tf.trades(spark, sf), "flag", 0.2, seed=42)  # the fixture's keys repeat: all columns
+    s = split.stratified_split(tf.stored_trades(spark, sf), "flag", 0.2, seed=42)  # the fixture's keys repeat: all columns
     return s.groupBy("flag", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
