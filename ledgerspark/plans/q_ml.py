@@ -68,7 +68,7 @@ SELECT CASE WHEN pos <= floor(0.8 * n) THEN 'train' ELSE 'test' END AS part,
        CAST(count(*) AS BIGINT) AS n, CAST(sum(flag) AS BIGINT) AS flagged
 FROM r GROUP BY 1""", "trades"))
 def q_positional_split(spark, sf):
-    s = split.positional_split(tf.trades(spark, sf), _ALL, 0.8)
+    s = split.positional_split(tf.stored_trades(spark, sf), _ALL, 0.8)
     return s.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("flag").cast("bigint").alias("flagged"))
 
 
