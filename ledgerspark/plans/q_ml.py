@@ -34,7 +34,7 @@ WITH r AS (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY d NULLS
                   count(*) OVER () AS n FROM trades)
 SELECT l_orderkey, l_linenumber, CASE WHEN pos <= floor(0.8 * n) THEN 'train' ELSE 'test' END AS part FROM r""", "trades"))
 def q_positional_split_by_date(spark, sf):
-    return split.positional_split(tf.trades(spark, sf), ["d", *KEYS, "notional", "gbp"], 0.8).select(*KEYS, "part")
+    return split.positional_split(tf.stored_trades(spark, sf, "d", *KEYS, "notional", "gbp"), ["d", *KEYS, "notional", "gbp"], 0.8).select(*KEYS, "part")
 
 
 @register("stratified_split_counts", "M1 U2", with_fixtures("""
