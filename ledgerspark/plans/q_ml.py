@@ -201,7 +201,7 @@ FOLDS, SEARCHED = 15, 4
 def _clean_stored(spark, sf):
     """The cleaned table, written once to the shared folder: fits scan their input many times."""
     path = scratch_path(spark, "clean")
-    tf.clean(spark, sf).clean.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    tf.clean(spark, sf, store=stored).clean.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
     return spark.read.parquet(path)
 
 
