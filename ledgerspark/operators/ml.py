@@ -227,7 +227,8 @@ def balance_rows(df: DataFrame, label: str, target: str = "min", keys: list[str]
     """Exactly as many rows of every class as the smallest (``target="min"``: the first by a seeded hash of ``keys``) or
     the largest class has (``target="max"``: whole copies, and one more of the first rows). Adds ``copy``, 0 for a row itself."""
     ranked = class_rank(df, label, keys or [c for c in df.columns if c != label], seed)
-    goal = ranked.select((F.min if target == "min" else F.max)("_n")).scalar()
+    sizes = df.groupBy(F.col(f"`{label}`")).agg(F.count(F.lit(1)).alias("_n"))
+    goal = sizes.select((F.min if target == "min" else F.max)("_n")).scalar()
     # rank r of n appears goal div n times, and once more up to rank goal mod n
     times = F.floor(goal / F.col("_n")) + (F.col("_crank") <= goal % F.col("_n")).cast("long")
     return ranked.withColumn("copy", F.explode(F.when(times > 0, F.sequence(F.lit(0), (times - 1).cast("int"))))).drop("_crank", "_n")
