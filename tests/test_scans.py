@@ -1,11 +1,13 @@
 """Queries over the joined trades prepare them once, and no class meets in one task."""
 from __future__ import annotations
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerspark.operators import evaluate as ev
-from ledgerspark.operators import ml, split
+from ledgerspark.operators import ml, profile, split
 from ledgerspark.plans import trade_fixture as tf
 from ledgerspark.plans.catalog import load_all
 from ledgerspark.sources import fixtures as fx
@@ -81,3 +83,12 @@ def test_curve_reads_the_scores_once(spark):
     got = {r.threshold: (r.tp, r.fp) for r in ev.pr_curve(df).collect()}
     assert got[9.0] == (10, 0) and got[0.0] == (50, 50)
     assert reads.value == 100
+
+
+def test_mean_does_not_hang_on_row_order(spark):
+    x = [50_000 + 0.1 * i for i in range(6000)]
+    exact = math.fsum(x) / len(x)
+    for rows in (x, x[::-1]):
+        got = profile.describe_numeric(spark.createDataFrame([(v,) for v in rows], "v double").coalesce(1), ["v"]).first()
+        assert abs(got["mean"] - exact) <= 2 * math.ulp(exact)
+    assert profile.describe_numeric(spark.createDataFrame([(None,), (float("inf"),)], "v double"), ["v"]).first()["mean"] == math.inf
