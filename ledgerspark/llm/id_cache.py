@@ -69,5 +69,6 @@ class IdCache:
         kept = np.sort(np.argpartition(-self.used, self.limit // 2)[:self.limit // 2])
         flat, size = self.take(kept)
         keys = list(self.number)
+        self.number.default_factory = None  # refers to the strings it numbers: they would stay until a garbage collection
         self.number = _Numbered(keys[k] for k in kept.tolist())
         self.flat, self.start, self.used = flat, np.concatenate([[0], np.cumsum(size)]), self.used[kept] // 2

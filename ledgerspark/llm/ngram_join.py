@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import cut_lineage, small_batches, table
+from ledgerspark.llm.common import cut_lineage, release_memory, small_batches, table
 from ledgerspark.llm.pairs import (BROADCAST_ROWS, connected_components, deal_buckets, local_roots, run_numbers, run_pairs,
                                    whole_runs)
 
@@ -181,6 +181,7 @@ def jaccard_classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, toleran
     d = everyone.where("id IS NOT NULL")
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_memory()
         shingle = Shingler(n)
         for pdf in batches:
             sig, digest = [], []

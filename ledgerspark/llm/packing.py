@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import cut_lineage, table
+from ledgerspark.llm.common import cut_lineage, release_memory, small_batches, table
 from ledgerspark.llm.id_cache import IdCache, byte_symbols
 
 WINDOW, UNIT, DEPTH = 2048, 8, 3
@@ -179,6 +179,7 @@ def tokenize_pieces(docs: DataFrame, path: str, end_id: int = 1, window: int = W
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()  # of other work's tasks
         if path not in _LOADED:
             _LOADED[path] = _Tokenizer(path)
         tok = _LOADED[path]
@@ -206,7 +207,9 @@ def tokenize_pieces(docs: DataFrame, path: str, end_id: int = 1, window: int = W
                     [b.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
                      pa.array(own, pa.binary()), pa.array(total, pa.int64())],
                     names=["id", "start", "length", "ids", "doc_tokens"])
+                release_memory()  # one group's arrays are several times its text
         tok.trim()  # a worker may stay idle for long
+        release_memory()
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"id {id_type}, start long, length long, ids binary, doc_tokens long")
@@ -360,7 +363,8 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "d
     """Pieces of ``docs`` with their place: ``id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
     The pieces without their ids are stored once; ``tokenize_pieces`` gives the ids again by (id, start)."""
     t = tokenize_pieces(docs, path, end_id, id_col=id_col, text_col=text_col)
-    stored = cut_lineage(t.select(id_col, "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
+    with small_batches(docs.sparkSession):
+        stored = cut_lineage(t.select(id_col, "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
     return pack(stored, key_cols=(id_col, "start"))
 
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import table
+from ledgerspark.llm.common import release_memory, table
 
 KINDS = ("assign", "access", "hex", "markov")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -89,6 +89,7 @@ def train(docs: DataFrame, text_col: str = "text", threshold: float = 2.2) -> Ma
     texts = docs.select(F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_memory()
         total = np.zeros((2, _K * _K), np.int64)
         for pdf in batches:
             for text in pdf["text"]:

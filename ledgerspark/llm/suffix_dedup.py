@@ -43,7 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import cut_lineage, shuffle_partitions, table
+from ledgerspark.llm.common import cut_lineage, release_memory, shuffle_partitions, table
 
 SEED = 16
 _SEGMENT = 1 << 18
@@ -142,6 +142,7 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 def _sampled_rows(batches: Iterator[pd.DataFrame], length: int, hot: np.ndarray) -> Iterator[pd.DataFrame]:
     """The ``seed`` of a hot string's row is its context: what it is dealt by."""
+    release_memory()
     for pdf in batches:
         parts, sizes = [], []
         for text in pdf["text"]:
@@ -155,6 +156,7 @@ def _sampled_rows(batches: Iterator[pd.DataFrame], length: int, hot: np.ndarray)
         seed = np.where(_among(seed.astype(np.int64), hot), context, seed)
         yield pd.DataFrame({"seed": seed.astype(np.int64), "context": context.astype(np.int64), "doc": doc, "rid": rid,
                             "pos": pos.astype(np.int32), "settled": doc > first})
+    release_memory()
 
 
 def _runs(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:

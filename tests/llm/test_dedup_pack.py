@@ -1,6 +1,8 @@
 """Near-duplicates, repeats and packing against brute force on small hostile inputs."""
 
+import gc
 import random
+import weakref
 import zlib
 
 import numpy as np
@@ -249,3 +251,18 @@ def test_hot_strings_are_dealt_by_window(spark):
         keys = {(r.doc_id, r.rid): r.text for r in d.selectExpr("if(doc = -9223372036854775808, null, doc) doc_id", "rid", "text").collect()}
         assert {k: {b for b in v if b < len(keys[k])} for k, v in cut.items()} == {
             k: want[(k[0], t)] for k, t in keys.items() if want[(k[0], t)]}
+
+
+def test_trimmed_cache_frees_its_strings():
+    """A worker's token cache must not keep forgotten strings until some garbage collection."""
+    from ledgerspark.llm.id_cache import IdCache
+    cache = IdCache(lambda new: (np.arange(len(new)), np.ones(len(new), np.int64)), limit=4)
+    gc.disable()
+    try:
+        cache.numbers([f"word {i}" for i in range(10)])
+        forgotten = weakref.ref(cache.number)
+        cache.trim()
+        assert len(cache.number) == 2 and forgotten() is None
+        assert cache.take(cache.numbers(["other", "word 3"]))[1].tolist() == [1, 1]
+    finally:
+        gc.enable()
