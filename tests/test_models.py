@@ -62,3 +62,36 @@ def test_text_forest_grows_on_all_cores(spark, monkeypatch):
     rows = _rows(spark, "text_model")
     assert rows and all(r.prediction in (0, 1) and 0 <= r.p1 <= 1 for r in rows)
     assert len(tasks) == 1 and tasks[0] >= spark.sparkContext.defaultParallelism
+
+
+def test_forests_grow_in_one_task_per_core(spark, monkeypatch):
+    """However the stored rows are cut into files and tasks: each task of a step sends the counts of all nodes."""
+    from pyspark.sql import functions as F
+
+    from ledgerspark.operators import ml
+    cores = spark.sparkContext.defaultParallelism
+    grown, tasks, read = ml.forest, [], []
+
+    def watched(params, label, features="features"):
+        clf = grown(params, label, features)
+        fit = clf.fit
+        clf.fit = lambda rows, *a: (tasks.append(rows.rdd.getNumPartitions()), read.append(rows.count())) and fit(rows, *a)
+        return clf
+
+    monkeypatch.setattr(ml, "forest", watched)
+    many = {"spark.sql.shuffle.partitions": "24", "spark.sql.files.maxPartitionBytes": "1m"}
+    before = {k: spark.conf.get(k) for k in many}
+    df = spark.range(120).select("id", (F.col("id") % 3 == 0).cast("int").alias("y"), (F.col("id") % 5).cast("string").alias("c"),
+                                 (F.col("id") % 2 == 0).alias("b"), F.sqrt("id").alias("x"))
+    spec, few = ml.FeatureSpec(("c",), ("b",), ("x",), "y"), ml.ForestParams(num_trees=2, max_depth=3)
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        assert ml.predict(ml.fit_suspicion_model(df, df, spec, few), df).count() == 120
+        assert sorted(r.id for r in ml.FoldedMatrix(df, spec, 3, key_cols=["id"], keep=("id",)).scores(few).collect()) == list(range(120))
+        assert tasks == [cores] * 4 and read[0] == 120 and sum(read[1:]) == 2 * 120
+        monkeypatch.setattr(ml, "FIT_ROWS", -(-50 // cores))
+        assert ml.for_fitting(df).rdd.getNumPartitions() == 3 * cores
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
