@@ -95,3 +95,27 @@ def test_forests_grow_in_one_task_per_core(spark, monkeypatch):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_alternatives_keep_one_copy_of_the_rows(spark):
+    """Once the parts are stored, the cleaned rows and what was shuffled for them are removed."""
+    from pathlib import Path
+
+    from ledgerspark.session import checkpoint_dir
+    top = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = set(top.iterdir())
+    rows = {r.model: r for r in _rows(spark, "weighted_alternatives")}
+    assert rows.keys() == {"logistic", "svm", "tree"} and all(0 <= r.accuracy <= 1 for r in rows.values())
+    left = [p.name.split("-")[0] for p in set(top.iterdir()) - before]
+    assert not {"tagged", "clean", "stored"} & set(left) and left.count("parts") == 1 and left.count("matrix") <= 1
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_rows_for_a_fit_are_dealt_once(spark, monkeypatch):
+    """Every scan of a fit dealt the stored rows anew where the number of tasks differs."""
+    from ledgerspark.operators import ml
+    monkeypatch.setattr(ml, "FIT_ROWS", 100)
+    n = 7 * 100 * spark.sparkContext.defaultParallelism
+    rows = ml.kept_for_fitting(spark.range(n), "dealt")
+    assert rows.rdd.getNumPartitions() == 7 * spark.sparkContext.defaultParallelism and rows.count() == n
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
